@@ -142,12 +142,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def document_starts(tokens: DataFrame, start: str = "start") -> DataFrame:
-    """``tokens`` with the number of ids of all documents before each row.
+def document_starts(tokens: DataFrame, files: DataFrame, start: str = "start") -> DataFrame:
+    """``tokens``, which has part and part_start, with the number of ids of all documents before each row.
 
-    The prefix sum runs over one row a file, never over documents.
+    ``files`` are the token files, of which only metadata is read here. The prefix
+    sum runs over one row a file, never over documents.
     """
-    totals = tokens.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("__total"))
+    totals = files.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("__total"))
     before = totals.select("part", (F.sum("__total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("__before"))
     return tokens.join(before, "part").withColumn(start, F.coalesce("__before", F.lit(0)) + F.col("part_start")).drop("__before")
 
@@ -172,4 +173,5 @@ def token_file_report(docs: DataFrame, tokenizer_path: str, path: str | None = N
     spark = docs.sparkSession
     path = path or shared.new_path(spark, "token-files")
     write_token_files(docs, path, tokenizer_path, end_id, key, text)
-    return document_starts(id_digests(read_token_files(spark, path), key)).select(key, "start", "n_tokens", "ids_crc32")
+    files = read_token_files(spark, path)
+    return document_starts(id_digests(files, key), files).select(key, "start", "n_tokens", "ids_crc32")
