@@ -65,7 +65,8 @@ class ByteLevelTable:
         edges = [*range(0, many, JOINED), *range(many, len(texts) + 1)]
         joined = ["".join(texts[i] for i in order[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
         ids, counts = [], []
-        for a, b, e in zip(edges, edges[1:], self.tokenizer.encode_batch(joined, add_special_tokens=False), strict=False):
+        encoded = (e for k in range(0, len(joined), 32) for e in self.tokenizer.encode_batch(joined[k : k + 32], add_special_tokens=False))
+        for a, b, e in zip(edges, edges[1:], encoded, strict=False):
             stops = np.cumsum(sizes[a:b])
             piece = np.searchsorted(stops, np.array([x for x, _ in e.offsets], np.int64), "right")
             ids.append(np.array(e.ids, np.int32)), counts.append(np.bincount(piece, minlength=b - a))
