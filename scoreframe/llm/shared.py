@@ -30,11 +30,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: With it on, Spark deletes a query's shuffle files as soon as the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns it as read from there."""
+    """Writes ``df`` to the shared folder and returns it as read from there.
+
+    The shuffle files of the write aren't needed again, so they go at its end.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
