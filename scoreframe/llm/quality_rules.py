@@ -3,7 +3,7 @@
 Rules vote good (1), bad (-1) or abstain (0) on each document. A document is good
 or bad, unseen; expectation-maximisation estimates how often bad documents there
 are and how each rule votes on good and on bad ones, from the counts of the voting
-patterns (at most 3 ** 7 rows). The posterior chance of good replaces a filter
+patterns (at most 3 ** 8 rows). The posterior chance of good replaces a filter
 that all rules must pass.
 """
 
@@ -18,9 +18,9 @@ from scoreframe.llm import shared
 
 _SPACES = " \t\n\x0b\x0c\r"
 _BREAK = r"[\x20\x09-\x0D]+"
-VOTES = ("length", "word_length", "symbols", "duplicate_lines", "repetition", "capitals", "exclamations")
+VOTES = ("length", "word_length", "symbols", "symbol_runs", "duplicate_lines", "repetition", "capitals", "exclamations")
 #: Pseudo-counts of each vote in each class, and rounds of EM.
-SMOOTHING, ROUNDS = 1.0, 25
+SMOOTHING, ROUNDS = 1.0, 15
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 
 
@@ -43,12 +43,12 @@ def _repeated_words(words: Column, count: Column) -> tuple[Column, Column, Colum
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_exclamations and base_failed.
+    """``docs`` with n_words, word_chars, n_symbols, n_symbol_runs, n_lines, n_dup_lines, n_repeat_words, n_capitals, n_exclamations and base_failed.
 
     Words are runs of other characters than 0x20 and 0x09 to 0x0D. A null text has
     none. Columns of these names are replaced; no row is lost.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_exclamations", "base_failed"]
+    names = ["n_words", "word_chars", "n_symbols", "n_symbol_runs", "n_lines", "n_dup_lines", "n_repeat_words", "n_capitals", "n_exclamations", "base_failed"]
     docs = docs.drop(*names)
     whole = F.coalesce(F.col(text), F.lit(""))
     solid, trimmed = F.translate(whole, _SPACES, ""), F.btrim(whole, F.lit(_SPACES))
@@ -58,6 +58,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "__lines": lines,
         "word_chars": F.length(solid).cast("long"),
         "n_symbols": (F.length(whole) - F.length(F.translate(whole, "#*$%&|<>", ""))).cast("long"),
+        "n_symbol_runs": F.regexp_count(whole, F.lit(r"[#*$%&|<>]+")).cast("long"),
         "n_capitals": (F.length(whole) - F.length(F.translate(whole, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long"),
         "n_exclamations": (F.length(whole) - F.length(F.translate(whole, "!", ""))).cast("long"),
     })
@@ -79,6 +80,7 @@ def votes() -> dict[str, Column]:
         "length": vote(words < LEAST_WORDS, words >= 2 * LEAST_WORDS),
         "word_length": vote((chars > 12 * words) | (chars < 2.5 * words), (chars <= 9 * words) & (chars >= 3 * words)),
         "symbols": vote(100 * F.col("n_symbols") > 3 * chars, F.col("n_symbols") * 1000 <= chars),
+        "symbol_runs": vote(10 * F.col("n_symbol_runs") > words, 100 * F.col("n_symbol_runs") <= words),
         "duplicate_lines": vote((F.col("n_dup_lines") >= 3) & (4 * F.col("n_dup_lines") > F.col("n_lines")), F.col("n_dup_lines") == 0),
         "repetition": vote(100 * F.col("n_repeat_words") > 30 * words, 100 * F.col("n_repeat_words") <= 5 * words),
         "capitals": vote(2 * F.col("n_capitals") > chars, 5 * F.col("n_capitals") <= chars),
@@ -102,16 +104,21 @@ def learned(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
     """
     bad_votes = sum((F.when(F.col(f"vote_{v}") == -1, 1).otherwise(0) for v in VOTES), F.lit(0))
     posterior = F.lit(0.95) * F.pow(F.lit(0.25), bad_votes)
-    model: dict = {}
+    by_vote = [(v, said) for v in VOTES for said in (-1, 0, 1)]
+
+    def sums(weight: Column) -> list[float]:
+        row = patterns.agg(F.sum(weight), *(F.sum(F.when(F.col(f"vote_{v}") == said, weight).otherwise(0.0)) for v, said in by_vote)).first()
+        return [x or 0.0 for x in row]
+
+    everything, model = sums(F.col("n").cast("double")), {}
     for _ in range(rounds):
-        weighed = patterns.withColumn("good", posterior * F.col("n")).withColumn("bad", F.col("n") - F.col("good"))
-        sums = [F.sum(F.when(F.col(f"vote_{v}") == said, F.col(kind)).otherwise(0.0)).alias(f"{kind}_{v}_{said + 1}") for v in VOTES for kind in ("bad", "good") for said in (-1, 0, 1)]
-        row = weighed.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), *sums).first()
-        good, bad = (row["good"] or 0.0) + SMOOTHING, (row["bad"] or 0.0) + SMOOTHING
+        goods = sums(posterior * F.col("n"))
+        good, bad = goods[0] + SMOOTHING, everything[0] - goods[0] + SMOOTHING
         model = {"good": good / (good + bad)}
-        for v in VOTES:
-            counts = [[(row[f"{kind}_{v}_{k}"] or 0.0) + SMOOTHING for k in range(3)] for kind in ("bad", "good")]
-            model[v] = [[c / sum(row_) for c in row_] for row_ in counts]
+        for k, v in enumerate(VOTES):
+            span = slice(1 + 3 * k, 4 + 3 * k)
+            counts = [[a - g + SMOOTHING for a, g in zip(everything[span], goods[span], strict=True)], [g + SMOOTHING for g in goods[span]]]
+            model[v] = [[c / sum(kind) for c in kind] for kind in counts]
         posterior = 1 / (1 + F.exp(-_log_odds(model)))
     return model
 
