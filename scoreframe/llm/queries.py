@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm import language_model, line_dedup, mixing, near_duplicates, quality_rules, sentencepiece_codec, token_files, toxicity, url_filter
+from scoreframe.llm import language_model, line_dedup, mixing, near_duplicates, nearest_neighbours, quality_rules, sentencepiece_codec, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest_neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(documents, toxicity.fit(documents, _table(spark, sf_dir, "labels"))).drop("text")
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
     "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
 }
 _SPACE = r"chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
