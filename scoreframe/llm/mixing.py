@@ -8,9 +8,9 @@ with target = min(weight * L, cap), found by running sums over one row a source.
 Sampling: every document of a source expects target / source words copies. The
 running sum of these within the source, plus one offset, crosses integers; a
 document is taken once for each integer crossed. So that no source's documents
-meet in one task, a source is dealt into about sqrt(documents) strata by a hash
+meet in one task, a source is dealt into about sqrt(documents) / 3 strata by a hash
 of the document id; strata follow one another, and within a stratum documents
-stand by size, so each size is taken in its share.
+stand by size, rising and falling in turn, so each size is taken in its share.
 """
 
 from __future__ import annotations
@@ -48,12 +48,12 @@ def source_targets(sized: DataFrame, source: str = "source", size: str = "size",
     level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     leveled = capped.withColumn("level", level)
     fits = F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))
-    target = F.least(F.col("weight") * F.min(fits).over(everything), F.col("cap"))
+    target = F.least(F.col("weight") * F.max(fits).over(everything), F.col("cap"))
     return leveled.withColumn("target", target).select(
         "__source", "source_no", "source_size", "n_rows", "target",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
         ((_hash(F.coalesce("__source", F.lit("")), F.lit(OFFSETS)) + 0.5) / OFFSETS).alias("offset"),
-        F.ceil(F.sqrt(F.col("n_rows").cast("double"))).cast("long").alias("strata"),
+        F.ceil(F.sqrt(F.col("n_rows").cast("double")) / 3).cast("long").alias("strata"),
     )
 
 
@@ -75,7 +75,7 @@ def planned(docs: DataFrame, sizes: DataFrame, key: str = "doc_id", source: str
     counts = dealt(sizes).groupBy("source_no", "stratum").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("source_no").orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
     starts = shared.written(counts.select(F.col("source_no").alias("__no"), F.col("stratum").alias("__stratum"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__start")), "strata")
-    within = Window.partitionBy("source_no", "stratum").orderBy(F.col(size), F.col(key).asc_nulls_last())
+    within = Window.partitionBy("source_no", "stratum").orderBy(F.when(F.col("stratum") % 2 == 0, F.col(size)).otherwise(-F.col(size)), F.col(key).asc_nulls_last())
     ranked = dealt(docs).withColumn("__rank", F.row_number().over(within))
     placed = ranked.join(starts, (F.col("source_no") == F.col("__no")) & (F.col("stratum") == F.col("__stratum")))
     place = F.col("__start") + F.col("__rank")
@@ -88,7 +88,7 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
     sizes = shared.written(docs.select(key, source, word_count(F.col(text)).alias("__size")), "sizes")
     plan = planned(docs.withColumn("__size", word_count(F.col(text))), sizes, key, source, "__size")
-    return plan.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"), F.lit(1)))).where("copies > 0").select(*docs.columns)
+    return plan.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
 def mixing_report(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
@@ -111,16 +111,16 @@ WITH sized AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
          / sum(weight) OVER (ORDER BY cap / weight, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
 ), targets AS (
-  SELECT *, least(weight * (SELECT min(level) FROM levels WHERE level <= cap / weight), cap) AS target,
+  SELECT *, least(weight * (SELECT max(level) FROM levels WHERE level <= cap / weight), cap) AS target,
          (coalesce(('0x' || substr(md5(coalesce(source, '')), 1, 15))::BIGINT % 1024, 0) + 0.5::DOUBLE) / 1024 AS off,
-         ceil(sqrt(n_rows::DOUBLE))::BIGINT AS strata FROM levels
+         ceil(sqrt(n_rows::DOUBLE) / 3)::BIGINT AS strata FROM levels
 ), dealt AS (
   SELECT d.doc_id, d.size, d.source, t.source_size, t.target, t.off, t.source_no,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
          coalesce(('0x' || substr(md5(d.doc_id::VARCHAR), 1, 15))::BIGINT % t.strata, 0) AS stratum
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 ), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY source_no ORDER BY stratum, size, doc_id NULLS LAST) AS place FROM dealt
+  SELECT *, row_number() OVER (PARTITION BY source_no ORDER BY stratum, CASE WHEN stratum % 2 = 0 THEN size ELSE -size END, doc_id NULLS LAST) AS place FROM dealt
 ), taken AS (
   SELECT *, least(floor(off + rate * place) - floor(off + rate * (place - 1)), 3)::BIGINT AS copies FROM placed
 )

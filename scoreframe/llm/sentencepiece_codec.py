@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -358,9 +359,8 @@ def decode(tokens: DataFrame, model_path: str, ids: str = "token_ids", text: str
         table = piece_table(model_path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            lists = [x or [] for x in column.to_pylist()]
-            flat = np.array([i for x in lists for i in x], np.int64)
-            said = decode_rows(table, flat, np.array([len(x) for x in lists], np.int64))
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0)).astype(np.int64)
+            said = decode_rows(table, np.asarray(pc.list_flatten(column)).astype(np.int64), sizes)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([s.decode() for s in said], pa.string())], [*batch.schema.names, text])
 
     return tokens.mapInArrow(run, schema)
