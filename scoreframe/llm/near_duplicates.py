@@ -7,8 +7,9 @@ the earliest dart that falls to it, so two coordinates agree with the similarity
 probability. Documents that agree in all coordinates of a band meet in a bucket.
 
 Work stays linear in hot groups: equal texts are collapsed first; in a bucket
-everyone is compared with one centre, and only documents of different classes are
-compared further, with up to ``CENTRES`` new centres a round, until each bucket
+everyone is compared with one centre (who meets most others in all bands), and
+only documents of different classes are compared further, with up to ``CENTRES``
+new centres a round, until each bucket
 holds one class or all its pairs across classes have been compared. So no pair
 that meets in a bucket is lost, and no bucket emits all its pairs. Each kept link
 is verified on whole texts.
@@ -28,8 +29,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 48 bands of 6 coordinates: a pair of similarity 0.8 is missed with probability 5e-7.
 BANDS, BAND_ROWS = 48, 6
-#: New centres of a bucket in a round; buckets of no more members are compared outright.
-CENTRES = 32
+#: New centres of a bucket in a round, at most.
+CENTRES = 16
+#: The same in buckets by rare shingles, where sizes and places rule out nearly all pairs before they are made.
+RARE_CENTRES = 2048
 _RANK_BITS = np.uint64(40)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Chance of at most m darts in a unit cell.
@@ -180,26 +183,83 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _next_pairs(members: DataFrame, labels: DataFrame, centres: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare in the next round, and the members left after it.
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The ``members`` of buckets that hold several classes, with label, the bucket's largest class, and how many centres settle it."""
+    named = members.join(labels.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select("bucket", "id", "size", "mates", "place", "lead", F.coalesce("label", "id").alias("label"))
+    by_class = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if("lead").alias("leads"))
+    largest = F.max_by(F.struct("label", "n", "leads"), F.struct("n", "label")).alias("top")
+    mixed = by_class.groupBy("bucket").agg(largest, F.sum("n").alias("n"), F.sum("leads").alias("leads")).where("n > top.n AND leads > 0")
+    outside, leads_outside = F.col("n") - F.col("top.n"), F.col("leads") - F.col("top.leads")
+    others = F.when(outside == leads_outside, F.least(outside, "leads")).otherwise(F.col("leads")).alias("others")
+    mixed = shared.written(mixed.select(F.col("bucket").alias("__bucket"), F.col("top.label").alias("largest"), others), "mixed-buckets")
+    return shared.written(named.join(mixed, F.col("bucket") == F.col("__bucket")).drop("__bucket"), "unsettled")
 
-    A bucket of one class is done. In others the ``centres`` members with the
-    smallest hashes meet all members of other classes and then leave.
+
+def _next_pairs(live: DataFrame, centres: int = CENTRES) -> tuple[DataFrame, DataFrame]:
+    """Pairs to compare in unsettled buckets, and the members left after that.
+
+    ``centres`` members meet all members of other classes and then leave: first
+    those outside the bucket's largest class, so a bucket with few of them is done
+    in one round. Sizes too far apart for the similarity aren't compared.
     """
-    named = members.join(labels.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-    named = shared.written(named, "members")
-    order = F.xxhash64("id")
-    stats = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("bucket", "n")
-    open_buckets = shared.written(stats, "open-buckets")
-    live = shared.written(named.join(open_buckets.select(F.col("bucket").alias("__bucket"), "n"), F.col("bucket") == F.col("__bucket")).drop("__bucket"), "live")
-    top = Window.partitionBy("bucket").orderBy(order, "id")
-    chosen = live.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= centres)
-    chosen = shared.written(chosen.select(F.col("bucket").alias("__bucket"), F.col("id").alias("centre"), F.col("label").alias("centre_label")), "centres")
-    pairs = live.join(chosen, F.col("bucket") == F.col("__bucket")).where("label <> centre_label").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    left = live.where(F.col("n") > centres).join(chosen, (F.col("bucket") == F.col("__bucket")) & (F.col("id") == F.col("centre")), "left_anti").select("bucket", "id")
+    first = Window.partitionBy("bucket").orderBy(F.col("label") == F.col("largest"), F.col("mates").desc(), "id")
+    chosen = live.where("lead").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= centres)
+    chosen = shared.written(chosen.select(F.col("bucket").alias("__bucket"), F.col("id").alias("centre"), F.col("label").alias("centre_label"), F.col("size").alias("centre_size"), F.col("place").alias("centre_place")), "centres")
+    # What two texts can still have in common from this shingle on must do for the similarity.
+    enough = 1 + F.least(F.col("size") - F.col("place"), F.col("centre_size") - F.col("centre_place")) >= SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("centre_size")) - 1e-6
+    meet = (F.col("bucket") == F.col("__bucket")) & (F.col("label") != F.col("centre_label")) & _sizes_allow(F.col("size"), F.col("centre_size")) & enough
+    pairs = live.join(chosen, meet).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    left = live.where(F.col("others") > centres).join(chosen, (F.col("bucket") == F.col("__bucket")) & (F.col("id") == F.col("centre")), "left_anti").select("bucket", "id", "size", "mates", "place", "lead")
     return pairs, left
 
 
+def _sizes_allow(a, b):
+    return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6
+
+
+def _prefix_members(texts: DataFrame) -> DataFrame:
+    """Buckets by rare shingles, exact: two of the ``texts`` that are alike enough share one.
+
+    Shingles are ordered by how many of these texts hold them. Texts with similarity
+    s or more share s of the larger one's shingles at least, so they share one of
+    the rarest size - ceil(s * size) + 1 of each, and of the smaller one even of its
+    rarest size - ceil(2 s / (1 + s) * size) + 1: there it leads. A passage that many texts have in
+    common stands last in that order and brings nobody together.
+    """
+
+    def run(batches):
+        for batch in batches:
+            _, offsets = ragged.text_bytes(batch.column(1))
+            ids = np.asarray(batch.column(0))
+            for i, j in ragged.row_slices(offsets, CHUNK_BYTES // 4):
+                row, element, count, _, _ = shingles(*ragged.text_bytes(batch.column(1).slice(i, j - i)))
+                size = np.bincount(row, count, j - i).astype(np.int64)
+                nth = ragged.ragged_index(np.zeros(len(row), np.int64), count).astype(np.uint64)
+                row, element = np.repeat(row, count), ragged.mix(np.repeat(element, count) + _GOLD * nth)
+                yield pa.RecordBatch.from_arrays([pa.array(element.view(np.int64)), pa.array(ids[i:j][row]), pa.array(size[row])], ["bucket", "id", "size"])
+
+    held = shared.written(texts.select("id", "text").mapInArrow(run, "bucket long, id long, size long"), "shingles")
+    holders = shared.written(held.groupBy(F.col("bucket").alias("__bucket")).agg(F.count(F.lit(1)).alias("holders")), "holders")
+    ordered = held.join(holders, F.col("bucket") == F.col("__bucket")).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("holders", "bucket")))
+    prefix = ordered.where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-6) + 1) & (F.col("holders") > 1))
+    lead = F.col("nth") <= F.col("size") - F.ceil(F.col("size") * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-6) + 1
+    return shared.written(prefix.select("bucket", "id", "size", F.col("holders").alias("mates"), F.col("nth").alias("place"), lead.alias("lead")), "prefix-members")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after new ``links``: classes that a link joins become one."""
+    named = links
+    for side in ("a", "b"):
+        of = labels.select(F.col("id").alias("__id"), F.col("label").alias(f"label_{side}"))
+        named = named.join(of, F.col(side) == F.col("__id"), "left").drop("__id").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
+    named = shared.written(named, "named-links")
+    between = named.where("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    lower = components(between).select(F.col("id").alias("__from"), F.col("label").alias("__to"))
+    ends = named.select(F.col("a").alias("id"), F.col("label_a").alias("label")).union(named.select(F.col("b").alias("id"), F.col("label_b").alias("label")))
+    every = labels.union(ends).distinct()
+    return shared.written(every.join(lower, F.col("label") == F.col("__from"), "left").select("id", F.coalesce("__to", "label").alias("label")), "labels")
+
+
 def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document's class: key, class_id (the smallest key of its class), class_size.
 
@@ -214,28 +274,40 @@ def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text")
     sketch = shared.written(sketches(keyed), "sketches")
     copies = shared.written(sketch.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "copies")
     reps = sketch.where("n_shingles > 0").join(copies.select(F.col("h1").alias("__1"), F.col("h2").alias("__2"), "rep"), (F.col("h1") == F.col("__1")) & (F.col("h2") == F.col("__2")) & (F.col("id") == F.col("rep")), "left_semi")
-    dealt = reps.select(F.explode("buckets").alias("bucket"), "id").distinct()
-    crowded = shared.written(dealt.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
-    members = shared.written(dealt.join(crowded.select(F.col("bucket").alias("__bucket"), "centre"), F.col("bucket") == F.col("__bucket")).select("bucket", "id", "centre"), "members")
+    dealt = reps.select(F.explode("buckets").alias("bucket"), "id", F.col("n_shingles").alias("size"))
+    crowded = shared.written(dealt.groupBy(F.col("bucket").alias("__bucket")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
+    met = shared.written(dealt.join(crowded, F.col("bucket") == F.col("__bucket")).select("bucket", "id", "size", "n"), "met")
+    # An original meets its copies more often than they meet each other, so it is the best centre.
+    mates = shared.written(met.groupBy(F.col("id").alias("__id")).agg(F.sum(F.col("n") - 1).alias("mates")), "mates")
+    members = shared.written(met.join(mates, F.col("id") == F.col("__id")).select("bucket", "id", "size", "mates", F.lit(0).alias("place"), F.lit(True).alias("lead")), "members")
+    best = F.struct("mates", -F.col("id"))
+    centre = members.groupBy(F.col("bucket").alias("__bucket")).agg(F.max_by("id", best).alias("centre"), F.max_by("size", best).alias("centre_size"))
+    centre = shared.written(centre, "centre")
     involved = members.select(F.col("id").alias("__id")).distinct()
     texts = shared.written(keyed.join(involved, F.col("id") == F.col("__id"), "left_semi"), "texts")
 
-    pairs = shared.written(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    star = members.join(centre, (F.col("bucket") == F.col("__bucket")) & (F.col("id") != F.col("centre")) & _sizes_allow(F.col("size"), F.col("centre_size")))
+    pairs = shared.written(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs")
     tested = pairs
-    links = shared.written(verified(pairs, texts), "links")
-    labels = components(links)
-    left = members.select("bucket", "id")
-    while True:
-        pairs, left = _next_pairs(left, labels, CENTRES)
-        pairs = shared.written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = shared.written(verified(pairs, texts), "links")
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = components(links)
-        left = shared.written(left, "left")
-        if not left.limit(1).count():
-            break
-        tested = tested.union(pairs)
+    labels = components(shared.written(verified(pairs, texts), "links"))
+
+    def compared(found: DataFrame) -> None:
+        nonlocal labels, tested
+        fresh = shared.written(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = shared.written(verified(fresh, texts), "links")
+        if not links.isEmpty():
+            labels = _merged(labels, links)
+        tested = tested.union(fresh)
+
+    live = _unsettled(members, labels)
+    compared(_next_pairs(live.where(F.col("others") <= CENTRES))[0])
+    rest = shared.written(live.where(F.col("others") > CENTRES).select(F.col("id").alias("__id")).distinct(), "rest")
+    if not rest.isEmpty():
+        left = _prefix_members(texts.join(rest, F.col("id") == F.col("__id"), "left_semi"))
+        while not left.isEmpty():
+            found, left = _next_pairs(_unsettled(left, labels), RARE_CENTRES)
+            compared(found)
+            left = shared.written(left, "left")
 
     class_of = labels.select(F.col("id").alias("__rep"), F.col("label").alias("__label"))
     named = copies.join(class_of, F.col("rep") == F.col("__rep"), "left").select(F.col("h1").alias("__1"), F.col("h2").alias("__2"), F.coalesce("__label", "rep").alias("class_id"), "n")
