@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             _, offsets = ragged.text_bytes(batch.column(0))
             for i, j in ragged.row_slices(offsets, CHUNK_BYTES):
                 column, row, count, _ = features.counts(*ragged.text_bytes(batch.column(0).slice(i, j - i)))
-                amount = np.bincount(row, count * marks[column], j - i)
+                amount = np.bincount(row, count * marks[column], j - i).astype(np.float64)
                 cut = np.searchsorted(row, np.arange(j - i + 1))
                 parts = list(zip(cut[:-1], cut[1:], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[i:j].astype(np.int64)), pa.array(amount), *(ragged.binary_column([x[a:b] for a, b in parts]) for x in (column.astype(np.uint16), count.astype(np.uint32)))], ["toxic", "amount", "columns", "counts"])
@@ -194,15 +194,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return OrdinalModel.fit(features, np.concatenate(columns), row, value, grade)
 
 
-def score(docs: DataFrame, model: OrdinalModel, text: str = "text", reject_at: float = 0.1) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, text: str = "text", reject_at: float = 0.2) -> DataFrame:
     """``docs`` with p_grade_1 .. p_grade_3 (chance of that grade or more), expected_severity (their sum) and rejected.
 
-    A text is rejected if its chance of grade 1 or more is ``reject_at`` or more.
+    A text is rejected if its chance of grade 1 or more is ``reject_at`` or more and
+    its odds are ten times those of a text without features, at least: few labels
+    with many toxic ones among them don't reject texts that nothing is known of.
     Null and empty texts have no feature and take the model's base chance. No row
     is lost; columns of those names are replaced.
     """
     names = [*(f"p_grade_{g}" for g in range(1, GRADES + 1)), "expected_severity", "rejected"]
     docs = docs.drop(*names)
+    cut = max(np.log(reject_at / (1 - reject_at)), np.log(10) - model.thresholds[0])
+    cut = 1 / (1 + np.exp(-cut))
     schema = T.StructType([*docs.schema, *(T.StructField(n, T.DoubleType()) for n in names[:-1]), T.StructField(names[-1], T.BooleanType())])
 
     def run(batches):
@@ -211,7 +215,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", reject_at: f
             _, offsets = ragged.text_bytes(column)
             for i, j in ragged.row_slices(offsets, CHUNK_BYTES):
                 chance = model.at_least(*ragged.text_bytes(column.slice(i, j - i)))
-                extra = [*chance.T, chance.sum(axis=1), chance[:, 0] >= reject_at]
+                extra = [*chance.T, chance.sum(axis=1), chance[:, 0] >= cut]
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *map(pa.array, extra)], schema.names)
 
     return docs.mapInArrow(run, schema)
