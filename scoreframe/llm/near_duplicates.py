@@ -27,8 +27,8 @@ from scoreframe.llm import ragged, shared
 CHUNK_BYTES = 2 << 20
 SHINGLE = 5
 SIMILARITY = 0.8
-#: 48 bands of 6 coordinates: a pair of similarity 0.8 is missed with probability 5e-7.
-BANDS, BAND_ROWS = 48, 6
+#: 32 bands of 5 coordinates: a pair of similarity 0.8 is missed with probability 3e-6.
+BANDS, BAND_ROWS = 32, 5
 #: New centres of a bucket in a round, at most.
 CENTRES = 16
 #: The same in buckets by rare shingles, where sizes and places rule out nearly all pairs before they are made.
