@@ -3,6 +3,10 @@
 With S the sum of exposure and G of outcomes, the log posterior of t = log(rate) is
 G t - S exp(t) - (t - log m)^2 / (2 s^2) up to a constant. Grid points are exploded
 rows and a second aggregate on the same key, so there is one shuffle and no UDF.
+
+The fixed grid (step 0.02, the one of the SQL) holds for keys whose posterior is at
+least ``LEAST_STEPS`` steps wide (sd) and ends within it. For all others, such as a
+key of thousands of outcomes, the grid is centred on the mode.
 """
 
 from __future__ import annotations
@@ -14,54 +18,103 @@ from scoreframe.functions.numbers import rounded
 
 #: Half width of the grid in log rate, intervals, and the prior's standard deviation.
 HALF, POINTS, SIGMA = 4.0, 400, 0.5
+#: Standard deviations that a step of the fixed grid is below, and that the grid holds on each side of the mode; those that a centred grid has on each side.
+LEAST_STEPS, LEAST_SDS, SDS = 2.0, 6.5, 8.0
+#: Newton steps for the mode; from the bound that they start at, each doubles the right digits.
+NEWTON = 8
 
 
-def _grid(rows: DataFrame, key: str, exposure: str, outcome: str) -> DataFrame:
-    """(key, i, t, w) for each grid point, for keys that the model allows; the threshold rate 1 is the middle point."""
+def _modes(rows: DataFrame, key: str, exposure: str, outcome: str) -> DataFrame:
+    """key, S, G, mode and sd of log rate, and whether the fixed grid holds, for keys that the model allows."""
     tight = 1 / SIGMA**2
     s, g = F.col(exposure).cast("double"), F.col(outcome).cast("double")
     allowed = rows.where((s >= 0) & (g >= 0) & ~((s == 0) & (g > 0))).select(key, s.alias("__s"), g.alias("__g"))
-    t = F.lit(-HALF) + F.lit(2 * HALF) * F.col("i") / POINTS
-    points = allowed.select(key, "__s", "__g", F.explode(F.sequence(F.lit(0), F.lit(POINTS))).alias("i")).withColumn("t", t)
-
-    def log_posterior(x: Column) -> Column:
-        return F.col("__g") * x - F.col("__s") * F.exp(x) - tight / 2 * x * x
-
-    peak = F.log((F.col("__g") + tight) / (F.col("__s") + tight))
-    return points.withColumn("w", F.exp(log_posterior(F.col("t")) - log_posterior(peak)))
+    s, g = F.col("__s"), F.col("__g")
+    # The mode solves S exp(t) + t / s^2 = G. Newton falls to it from any bound above it.
+    far = F.greatest(F.log(s / F.greatest(g, F.lit(1.0))), F.lit(1 / tight))
+    above = F.when(s == 0, 0.0).when(g > s, F.least(g / tight, F.log(g / s))).otherwise(F.least(F.lit(0.0), F.log((g + tight * far) / s)))
+    out = allowed.withColumn("__m", above)
+    for _ in range(NEWTON):
+        pull = s * F.exp("__m")
+        out = out.withColumn("__m", F.col("__m") - (pull + tight * F.col("__m") - g) / (pull + tight))
+    out = out.withColumn("__sd", 1 / F.sqrt(s * F.exp("__m") + tight))
+    return out.withColumn("__fixed", (F.col("__sd") >= LEAST_STEPS * 2 * HALF / POINTS) & (F.abs("__m") + LEAST_SDS * F.col("__sd") <= HALF))
+
+
+def _density(t: Column, side: str = "") -> Column:
+    """The posterior's density at ``t`` over that at the mode; differences from the mode keep the digits of large sums."""
+    s, g, m = (F.col(f"__{c}{side}") for c in "sgm")
+    d = t - m
+    return F.exp(g * d - s * F.exp(m) * F.expm1(d) - (d + 2 * m) * d / (2 * SIGMA**2))
+
+
+def _grid(rows: DataFrame, key: str, exposure: str, outcome: str, threshold: bool = False) -> DataFrame:
+    """(key, i, t, w, h) and the columns of the modes for each grid point: h is the step, w the density.
+
+    A centred grid has half its intervals on each side of its middle point: the
+    mode, or the threshold rate 1 if ``threshold`` (the end next to it, where that
+    lies outside); below and above it the steps h and up_h differ. On the fixed grid rate 1 is the middle.
+    """
+    modes, half, i = _modes(rows, key, exposure, outcome), POINTS // 2, F.col("i")
+    reach = SDS * F.col("__sd")
+    low, high = F.col("__m") - reach, F.col("__m") + reach
+    middle = F.least(F.greatest(F.lit(0.0), low), high) if threshold else F.col("__m")
+    steps = modes.withColumns({
+        "__mid": F.when(F.col("__fixed"), 0.0).otherwise(middle),
+        "h": F.when(F.col("__fixed"), 2 * HALF / POINTS).otherwise((middle - low) / half),
+        "up_h": F.when(F.col("__fixed"), 2 * HALF / POINTS).otherwise((high - middle) / half),
+    })
+    points = steps.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(POINTS))))
+    centred = F.col("__mid") + (i - half) * F.when(i < half, F.col("h")).otherwise(F.col("up_h"))
+    points = points.withColumn("t", F.when(F.col("__fixed"), F.lit(-HALF) + F.lit(2 * HALF) * i / POINTS).otherwise(centred))
+    return points.withColumn("w", _density(F.col("t")))
 
 
 def rate_posterior(rows: DataFrame, key: str, exposure: str = "xg_total", outcome: str = "goals_total", digits: int = 4) -> DataFrame:
-    """key, mean_rate, probability (rate above 1), sd_rate and edge_mass, rounded to ``digits``.
+    """key, mean_rate, probability (rate above 1), sd_rate, edge_mass and sd_steps, rounded to ``digits``.
 
     ``rows`` has one row a key. No exposure and no outcome gives the prior. A key
     with outcomes on no exposure is left out (see :func:`quality`). edge_mass is
-    the weight of the two outer points; beyond 1e-9 the grid is too short.
+    the weight of the two outer points; beyond 1e-9 the grid is too short. sd_steps
+    is the posterior's standard deviation in steps of the grid; below 1 the grid is too coarse.
     """
-    w, half = F.col("w"), POINTS // 2
-    above = F.when(F.col("i") > half, w).when(F.col("i") == half, w / 2).otherwise(0.0)
-    sums = _grid(rows, key, exposure, outcome).groupBy(key).agg(
-        F.sum("w").alias("w"), F.sum(w * F.exp("t")).alias("w1"), F.sum(w * F.exp(2 * F.col("t"))).alias("w2"), F.sum(above).alias("up"),
-        F.sum(F.when(F.col("i").isin(0, POINTS), w).otherwise(0.0)).alias("edge"))
+    w, half, i = F.col("w"), POINTS // 2, F.col("i")
+    # Simpson's rule on each side of the middle of a centred grid; its ends are even points.
+    simpson = F.when(i.isin(0, half, POINTS), 1.0).when(i % 2 == 0, 2.0).otherwise(4.0) / 3
+    below = F.when(i > half, 0.0).otherwise(F.when(F.col("__fixed"), F.when(i == half, w / 2).otherwise(w)).otherwise(w * F.col("h") * simpson))
+    above = F.when(i < half, 0.0).otherwise(F.when(F.col("__fixed"), F.when(i == half, w / 2).otherwise(w)).otherwise(w * F.col("up_h") * simpson))
+    step = F.greatest("h", "up_h")
+    points = _grid(rows, key, exposure, outcome, threshold=True).withColumns({"up": above, "edge": F.when(i.isin(0, POINTS), F.when(F.col("__fixed"), w).otherwise(w * step)).otherwise(0.0), "steps": F.col("__sd") / step, "w": below + above})
+    sums = points.groupBy(key).agg(
+        F.sum("w").alias("w"), F.sum(w * F.exp("t")).alias("w1"), F.sum(w * F.exp(2 * F.col("t"))).alias("w2"), F.sum("up").alias("up"),
+        F.sum("edge").alias("edge"), F.min("steps").alias("steps"))
     mean = F.col("w1") / F.col("w")
     return sums.select(
         key, rounded(mean, digits).alias("mean_rate"), rounded(F.col("up") / F.col("w"), digits).alias("probability"),
-        rounded(F.sqrt(F.greatest(F.col("w2") / F.col("w") - mean * mean, F.lit(0.0))), digits).alias("sd_rate"), rounded(F.col("edge") / F.col("w"), 9).alias("edge_mass"))
+        rounded(F.sqrt(F.greatest(F.col("w2") / F.col("w") - mean * mean, F.lit(0.0))), digits).alias("sd_rate"), rounded(F.col("edge") / F.col("w"), 9).alias("edge_mass"), rounded(F.col("steps"), 2).alias("sd_steps"))
 
 
 def posterior_summary(rows: DataFrame, key: str, exposure: str = "xg_total", outcome: str = "goals_total", low: float = 0.03, high: float = 0.97) -> DataFrame:
-    """key, mean_rate, sd_rate and the equal-tailed interval: the first grid rates whose running weight reaches each share."""
+    """key, mean_rate, sd_rate and the equal-tailed interval.
+
+    On the fixed grid its ends are the first grid rates whose running weight reaches each share; on a centred grid they lie between points.
+    """
     order = Window.partitionBy(key).orderBy("i")
     points = _grid(rows, key, exposure, outcome)
-    running = points.withColumns({"upto": F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    running = points.withColumns({
+        "upto": F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        "cell": (F.col("w") + F.coalesce(F.lag("w").over(order), F.lit(0.0))) / 2,
+    })
     rate = F.exp("t")
 
     def quantile(share: float) -> Column:
-        return F.min(F.when(F.col("upto") >= share * F.col("total"), F.col("i")))
+        want, at = share * F.col("total"), F.col("upto") - F.when(F.col("__fixed"), 0.0).otherwise(F.col("w") / 2)
+        t = F.when(F.col("__fixed"), F.col("t")).otherwise(F.col("t") - F.col("h") * (at - want) / F.col("cell"))
+        return F.min(F.when(at >= want, F.struct("i", t.alias("t"))))["t"]
 
     sums = running.groupBy(key).agg(F.sum("w").alias("w"), F.sum(F.col("w") * rate).alias("w1"), F.sum(F.col("w") * rate * rate).alias("w2"), quantile(low).alias("lo"), quantile(high).alias("hi"))
     mean = F.col("w1") / F.col("w")
-    at = {c: rounded(F.exp(F.lit(-HALF) + F.lit(2 * HALF) * F.col(c) / POINTS), 4) for c in ("lo", "hi")}
+    at = {c: rounded(F.exp(c), 4) for c in ("lo", "hi")}
     return sums.select(key, rounded(mean, 4).alias("mean_rate"), rounded(F.sqrt(F.greatest(F.col("w2") / F.col("w") - mean * mean, F.lit(0.0))), 4).alias("sd_rate"), at["lo"].alias("low"), at["hi"].alias("high"))
 
 
@@ -81,10 +134,22 @@ def decision(profit: Column) -> Column:
 
 
 def superiority(pairs: DataFrame, rows: DataFrame, key: str, a: str = "a", b: str = "b", exposure: str = "xg_total", outcome: str = "goals_total") -> DataFrame:
-    """For each of the ``pairs`` (a, b): the chance that a's rate is above b's, ties on the grid counting half."""
-    order = Window.partitionBy(key).orderBy("i")
-    points = _grid(rows, key, exposure, outcome)
-    chance = points.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy(key))).withColumn("f", F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    left = pairs.join(chance.select(F.col(key).alias(a), "i", F.col("p").alias("p_a")), a)
-    right = chance.select(F.col(key).alias(b), "i", F.col("p").alias("p_b"), F.col("f").alias("f_b"))
-    return left.join(right, [b, "i"]).groupBy(a, b).agg(rounded(F.sum(F.col("p_a") * (F.col("f_b") - F.col("p_b") / 2)), 4).alias("p_superior"))
+    """For each of the ``pairs`` (a, b): the chance that a's rate is above b's, ties on the grid counting half.
+
+    Both are laid on one grid: the fixed one if it holds for both. Otherwise the
+    ends of their ranges (mode and 8 sd on each side) split the axis into three
+    parts of equal cells: in each part a density is either resolved or next to nothing.
+    """
+    modes, names = _modes(rows, key, exposure, outcome), ("s", "g", "m", "sd", "fixed")
+    sides = [modes.select(F.col(key).alias(n), *(F.col(f"__{c}").alias(f"__{c}_{x}") for c in names)) for n, x in ((a, "a"), (b, "b"))]
+    both = pairs.join(sides[0], a).join(sides[1], b)
+    ends = F.sort_array(F.array(*(F.col(f"__m_{x}") + sign * SDS * F.col(f"__sd_{x}") for x in "ab" for sign in (-1, 1))))
+    both = both.withColumns({"__fixed": F.col("__fixed_a") & F.col("__fixed_b"), "__ends": ends})
+    points = both.withColumn("i", F.explode(F.sequence(F.lit(0), F.when(F.col("__fixed"), POINTS).otherwise(3 * POINTS - 1))))
+    part = F.floor(F.col("i") / POINTS).cast("int")
+    start, h = F.get("__ends", part), (F.get("__ends", part + 1) - F.get("__ends", part)) / POINTS
+    points = points.withColumns({"h": F.when(F.col("__fixed"), 1.0).otherwise(h), "t": F.when(F.col("__fixed"), F.lit(-HALF) + F.lit(2 * HALF) * F.col("i") / POINTS).otherwise(start + (F.col("i") % POINTS + 0.5) * h)})
+    points = points.withColumns({f"w_{x}": _density(F.col("t"), f"_{x}") * F.col("h") for x in "ab"})
+    upto = F.sum("w_b").over(Window.partitionBy(a, b).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    placed = points.withColumn("won", F.col("w_a") * (upto - F.col("w_b") / 2))
+    return placed.groupBy(a, b).agg(rounded(F.sum("won") / (F.sum("w_a") * F.sum("w_b")), 4).alias("p_superior"))

@@ -25,7 +25,7 @@ def log_players(spark: SparkSession, folder: str) -> DataFrame:
     features = log_features(spark, folder)
     posterior = rates.rate_posterior(features, "entity").withColumnRenamed("entity", "__entity")
     profit = rates.expected_profit(F.col("mean_rate"), F.col("xg_total"), F.lit(TRANSFER_COST + SALARY_COST), VALUE_FACTOR)
-    joined = features.join(posterior, F.col("entity") == F.col("__entity")).drop("__entity", "sd_rate", "edge_mass")
+    joined = features.join(posterior, F.col("entity") == F.col("__entity")).drop("__entity", "sd_rate", "edge_mass", "sd_steps")
     return joined.withColumns({"style": events.style(), "efficiency": events.efficiency(), "profit": profit}).withColumn("decision", rates.decision(F.col("profit")))
 
 

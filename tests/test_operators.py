@@ -2,6 +2,7 @@
 
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,38 @@ def test_written_results_and_tolerant_reads(spark, tmp_path):
     assert sorted(r["player"] for r in tables.table(spark, str(tmp_path), "t", tolerant=True).select("player").collect()) == [1, 2]
     stacked = tables.stacked(rows, rows.withColumn("more", F.lit(1)))
     assert stacked.count() == 4 and stacked.where("more IS NULL").count() == 2
+
+
+def test_posterior_of_large_sums(spark):
+    cases = [(s, g) for n in (1e3, 1e4, 1e6, 1e8) for s, g in ((n, n), (n, n + 0.7 * n**0.5), (n / 3, n))] + [(1e6, 0), (1e-3, 50), (4.0, 4)]
+    rows = spark.createDataFrame([(i, float(s), float(g)) for i, (s, g) in enumerate(cases)], "k int, xg_total double, goals_total double")
+
+    def fine(s, g):
+        """Log rates around the mode, the chance of each cell, and the posterior's standard deviation there."""
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            m = (low + high) / 2
+            low, high = (m, high) if s * np.exp(m) + 4 * m < g else (low, m)
+        sd = 1 / np.sqrt(s * np.exp(m) + 4)
+        d = (np.arange(400_000) + 0.5) / 400_000 * 24 * sd - 12 * sd
+        p = np.exp(g * d - s * np.exp(m) * np.expm1(d) - 2 * d * (d + 2 * m))
+        return m + d, p / p.sum(), sd
+
+    found = {r["k"]: r for r in rates.rate_posterior(rows, "k", digits=9).collect()}
+    ends = {r["k"]: r for r in rates.posterior_summary(rows, "k").collect()}
+    for k, (s, g) in enumerate(cases):
+        (t, p, sd), r = fine(s, g), found[k]
+        mean = (p * np.exp(t)).sum()
+        assert r["mean_rate"] == pytest.approx(mean, rel=1e-7, abs=1e-9) and r["probability"] == pytest.approx(p[t > 0].sum(), abs=1e-5), (s, g)
+        assert r["sd_rate"] == pytest.approx(np.sqrt((p * (np.exp(t) - mean) ** 2).sum()), rel=1e-3, abs=2e-9) and r["edge_mass"] < 1e-9 and r["sd_steps"] >= 1
+        if k < len(cases) - 1:
+            for name, share in (("low", 0.03), ("high", 0.97)):
+                want = np.exp(np.interp(share, p.cumsum(), t))
+                assert ends[k][name] == pytest.approx(want, abs=5.1e-5 + 2e-3 * sd * want), (s, g)
+    pairs = [(a, b) for a in range(len(cases)) for b in range(len(cases)) if a != b]
+    got = {(r["a"], r["b"]): r["p_superior"] for r in rates.superiority(spark.createDataFrame(pairs, "a int, b int"), rows, "k").collect()}
+    assert len(got) == len(pairs)
+    each = [fine(s, g) for s, g in cases]
+    for a, b in pairs:
+        (t, p, _), (u, q, _) = each[a], each[b]
+        assert got[a, b] == pytest.approx((p * np.interp(t, u, q.cumsum() - q / 2, 0, 1)).sum(), abs=2e-4), (cases[a], cases[b])
