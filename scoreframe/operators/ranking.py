@@ -37,8 +37,19 @@ def compared(pairs: DataFrame, rows: DataFrame, key: str, a: str = "a", b: str =
         F.when(F.col(f"probability_{a}") > F.col(f"probability_{b}"), F.col(a)).otherwise(F.col(b)).alias("more_probable"), f"style_{a}", f"style_{b}")
 
 
-def neighbour_pairs(rows: DataFrame, key: str, by: str = "profit", n: int = 10) -> DataFrame:
-    """Pairs (a, b) of neighbours in rank among the best ``n`` rows."""
-    best = rows.orderBy(F.col(by).desc(), key).limit(n)
-    order = Window.orderBy(F.col(by).desc(), key)
-    return best.select(F.col(key).alias("a"), F.lead(key).over(order).alias("b")).where("b IS NOT NULL")
+def neighbour_pairs(rows: DataFrame, key: str, by: str = "profit", n: int | None = None) -> DataFrame:
+    """Pairs (a, b) of neighbours in rank among all rows, or the best ``n``.
+
+    Ranges of the order are worked apart: a row's neighbour is the next one of its
+    range. The first and last rows of all ranges form a group of their own, in which
+    a last row is followed by the first one of the next range.
+    """
+    rows = rows.select(F.col(key).alias("a"), F.col(by).alias("__by"))
+    order = [F.col("__by").desc(), F.col("a")]
+    if n is not None:
+        return rows.orderBy(*order).limit(n).select("a", F.lead("a").over(Window.orderBy(*order)).alias("b")).where("b IS NOT NULL")
+    ranges = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    within = Window.partitionBy("__range").orderBy(*order)
+    placed = ranges.withColumns({"b": F.lead("a").over(within), "__first": F.row_number().over(within) == 1})
+    edges = Window.partitionBy(F.when(F.col("b").isNull() | F.col("__first"), -1).otherwise(F.col("__range"))).orderBy(*order)
+    return placed.withColumn("__next", F.lead("a").over(edges)).select("a", F.coalesce("b", "__next").alias("b")).where("b IS NOT NULL")

@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = oracles.SQL
 #: Fixed parameters of the registered queries.
 YEAR, STATUS, NATION, USER, UNION_YEARS = 1997, "F", 3, 8, (1997, 1998)
+#: Best entities whose neighbours are paired, as the SQL has it; the queries named ``_all`` pair every entity.
+BEST = 10
 UNREACHABLE, CHOSEN = ["efficace", "rentable"], ["rentable", "low_risk"]
 
 
@@ -123,6 +125,12 @@ def needs_lookup(spark, folder):
 
 @query
 def pair_compare(spark, folder):
+    players = boards.log_players(spark, folder)
+    return ranking.compared(ranking.neighbour_pairs(players, "entity", n=BEST), players, "entity")
+
+
+@query
+def pair_compare_all(spark, folder):
     players = boards.log_players(spark, folder)
     return ranking.compared(ranking.neighbour_pairs(players, "entity"), players, "entity")
 
@@ -279,13 +287,21 @@ def explanation_text(spark, folder):
     return boards.log_players(spark, folder).select("entity", said.alias("explanation"))
 
 
-@query
-def comparison_text(spark, folder):
-    pairs = pair_compare(spark, folder)
+def _said(pairs):
     said = F.concat(F.lit("profit: "), F.col("more_profit").cast("string"), F.lit(", probability: "), F.col("more_probable").cast("string"), F.lit(", styles: "), F.col("style_a"), F.lit(" / "), F.col("style_b"))
     return pairs.select("a", "b", said.alias("comparison"))
 
 
+@query
+def comparison_text(spark, folder):
+    return _said(pair_compare(spark, folder))
+
+
+@query
+def comparison_text_all(spark, folder):
+    return _said(pair_compare_all(spark, folder))
+
+
 @query
 def response_text(spark, folder):
     return strategies.response(boards.answered_requests(spark, folder), "entity").select("conv_id", "turn", "response")
@@ -293,6 +309,12 @@ def response_text(spark, folder):
 
 @query
 def posterior_superiority(spark, folder):
+    features = boards.log_features(spark, folder)
+    return rates.superiority(ranking.neighbour_pairs(boards.log_players(spark, folder), "entity", n=BEST), features, "entity")
+
+
+@query
+def posterior_superiority_all(spark, folder):
     features = boards.log_features(spark, folder)
     return rates.superiority(ranking.neighbour_pairs(boards.log_players(spark, folder), "entity"), features, "entity")
 

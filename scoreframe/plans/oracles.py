@@ -271,3 +271,5 @@ SELECT r.*, players, mean_probability, squad_profit, coalesce(l.needs, '') AS ne
     "request_board": _with(ANSWERED, f"SELECT conv_id, turn, strategies, a.entity, a.profit, fallback, style, efficiency, probability, decision, response FROM (SELECT *, {_RESPONSE} AS response FROM answered) a LEFT JOIN players p ON a.entity = p.entity"),
     **{f"scenario_{n}": _with(SCORED, f"SELECT player, {s} AS {n}_score, {_LEVEL.format(s)} AS {n}_level, {r} AS {n}_reasons FROM scored") for n, (s, r) in _SCENARIOS.items()},
 }
+#: The same over all entities: without the bound on the rank.
+SQL |= {f"{n}_all": SQL[n].replace(" WHERE n <= 10) WHERE b", ") WHERE b") for n in ("pair_compare", "comparison_text", "posterior_superiority")}

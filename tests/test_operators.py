@@ -166,3 +166,18 @@ def test_posterior_of_large_sums(spark):
     for a, b in pairs:
         (t, p, _), (u, q, _) = each[a], each[b]
         assert got[a, b] == pytest.approx((p * np.interp(t, u, q.cumsum() - q / 2, 0, 1)).sum(), abs=2e-4), (cases[a], cases[b])
+
+
+def test_neighbour_pairs_of_all_rows(spark):
+    rows = spark.range(500).selectExpr("id AS k", "CAST(id * 7919 % 61 AS double) AS profit")
+    ranked = sorted(((r["k"], r["profit"]) for r in rows.collect()), key=lambda r: (-r[1], r[0]))
+    want = sorted((a[0], b[0]) for a, b in zip(ranked[:-1], ranked[1:], strict=True))
+    assert sorted(map(tuple, ranking.neighbour_pairs(rows, "k").collect())) == want
+    assert sorted(map(tuple, ranking.neighbour_pairs(rows.repartition(7), "k", n=10).collect())) == sorted((a[0], b[0]) for a, b in zip(ranked[:9], ranked[1:10], strict=True))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as many ranges as partitions
+    try:
+        for few in (rows, rows.limit(3), rows.limit(1)):
+            assert len(ranking.neighbour_pairs(few, "k").collect()) == few.count() - 1
+        assert sorted(map(tuple, ranking.neighbour_pairs(rows, "k").collect())) == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
