@@ -7,9 +7,11 @@ weight a feature, shared by all grades, and ascending thresholds.
 
 The labels only say toxic or not. Grade 0 is not toxic; labelled toxic texts are
 graded 1 to ``GRADES`` by how many words tied to the toxic label are in them
-(equal shares of the sample). The classifier is fitted on at most
-``MAX_LABELLED`` labelled documents, those with the smallest hashes of their ids;
-scores are for every document.
+(equal shares of the sample). Features are counted over every labelled document
+and kept at a bounded share of false ones, so more labels find rarer words. Their
+weights are fitted on at most ``MAX_LABELLED`` of those documents, drawn by label
+(toxic ones first), and the thresholds are set back to the share of toxic labels
+among all; scores are for every document.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from pyspark.sql import types as T
 from scoreframe.llm import ragged, shared
 
 CHUNK_BYTES = 2 << 20
-#: Labelled documents that the classifier is fitted on, at most.
+#: Labelled documents that the weights are fitted on, at most.
 MAX_LABELLED = 12_000
-#: Features kept, at most, and what a kept one needs: documents of the sample, and standard deviations from no association.
-MAX_FEATURES, LEAST_DOCS, LEAST_Z = 4096, 5, 6.0
+#: Features kept, at most, and the share of them that may be kept by chance (Benjamini and Hochberg's bound).
+MAX_FEATURES, FALSE_SHARE = 4096, 0.05
+#: Bins of a unit of log chance, for the bound.
+BINS = 4
 GRADES = 3
 PREFIXES = (4, 5, 6)
 _PUNCTUATION = np.zeros(256, bool)
@@ -129,11 +133,49 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - z[:, None], -500, 500)))
 
 
-def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int) -> DataFrame:
-    """Texts of at most ``most`` labelled documents, the smallest hashes of their ids."""
-    chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label)).cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("__key"), "__key").limit(most)
-    return docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(chosen), F.col("__id") == F.col("__key")).select("text", "toxic")
+def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
+    """Id, text and label of every labelled document that has a text."""
+    chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__key")).agg((F.max(F.col(label)) != 0).cast("int").alias("toxic"))
+    chosen = chosen.hint("merge")  # labels grow with the documents: not to be broadcast
+    return docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(chosen, F.col("__id") == F.col("__key")).select("text", "toxic", "__id")
+
+
+def _drawn(labelled: DataFrame, n_bad: int, n_good: int, most: int) -> DataFrame:
+    """Rows of at most ``most`` ids: toxic ones, then clean ones, those of the smallest hashes; where both are many, half each."""
+    bad = min(n_bad, max(most - most // 2, most - n_good))
+    ids = labelled.select(F.col("__id").alias("__key"), F.col("toxic").alias("__toxic")).distinct()
+    parts = [ids.where(F.col("__toxic") == is_bad).orderBy(F.xxhash64("__key"), "__key").limit(n) for is_bad, n in ((1, bad), (0, most - bad))]
+    return labelled.join(F.broadcast(parts[0].union(parts[1])), F.col("__id") == F.col("__key"))
+
+
+def _kept(counts: DataFrame, n_bad: int, n_good: int) -> list:
+    """Features tied to the label, at most ``MAX_FEATURES``, with how many more toxic documents they have than their share (z).
+
+    A feature's chance under no tie is bounded by Chernoff's bound on the binomial
+    tail, which holds for few documents too. Benjamini and Hochberg's step-up bound
+    on the counts of its bins gives the chance up to which features are kept; features too
+    rare to get below ``FALSE_SHARE`` in any case are no tests. Of more than
+    ``MAX_FEATURES``, those of the largest cautious log odds ratio stay, that is less two standard errors.
+    """
+    share, n = n_bad / (n_bad + n_good), F.col("bad") + F.col("good")
+
+    def part(x: str, p: float):
+        return F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / (n * p))).otherwise(0.0)
+
+    ratio = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - float(np.log(n_bad / n_good))
+    sure = F.abs(ratio) - 2 * F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    tested = counts.where(n * float(-np.log(min(share, 1 - share))) >= float(-np.log(FALSE_SHARE / 2)))
+    tested = tested.select("feature", (part("bad", share) + part("good", 1 - share)).alias("far"), (F.col("bad") - n * share).alias("z"), sure.alias("sure"))
+    # Chances are bounded by 2 exp(-far); a bin stands for the largest chance in it.
+    bins = sorted((r["bin"], r["count"]) for r in tested.groupBy(F.least(F.floor(F.col("far") * BINS), F.lit(4000)).alias("bin")).count().collect())
+    total, above, cut = sum(c for _, c in bins), 0, None
+    for i, count in reversed(bins):
+        above += count
+        if np.log(2 * total) - i / BINS <= np.log(FALSE_SHARE * above):
+            cut = i
+    if cut is None:
+        return []
+    return tested.where(F.col("far") >= cut / BINS).orderBy(F.col("sure").desc(), F.col("far").desc(), "feature").limit(MAX_FEATURES).select("feature", "z").collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_LABELLED) -> OrdinalModel:
@@ -141,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     Without any toxic label, or any clean one, no feature is kept and every text has severity near the sample's share.
     """
-    sample = shared.written(_sample(docs, labels, key, text, label, most), "labelled")
+    labelled = shared.written(_labelled(docs, labels, key, text, label), "labelled")
 
     def presence(batches):
         for batch in batches:
@@ -154,16 +196,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 bad = toxic[i:j][rows] != 0
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.bincount(which, bad, len(found)).astype(np.int64)), pa.array(np.bincount(which, ~bad, len(found)).astype(np.int64))], ["feature", "bad", "good"])
 
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy((F.col("toxic") != 0).cast("int").alias("toxic")).count().collect()}
-    n_bad, n_good = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    share = (F.col("bad") + F.col("good") + 1) / F.lit(n_bad + n_good + 2)
-    z = (F.col("bad") - n_bad * share) / F.sqrt(F.greatest(n_bad * share * (1 - share), F.lit(1e-9))) * F.sqrt(F.lit((n_bad + n_good + 1) / (n_good + 1)))
-    kept = (
-        sample.mapInArrow(presence, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-        .where(F.col("bad") + F.col("good") >= LEAST_DOCS).select("feature", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "feature").limit(MAX_FEATURES).collect()
-    )
-    if not n_bad or not n_good:
-        kept = []
+    sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
+    counts = labelled.select("text", "toxic").mapInArrow(presence, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    kept = []
+    if n_bad and n_good:
+        counts = shared.written(counts.where(F.col("bad") + F.col("good") > 1), "features")
+        kept = _kept(counts, n_bad, n_good)
+        shared.discard(counts)
     features = FeatureSet(np.array([r["feature"] for r in kept], np.int64).view(np.uint64))
     signs = dict(zip(np.array([r["feature"] for r in kept], np.int64).view(np.uint64).tolist(), [r["z"] for r in kept], strict=True))
     marks = np.array([signs[h] > 0 for h in features.hashes.tolist()], bool)
@@ -180,8 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(toxic[i:j].astype(np.int64)), pa.array(amount), *(ragged.binary_column([x[a:b] for a, b in parts]) for x in (column.astype(np.uint16), count.astype(np.uint32)))], ["toxic", "amount", "columns", "counts"])
 
     # At most ``most`` rows of at most MAX_FEATURES entries come to the driver.
-    rows = sample.mapInArrow(encoded, "toxic long, amount double, columns binary, counts binary").orderBy("toxic", "amount", "columns", "counts").collect()
-    shared.discard(sample)
+    rows = _drawn(labelled, n_bad, n_good, most).select("text", "toxic").mapInArrow(encoded, "toxic long, amount double, columns binary, counts binary").orderBy("toxic", "amount", "columns", "counts").collect()
+    shared.discard(labelled)
     if not rows or not len(features.hashes):
         risk = (n_bad + 0.5) / (n_bad + n_good + 1)
         return OrdinalModel(features, np.zeros(len(features.hashes)), np.full(GRADES, np.log((1 - risk) / risk)) + np.arange(GRADES))
@@ -191,7 +231,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     bad, amount = np.array([r["toxic"] for r in rows]) != 0, np.array([r["amount"] for r in rows])
     steps = np.quantile(amount[bad], np.arange(1, GRADES) / GRADES)
     grade = np.where(bad, 1 + np.searchsorted(steps, amount, "right"), 0)
-    return OrdinalModel.fit(features, np.concatenate(columns), row, value, grade)
+    model = OrdinalModel.fit(features, np.concatenate(columns), row, value, grade)
+    # Toxic rows are drawn more often than clean ones; only the thresholds depend on that.
+    drawn = np.log(np.sum(bad) / np.sum(~bad)) - np.log(n_bad / n_good)
+    return OrdinalModel(features, model.weights, model.thresholds + drawn)
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", reject_at: float = 0.2) -> DataFrame:

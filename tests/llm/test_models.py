@@ -202,3 +202,20 @@ def test_random_urls_parse(spark):
     urls = ["".join(rng.choice(["http", "://", "/", "?", "#", "A.com", "en", ".", "net", "é"]) for _ in range(rng.randrange(9))) for _ in range(300)]
     got = url_filter.with_host_and_path(spark.createDataFrame([(u,) for u in urls], "url string")).collect()
     assert [(r["host"], r["path"]) for r in got] == [parse(r["url"]) for r in got]
+
+
+def test_toxicity_learns_rare_wordings_from_all_labels(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(20)) + (f" {('grobian', 'canalla')[i % 2]}" if i < 24 else "")) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.range(3000).selectExpr("id AS doc_id", "int(id < 24) AS toxic")
+    got = toxicity.score(docs, toxicity.fit(docs, labels, most=600)).collect()
+    assert {r["doc_id"] for r in got if r["rejected"]} == set(range(24))
+    assert np.mean([r["p_grade_1"] for r in got if r["doc_id"] >= 24]) < 0.02
+
+
+def test_toxicity_draws_by_label(spark):
+    labelled = spark.range(1000).selectExpr("'t' AS text", "int(id < 300) AS toxic", "id AS __id")
+    for n_bad, most, want in ((300, 600, (300, 300)), (300, 400, (200, 200)), (300, 2000, (300, 700))):
+        drawn = [r["toxic"] for r in toxicity._drawn(labelled, n_bad, 1000 - n_bad, most).collect()]
+        assert (sum(drawn), len(drawn) - sum(drawn)) == want
