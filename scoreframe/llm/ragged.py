@@ -1,7 +1,7 @@
 """Numpy helpers over flat byte buffers: rows, spans, hashes and ragged gathers.
 
 A column of texts is one byte array with row offsets; a span is a pair of byte
-positions. Everything here works on whole arrays and holds no state.
+positions. Everything here works on whole arrays; only :class:`WordIds` holds state.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes hashed at a time, which bounds the memory of :func:`span_hashes`.
-HASH_BLOCK = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Longer spans are hashed, and compared, in pieces of so many bytes.
+PIECE_BYTES = 512
+GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Keeps the first 0 .. 8 bytes of a block.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: The white space of the contracts, 0x20 and 0x09 to 0x0D.
 WHITE_SPACE = np.zeros(256, bool)
@@ -69,29 +70,70 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; zeros follow the end."""
+    return _blocks(np.concatenate([data, np.zeros(8, np.uint8)]))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each span's bytes, wherever it stands. Starts must ascend."""
+def _blocks(padded: np.ndarray) -> np.ndarray:
+    return np.ndarray((len(padded) - 7,), np.dtype("<u8"), padded.data, 0, (1,))
+
+
+def _chained(block: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """Each span's blocks mixed in one after another."""
     out = np.empty(len(starts), np.uint64)
+    live, at, left = np.arange(len(starts)), starts, sizes
+    h = mix(sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
+    while len(live):
+        h = mix(h ^ (block[at] & _LOW[np.minimum(left, 8)])) + GOLD
+        out[live] = h
+        more = left > 8
+        live, at, left, h = live[more], at[more] + 8, left[more] - 8, h[more]
+    return out
+
+
+def _pieces(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and sizes of the pieces of all spans, each piece's place in its span, and each span's first piece."""
+    n = np.maximum(-(-sizes // PIECE_BYTES), 1)
+    nth = ragged_index(np.zeros(len(n), np.int64), n)
+    at = np.repeat(starts, n) + nth * PIECE_BYTES
+    return at, np.minimum(np.repeat(starts + sizes, n) - at, PIECE_BYTES), nth, np.cumsum(n) - n
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each span's bytes, wherever it stands. Hashes of different seeds are independent."""
     if not len(starts):
-        return out
-    first = np.flatnonzero(np.diff(starts // HASH_BLOCK, prepend=-1))
-    up, down = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    for a, b in zip(first, [*first[1:], len(starts)], strict=True):
-        low, high = int(starts[a]), int(ends[a:b].max())
-        if len(up) < high - low + 1:
-            up, down = _powers(_BASE, high - low + 1), _powers(_INVERSE, high - low + 1)
-        part = data[low:high].astype(np.uint64) + np.uint64(1)
-        total = np.zeros(high - low + 1, np.uint64)
-        np.cumsum(part * up[: high - low], out=total[1:])
-        s, e = starts[a:b] - low, ends[a:b] - low
-        out[a:b] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(out + np.uint64(seed))
+        return np.zeros(0, np.uint64)
+    block, sizes = blocks(data), ends - starts
+    if sizes.max() <= PIECE_BYTES:
+        return _chained(block, starts, sizes, seed)
+    out, long = np.empty(len(starts), np.uint64), sizes > PIECE_BYTES
+    out[~long] = _chained(block, starts[~long], sizes[~long], seed)
+    at, size, nth, first = _pieces(starts[long], sizes[long])
+    parts = mix(_chained(block, at, size, seed) + GOLD * (nth.astype(np.uint64) + np.uint64(1)))
+    out[long] = mix(np.add.reduceat(parts, first) + sizes[long].astype(np.uint64))
+    return out
+
+
+def same_spans(block: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, at: np.ndarray, other_sizes: np.ndarray) -> np.ndarray:
+    """Whether each span of the one side has the same bytes as that of the other; sides are given by :func:`blocks`."""
+    same = sizes == other_sizes
+    if len(sizes) and sizes.max() > PIECE_BYTES:
+        long = np.flatnonzero(same & (sizes > PIECE_BYTES))
+        short = np.flatnonzero(same & (sizes <= PIECE_BYTES))
+        same[short] = same_spans(block, starts[short], sizes[short], other, at[short], sizes[short])
+        if len(long):
+            a, size, _, first = _pieces(starts[long], sizes[long])
+            same[long] = np.logical_and.reduceat(same_spans(block, a, size, other, _pieces(at[long], sizes[long])[0], size), first)
+        return same
+    live = np.flatnonzero(same)
+    a, b, left = starts[live], at[live], sizes[live]
+    while len(live):
+        alike = ((block[a] ^ other[b]) & _LOW[np.minimum(left, 8)]) == 0
+        same[live[~alike]] = False
+        more = alike & (left > 8)
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    return same
 
 
 def ragged_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -108,51 +150,120 @@ def run_starts(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
 
 
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """First position of each run of equal values, and the one after its last."""
+    start = run_starts(values).tolist()
+    return list(zip(start, [*start[1:], len(values)], strict=False))
+
+
 def binary_column(parts: list) -> pa.Array:
     return pa.array([memoryview(np.ascontiguousarray(p)).tobytes() for p in parts], pa.binary())
 
 
 class WordIds:
-    """Token ids of the words met so far by one Python worker.
+    """Token ids of the words met so far by one Python worker, found by an open-addressed table of hashes.
 
-    It only saves work: a word left out is encoded again. When ``most`` words are
-    held the store starts afresh, so its memory is bounded.
+    It only saves work: a word left out is encoded again. A word found by its hash
+    counts only if its bytes are the stored ones. Beyond ``most`` words or
+    ``most_bytes`` bytes, those met again since the last time stay and the others
+    go, so its memory is bounded.
     """
 
-    def __init__(self, most: int = 400_000, say: bool = False):
-        self.most, self.say = most, say
-        self._clear()
-
-    def _clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.words = 0
+    def __init__(self, most: int = 500_000, most_bytes: int = 64 << 20, say: bool = False):
+        self.most, self.most_bytes, self.say = most, most_bytes, say
         #: If asked for, each word's ids in decimal, joined by spaces.
         self.said: list[bytes] = []
-        self.flat, self.at, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def numbers(self, hashes: np.ndarray, encode) -> np.ndarray:
-        """Each word's number. ``encode(indices)`` gives the flat ids and the counts of words not met yet."""
-        distinct, index, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > self.most:
-            self._clear()
-        found = np.array([self.known.get(h, -1) for h in distinct.tolist()], np.int64)
-        fresh = np.flatnonzero(found < 0)
-        if len(fresh):
-            fresh = fresh[np.argsort(index[fresh])]
-            ids, counts = encode(index[fresh])
-            n, first = len(fresh), self.words
-            found[fresh] = np.arange(first, first + n)
-            self.flat, self.at, self.count = (self._room(a, k) for a, k in ((self.flat, self.used + len(ids)), (self.at, first + n), (self.count, first + n)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            ends = np.cumsum(counts)
-            self.at[first : first + n], self.count[first : first + n] = self.used + ends - counts, counts
-            self.used += len(ids)
-            self.words += n
-            self.known.update(zip(distinct[fresh].tolist(), range(first, first + n), strict=True))
-            numbers = ids.tolist() if self.say else []
-            self.said += [] if not self.say else [" ".join(map(str, numbers[b - c : b])).encode() for b, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-        return found[which]
+        self._take(np.zeros(0, np.int64))
+
+    def _take(self, words: np.ndarray) -> None:
+        """Keeps these words alone, numbered anew."""
+        if len(words):
+            hashes, counts, sizes = self.hash[words], self.count[words], self.size[words]
+            flat, raw = self.flat[ragged_index(self.at[words], counts)], self.raw[ragged_index(self.byte[words], sizes)]
+        else:
+            hashes, counts, sizes, flat, raw = np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.int32), np.zeros(0, np.uint8)
+        self.said = [self.said[w] for w in words.tolist()] if self.say else []
+        self.bits = 16
+        self.table, self.number = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.words = self.used = self.used_bytes = 0
+        self.hash, self.at, self.count, self.byte, self.size = np.zeros(1 << 14, np.uint64), *(np.zeros(1 << 14, np.int64) for _ in range(4))
+        self.again = np.zeros(1 << 14, bool)
+        self.flat, self.raw = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint8)
+        self._add(hashes, flat, counts, raw, sizes, np.ones(len(hashes), bool))
+
+    def _add(self, hashes: np.ndarray, flat: np.ndarray, counts: np.ndarray, raw: np.ndarray, sizes: np.ndarray, listed: np.ndarray) -> np.ndarray:
+        n, first = len(hashes), self.words
+        for name, needed in (("flat", self.used + len(flat)), ("raw", self.used_bytes + len(raw) + 8), *((c, first + n) for c in ("hash", "at", "count", "byte", "size", "again"))):
+            setattr(self, name, self._room(getattr(self, name), needed))
+        new = slice(first, first + n)
+        self.flat[self.used : self.used + len(flat)], self.raw[self.used_bytes : self.used_bytes + len(raw)] = flat, raw
+        self.at[new], self.byte[new] = self.used + np.cumsum(counts) - counts, self.used_bytes + np.cumsum(sizes) - sizes
+        self.hash[new], self.count[new], self.size[new], self.again[new] = hashes, counts, sizes, False
+        self.used, self.used_bytes, self.words = self.used + len(flat), self.used_bytes + len(raw), first + n
+        if 2 * self.words > len(self.table):
+            old = np.flatnonzero(self.table)
+            hashes_held, numbers_held = self.table[old], self.number[old]
+            self.bits = int(4 * self.words).bit_length()
+            self.table, self.number = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._list(hashes_held, numbers_held)
+        new_words = np.flatnonzero(listed & (hashes != 0))
+        self._list(hashes[new_words], first + new_words)
+        return np.arange(first, first + n)
+
+    def _list(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        """Puts distinct hashes into the table, each at the first free slot from its own on."""
+        slot = self._slots(hashes)
+        while len(hashes):
+            free = np.flatnonzero(self.table[slot] == 0)
+            took = free[np.unique(slot[free], return_index=True)[1]]
+            self.table[slot[took]], self.number[slot[took]] = hashes[took], numbers[took]
+            rest = np.ones(len(hashes), bool)
+            rest[took] = False
+            hashes, numbers, slot = hashes[rest], numbers[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of the word of each hash; -1 if there is none."""
+        found = np.full(len(hashes), -1, np.int64)
+        todo, slot = np.arange(len(hashes)), self._slots(hashes)
+        while len(todo):
+            held = self.table[slot]
+            here = (held == hashes[todo]) & (held != 0)
+            found[todo[here]] = self.number[slot[here]]
+            more = ~here & (held != 0)
+            todo, slot = todo[more], (slot[more] + 1) & ((1 << self.bits) - 1)
+        return found
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> np.ndarray:
+        """Each span's number. ``encode(indices)`` gives the flat ids and the counts of spans not met yet."""
+        if self.words > self.most or self.used_bytes > self.most_bytes:
+            kept = np.flatnonzero(self.again[: self.words])
+            self._take(kept if len(kept) <= self.most // 2 and self.size[kept].sum() <= self.most_bytes // 2 else np.zeros(0, np.int64))
+        hashes, sizes, block = span_hashes(data, starts, ends), ends - starts, blocks(data)
+        found = self._find(hashes)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            _, index, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+            order = np.argsort(index)
+            back = np.empty(len(order), np.int64)
+            back[order] = np.arange(len(order))
+            found[new] = self._encoded(data, starts, sizes, hashes, new[index[order]], encode, True)[back[which]]
+        old = np.ones(len(found), bool)
+        old[new] = False
+        self.again[found[old]] = True
+        other = np.flatnonzero(~same_spans(block, starts, sizes, _blocks(self.raw), self.byte[found], self.size[found]))
+        if len(other):
+            found[other] = self._encoded(data, starts, sizes, hashes, other, encode, False)
+        return found
+
+    def _encoded(self, data, starts, sizes, hashes, these: np.ndarray, encode, listed: bool) -> np.ndarray:
+        flat, counts = encode(these)
+        if self.say:
+            numbers, ends = flat.tolist(), np.cumsum(counts)
+            self.said += [" ".join(map(str, numbers[b - c : b])).encode() for b, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+        return self._add(hashes[these], flat, counts, data[ragged_index(starts[these], sizes[these])], sizes[these], np.full(len(these), listed))
 
     @staticmethod
     def _room(array: np.ndarray, needed: int) -> np.ndarray:

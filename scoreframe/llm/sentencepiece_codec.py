@@ -8,9 +8,11 @@ compacted; the rounds end when no word has a pair left.
 
 A merge is simultaneous only where that equals the library's order (best score
 first, then leftmost): if the merged piece is part of a piece of the same or a
-better rank, its word merges only the leftmost pair in that round. Words of more
-than ``LONG_WORD`` symbols (runs without a cut) take the same order from a heap,
-since rounds over one long run would take quadratic time.
+better rank, its word merges only the leftmost pair in that round. Words are also
+cut between characters that stand side by side in no piece, so Chinese or base64
+falls into short runs. What still has more than ``LONG_WORD`` symbols (such as one
+letter thousands of times) takes the same order from a heap, since rounds over one
+long run would take quadratic time.
 
 Only models with the identity normaliser, a dummy prefix and kept white space
 are taken; others are refused with ValueError.
@@ -80,6 +82,9 @@ class PieceTable:
                         if part < n and rank[i] <= rank[part]:
                             self.unsafe[part] = True
         self._hash_pairs(np.array(left, np.uint64), np.array(right, np.uint64), np.array(into, np.int32), rank)
+        #: Pairs of characters that stand side by side in some piece.
+        beside = {(symbols[p[k]] << 32) | symbols[p[k + 1]] for p in normal for k in range(len(p) - 1)}
+        self.beside = np.array(sorted(beside), np.int64)
         #: Bytes that stand in no piece of several characters: words are cut on both sides of them.
         inside = {b for p in normal if len(p) > 1 for b in p.encode()}
         self.alone = np.array([b not in inside and b < 128 and b != 0x20 for b in range(256)])
@@ -159,15 +164,18 @@ def _merge_heap(table: PieceTable, symbols: np.ndarray) -> np.ndarray:
     heap = [(r, i, i + 1, p) for i, (r, p) in enumerate(zip(rank, into, strict=True)) if r != _NONE]
     made = {(i, i + 1): (sym[i], sym[i + 1]) for _, i, _, _ in heap}
     heapq.heapify(heap)
-    dead = bytearray(n)
+    dead, memo = bytearray(n), {}
 
     def push(i: int, j: int) -> None:
         if i < 0 or j < 0:
             return
-        r, p = table.pairs(np.array([sym[i]]), np.array([sym[j]]))
-        if r[0] != _NONE:
-            made[i, j] = (sym[i], sym[j])
-            heapq.heappush(heap, (int(r[0]), i, j, int(p[0])))
+        pair = (sym[i], sym[j])
+        if pair not in memo:
+            memo[pair] = tuple(int(x[0]) for x in table.pairs(np.array(pair[:1]), np.array(pair[1:])))
+        r, p = memo[pair]
+        if r != _NONE:
+            made[i, j] = pair
+            heapq.heappush(heap, (r, i, j, p))
 
     while heap:
         _, i, j, piece = heapq.heappop(heap)
@@ -243,7 +251,14 @@ def encode_spans(table: PieceTable, data: np.ndarray, starts: np.ndarray, ends:
     word = np.searchsorted(np.cumsum(sizes), at, "right")
     sym = table.first[np.where(point == 0x20, 0x2581, point)].astype(np.int64)
     sym = np.where(sym >= 0, sym, -point - 1)
-    sym, word = merge_rounds(table, sym, word)
+    # A run is a part of a word that no piece reaches out of.
+    opens = np.ones(len(sym), bool)
+    key = (sym[:-1] << 32) | sym[1:]
+    at = np.minimum(np.searchsorted(table.beside, key), len(table.beside) - 1)
+    opens[1:] = (word[1:] != word[:-1]) | (table.beside[at] != key) | (sym[:-1] < 0) | (sym[1:] < 0)
+    word_of = word[opens]
+    sym, run = merge_rounds(table, sym, np.cumsum(opens) - 1)
+    word = word_of[run]
     foreign = (sym < 0) | (sym >= table.size)
     counts = np.bincount(word, minlength=len(starts))
     if not foreign.any():
@@ -307,8 +322,7 @@ def encode_texts(table: PieceTable, texts: list[str]) -> tuple[ragged.WordIds, n
     data = np.frombuffer(b"".join(rows), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
     starts, ends, first = cut_words(table, data, offsets)
-    hashes = ragged.span_hashes(data, starts, ends)
-    return (store := table.words), store.numbers(hashes, lambda k: encode_spans(table, data, starts[k], ends[k])), first
+    return (store := table.words), store.numbers(data, starts, ends, lambda k: encode_spans(table, data, starts[k], ends[k])), first
 
 
 def _batches(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:

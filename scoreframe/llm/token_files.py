@@ -6,9 +6,10 @@ The files hold one row a document: ``doc_id``, ``part`` (number of the file),
 and pages are bounded and have page indexes, so a reader can take the metadata
 alone, or the ids of a range of documents.
 
-Texts are cut before each run of white space. The tokenizer's own pattern never
-joins what stands on both sides of such a cut, so each distinct piece goes to the
-tokenizers library once and its ids are gathered for every place it stands at.
+Texts are cut before each run of white space, and between an ASCII letter or digit
+and ASCII punctuation. The tokenizer's own pattern never joins what stands on both
+sides of such a cut, so each distinct piece goes to the tokenizers library once
+and its ids are gathered for every place it stands at.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Unicode white space outside ASCII.
 WIDE_SPACES = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACES = frozenset(" \t\n\v\f\r" + WIDE_SPACES)
+_ALNUM, _PUNCTUATION = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 class ByteLevelTable:
@@ -52,27 +55,32 @@ class ByteLevelTable:
             raise ValueError("only byte-level tokenizers without normaliser and prefix space are supported")
         if any(t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"]) for t in kind["added_tokens"]):
             raise ValueError("an added token reaches across white space")
+        #: Bytes that each id stands for: the byte-level alphabet has a character for each byte.
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
+        self.whole = [t["content"].encode() for t in kind["added_tokens"]]
+        for t in kind["added_tokens"]:
+            self.bytes_of[t["id"]] = len(t["content"].encode())
         self.words = ragged.WordIds()
 
-    def encode_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raw = data.tobytes()
-        texts = [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    def encode_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of some pieces and how many each has; ``space`` tells which bytes are white space."""
         # A piece from white space to something else stays apart from others of its kind when they are joined.
-        tied = np.array([t[0] in SPACES and not t[-1].isspace() for t in texts], bool)
+        tied = space[starts] & ~space[ends - 1]
         order = np.concatenate([np.flatnonzero(tied), np.flatnonzero(~tied)])
-        sizes = np.array([len(t) for t in texts], np.int64)[order]
+        sizes = (ends - starts)[order]
+        stops = np.cumsum(sizes)
         many = int(tied.sum())
-        edges = [*range(0, many, JOINED), *range(many, len(texts) + 1)]
-        joined = ["".join(texts[i] for i in order[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-        ids, counts = [], []
-        encoded = (e for k in range(0, len(joined), 32) for e in self.tokenizer.encode_batch(joined[k : k + 32], add_special_tokens=False))
-        for a, b, e in zip(edges, edges[1:], encoded, strict=False):
-            stops = np.cumsum(sizes[a:b])
-            piece = np.searchsorted(stops, np.array([x for x, _ in e.offsets], np.int64), "right")
-            ids.append(np.array(e.ids, np.int32)), counts.append(np.bincount(piece, minlength=b - a))
-        flat, counts = np.concatenate(ids), np.concatenate(counts)
-        at, back = np.cumsum(counts) - counts, np.argsort(order)
-        return flat[ragged.ragged_index(at[back], counts[back])], counts[back]
+        edges = np.concatenate([np.arange(0, many, JOINED), np.arange(many, len(order) + 1)])
+        at = np.concatenate([[0], stops])[edges].tolist()
+        raw = data[ragged.ragged_index(starts[order], sizes)].tobytes()
+        texts = [raw[a:b].decode() for a, b in zip(at, at[1:], strict=False)]
+        encoded = (e for k in range(0, len(texts), 64) for e in self.tokenizer.encode_batch_fast(texts[k : k + 64], add_special_tokens=False))
+        flat = np.concatenate([np.array(e.ids, np.int32) for e in encoded])
+        # Every byte is in an id, so the ids' bytes say which piece they belong to.
+        piece = np.searchsorted(stops, np.cumsum(self.bytes_of[flat]), "left")
+        counts = np.bincount(piece, minlength=len(order))
+        begin, back = np.cumsum(counts) - counts, np.argsort(order)
+        return flat[ragged.ragged_index(begin[back], counts[back])], counts[back]
 
 
 @lru_cache(maxsize=2)
@@ -80,27 +88,41 @@ def byte_level_table(path: str) -> ByteLevelTable:
     return ByteLevelTable(path)
 
 
-def cut_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans that cover all rows, each cut before a run of white space; and the first span of each row."""
+_WIDE = np.sort(np.array([int.from_bytes(c.encode(), "little") for c in WIDE_SPACES], np.uint64))
+
+
+def white_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes of valid UTF-8 belong to white space, that outside ASCII included."""
     space = ragged.WHITE_SPACE[data]
-    if len(data) and data.max() >= 0xC2:
-        raw = data.tobytes()
-        for wide in map(str.encode, WIDE_SPACES):
-            at = raw.find(wide)
-            while at >= 0:
-                space[at : at + len(wide)] = True
-                at = raw.find(wide, at + len(wide))
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(lead):
+        size = np.where(data[lead] == 0xC2, 2, 3)
+        code = ragged.blocks(data)[lead] & np.where(size == 2, np.uint64(0xFFFF), np.uint64(0xFFFFFF))
+        wide = _WIDE[np.minimum(np.searchsorted(_WIDE, code), len(_WIDE) - 1)] == code
+        space[ragged.ragged_index(lead[wide], size[wide])] = True
+    return space
+
+
+def cut_pieces(data: np.ndarray, offsets: np.ndarray, whole: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that cover all rows, the first span of each row, and which bytes are white space. Nothing is cut inside the strings of ``whole``."""
+    space = white_space(data)
     begin = np.zeros(len(data) + 1, bool)
-    begin[1:-1] = space[1:] & ~space[:-1]
+    begin[1:-1] = (space[1:] & ~space[:-1]) | (_PUNCTUATION[data[1:]] & _ALNUM[data[:-1]])
+    raw = data.tobytes()
+    for token in whole:
+        at = raw.find(token)
+        while at >= 0:
+            begin[at + 1 : at + len(token)] = False
+            at = raw.find(token, at + len(token))
     begin[offsets] = True
     cuts = np.flatnonzero(begin[: len(data)])
-    return cuts, np.append(cuts[1:], len(data)) if len(cuts) else cuts, np.searchsorted(cuts, offsets)
+    return cuts, np.append(cuts[1:], len(data)) if len(cuts) else cuts, np.searchsorted(cuts, offsets), space
 
 
 def encode_rows(table: ByteLevelTable, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids of all rows, each with the end id, and how many each row has."""
-    starts, ends, first = cut_pieces(data, offsets)
-    words = table.words.numbers(ragged.span_hashes(data, starts, ends), lambda k: table.encode_spans(data, starts[k], ends[k]))
+    starts, ends, first, space = cut_pieces(data, offsets, table.whole)
+    words = table.words.numbers(data, starts, ends, lambda k: table.encode_spans(data, starts[k], ends[k], space))
     flat, upto = table.words.ids_of(words)
     sizes = upto[first[1:]] - upto[first[:-1]] + 1
     out = np.full(len(flat) + len(sizes), end_id, np.int32)
@@ -114,10 +136,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Writes the token files of all ``docs`` under ``path``, in ascending order of ``key``.
 
     A null text counts as empty and has the end id only; rows without a key come
-    first; rows with equal keys are all kept, in the order of their texts' hashes.
+    first; rows with equal keys are all kept, in the order of their texts.
     Columns other than the key and the text aren't read.
     """
-    ordered = docs.select(F.col(key), F.col(text).alias("__text")).repartitionByRange(F.col(key)).sortWithinPartitions(key, F.xxhash64("__text"))
+    ordered = docs.select(F.col(key), F.col(text).alias("__text")).repartitionByRange(F.col(key)).sortWithinPartitions(key, "__text")
     schema = T.StructType([docs.schema[key], *(T.StructField(n, T.LongType()) for n in ("part", "part_start", "n_tokens")), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):

@@ -81,3 +81,69 @@ def test_token_files(spark, tmp_path, n):
         columns = pq.ParquetFile(file).metadata.row_group(0)
         encodings = {columns.column(i).path_in_schema.split(".")[0]: columns.column(i) for i in range(columns.num_columns)}
         assert "DELTA_BINARY_PACKED" in encodings["doc_id"].encodings and encodings["ids"].has_offset_index
+
+
+def thue_morse(n, swap=False):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+ALIKE = [thue_morse(n, swap) for n in (1024, 2048, 4096, 5000) for swap in (False, True)]
+
+
+def test_low_entropy_words_and_long_runs_equal_libraries():
+    """Strings that collide under polynomial hashes, and runs without white space."""
+    import base64
+
+    import sentencepiece
+
+    rng = random.Random(8)
+    runs = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(5000)), base64.b64encode(rng.randbytes(6000)).decode(), "ab" * 4000, "http://" + "a1/" * 2000, "é" * 3000, "x" * 2500 + "日" * 2500]
+    many = [*ALIKE, *runs, *(f"w {t} w" for t in ALIKE), *runs]
+    lib, table = sentencepiece.SentencePieceProcessor(model_file=MODEL), codec.piece_table(MODEL)
+    for texts_ in (many, many[::-1]):
+        flat, sizes = codec.encode_batch(table, texts_)
+        ends = np.cumsum(sizes)
+        assert [flat[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == [w + [2] for w in lib.encode(texts_)]
+        table6 = token_files.byte_level_table(BYTES)
+        flat, sizes = token_files.encode_rows(table6, *ragged.text_bytes(pa.array(texts_)), 2)
+        ends = np.cumsum(sizes)
+        want = [e.ids + [2] for e in table6.tokenizer.encode_batch(texts_, add_special_tokens=False)]
+        assert [flat[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == want
+
+
+def test_byte_level_cuts_beside_punctuation_and_added_tokens():
+    parts = ["don", "'t", "'", "x1", "1a", ",", "<|endoftext|>", "<|endoftext", "|>", " ", "\n", "é", "—", "“", "_", "́", "…", "\x85", "A.b", "''s", "s'", "\x1c"]
+    many, table = texts(parts, 8000, 12, seed=11), token_files.byte_level_table(BYTES)
+    flat, sizes = token_files.encode_rows(table, *ragged.text_bytes(pa.array(many)), 2)
+    ends, want = np.cumsum(sizes), [e.ids for e in table.tokenizer.encode_batch(many, add_special_tokens=False)]
+    assert [flat[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == [w + [2] for w in want]
+
+
+def test_word_store_survives_collisions_and_renewal(monkeypatch):
+    """Equal hashes of different words, and a store that must make room, give the same ids."""
+    rows = texts(list("abcdefgh"), 400, 12, seed=3)
+    data, offsets = ragged.text_bytes(pa.array(rows))
+    starts, ends = offsets[:-1], offsets[1:]
+    real = ragged.span_hashes
+    for hashes in (real, lambda *a: real(*a) % np.uint64(5), lambda *a: np.zeros(len(a[1]), np.uint64)):
+        monkeypatch.setattr(ragged, "span_hashes", hashes)
+        store = ragged.WordIds(most=50, say=True)
+        for _ in range(4):
+            encode = lambda k: (data[ragged.ragged_index(starts[k], (ends - starts)[k])].astype(np.int32), (ends - starts)[k])
+            words = store.numbers(data, starts, ends, encode)
+            flat, upto = store.ids_of(words)
+            assert flat.tolist() == data.tolist() and upto.tolist() == offsets.tolist()
+            assert [store.said[w] for w in words] == [" ".join(map(str, r.encode())).encode() for r in rows]
+
+
+def test_span_hashes():
+    data = np.random.default_rng(0).integers(97, 99, 40_000).astype(np.uint8)
+    starts = np.arange(0, 30_000, 7)
+    ends = starts + np.tile([0, 1, 8, 9, 511, 512, 513, 2000], len(starts))[: len(starts)]
+    hashes, raw = ragged.span_hashes(data, starts, ends), data.tobytes()
+    words = [raw[a:b] for a, b in zip(starts, ends, strict=True)]
+    assert len(set(hashes.tolist())) == len(set(words)) and len({*zip(words, hashes.tolist(), strict=True)}) == len(set(words))
+    other = ragged.span_hashes(np.concatenate([[0], data]).astype(np.uint8), starts + 1, ends + 1)
+    assert (other == hashes).all() and not (ragged.span_hashes(data, starts, ends, 5) == hashes).any()
+    both = [ragged.span_hashes(*(lambda d, o: (d, o[:-1], o[1:]))(*ragged.text_bytes(pa.array([thue_morse(n, s) for s in (False, True)])))) for n in (1024, 2048, 4096)]
+    assert all(a != b for a, b in both)
