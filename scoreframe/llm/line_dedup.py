@@ -1,16 +1,18 @@
 """Repeated lines across documents, found by sharded minimal perfect hashes.
 
-1. Chunks of documents turn into line keys (64-bit hashes), written once.
-2. Each chunk sends every distinct key once, with its smallest and largest
+1. Chunks of documents turn into lines' hashes, written once: a 64-bit key and an
+   independent 64-bit fingerprint for each line.
+2. Each chunk sends every distinct line once, with its smallest and largest
    document, to the key's shard. A line in a third of all documents so costs one
    entry a chunk.
-3. A shard builds a minimal perfect hash over its distinct keys. It indexes
-   arrays of fingerprints, counts, and first and last documents; the chunks'
-   keys probe these arrays and the keys of two documents or more come back.
-4. Chunks turn the answers into keys to drop for each document, and documents
+3. A shard builds a minimal perfect hash over its distinct lines of two documents
+   or more. It indexes arrays of fingerprints, counts and first documents. All lines
+   of the chunks probe these arrays: the fingerprint turns away those that only
+   one document has, and the others come back.
+4. Chunks turn the answers into lines to drop for each document, and documents
    that lose lines are cut. No line is joined with another line.
 
-The number of shards follows the number of keys, so a shard stays small.
+The number of shards follows the number of lines, so a shard stays small.
 """
 
 from __future__ import annotations
@@ -23,37 +25,41 @@ from pyspark.sql import functions as F
 
 from scoreframe.llm import ragged, shared
 
-CHUNK_BYTES = 4 << 20
-#: Keys that a shard holds, on average.
-SHARD_KEYS = 250_000
+#: Bytes of text read at a time, and lines of a chunk, about.
+CHUNK_BYTES, CHUNK_LINES = 4 << 20, 500_000
+#: Lines that a shard is asked for, on average.
+SHARD_KEYS = 500_000
 LEAST_CHARS = 10
 #: Stands for a missing document id: it comes after all others.
 NO_ID = (1 << 63) - 1
 _LEVEL_SEED = 0x9E3779B97F4A7C15
+_MARK_SEED = 0x6A09E667F3BCC909
 
 
 class MinimalPerfectHash:
-    """Levels of bit arrays: a key stands at the first level where no other key meets it."""
+    """Levels of bit arrays: a key, of two words, stands at the first level where no other key meets it."""
 
-    def __init__(self, keys: np.ndarray, room: float = 1.6):
+    def __init__(self, keys: np.ndarray, marks: np.ndarray, room: float = 1.6):
         self.size, self.levels, base, level = len(keys), [], 0, 0
         while len(keys):
             bits = max(1, int(len(keys) * room))
-            at = self._place(keys, level, bits)
+            at = self._place(keys, marks, level, bits)
             alone = np.bincount(at, minlength=bits) == 1
             self.levels.append((alone, base + np.cumsum(alone) - 1))
             base += int(alone.sum())
-            keys, level = keys[~alone[at]], level + 1
+            rest = ~alone[at]
+            keys, marks, level = keys[rest], marks[rest], level + 1
 
     @staticmethod
-    def _place(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
-        return (ragged.mix(keys + np.uint64(_LEVEL_SEED * (level + 1) % (1 << 64))) % np.uint64(bits)).astype(np.int64)
+    def _place(keys: np.ndarray, marks: np.ndarray, level: int, bits: int) -> np.ndarray:
+        seed = np.uint64(_LEVEL_SEED * (level + 1) % (1 << 64))
+        return (ragged.mix(ragged.mix(keys + seed) + marks) % np.uint64(bits)).astype(np.int64)
 
-    def slots(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key; -1 for some keys that weren't given."""
+    def slots(self, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """The slot of each key; any slot, or -1, for keys that weren't given."""
         out, todo = np.full(len(keys), -1, np.int64), np.arange(len(keys))
         for level, (alone, rank) in enumerate(self.levels):
-            at = self._place(keys[todo], level, len(alone))
+            at = self._place(keys[todo], marks[todo], level, len(alone))
             here = alone[at]
             out[todo[here]] = rank[at[here]]
             todo = todo[~here]
@@ -61,26 +67,31 @@ class MinimalPerfectHash:
 
 
 class LineIndex:
-    """Fingerprint, count, first and last document of each distinct key of a shard."""
-
-    def __init__(self, keys: np.ndarray, first: np.ndarray, last: np.ndarray, holders: np.ndarray):
-        distinct = np.unique(keys)
-        self.hash = MinimalPerfectHash(distinct)
-        slots, n = self.hash.slots(keys), len(distinct)
-        self.fingerprint = np.zeros(n, np.uint32)
-        self.fingerprint[slots] = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        self.count = np.minimum(np.bincount(slots, holders, n), 2**32 - 1).astype(np.uint32)
-        self.first, self.last = np.full(n, NO_ID, np.int64), np.full(n, -(1 << 63), np.int64)
-        np.minimum.at(self.first, slots, first)
-        np.maximum.at(self.last, slots, last)
-
-    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether two documents or more hold each key, and the first of them."""
-        slots = self.hash.slots(keys)
+    """Fingerprint, count and first document of each line that two documents or more of a shard have."""
+
+    def __init__(self, keys: np.ndarray, marks: np.ndarray, first: np.ndarray, last: np.ndarray, holders: np.ndarray):
+        order = np.lexsort((marks, keys))
+        keys, marks, first, last, holders = (x[order] for x in (keys, marks, first, last, holders))
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])
+        start = np.flatnonzero(new)
+        if len(start):
+            first, last, holders = np.minimum.reduceat(first, start), np.maximum.reduceat(last, start), np.add.reduceat(holders, start)
+        repeated = first != last
+        keys, marks = keys[start][repeated], marks[start][repeated]
+        self.hash = MinimalPerfectHash(keys, marks)
+        slots, n = self.hash.slots(keys, marks), len(keys)
+        self.fingerprint, self.count, self.first = np.zeros(n, np.uint64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.fingerprint[slots], self.count[slots], self.first[slots] = marks, holders[repeated], first[repeated]
+
+    def probe(self, keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether two documents or more hold each line, and the first of them."""
+        slots = self.hash.slots(keys, marks)
         found = slots >= 0
-        found[found] = self.fingerprint[slots[found]] == (keys[found] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        slots = np.where(found, slots, 0)
-        return found & (self.count[slots] >= 2) & (self.first[slots] != self.last[slots]), self.first[slots]
+        found[found] = self.fingerprint[slots[found]] == marks[found]
+        first = np.zeros(len(keys), np.int64)
+        first[found] = self.first[slots[found]]
+        return found, first
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,10 +105,10 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, first
 
 
-def line_keys(data: np.ndarray, offsets: np.ndarray, least_chars: int = LEAST_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, key and length test of every line, and each row's first line.
+def line_keys(data: np.ndarray, offsets: np.ndarray, least_chars: int = LEAST_CHARS) -> tuple[np.ndarray, ...]:
+    """Start, end, key, fingerprint and length test of every line, and each row's first line.
 
-    A key is the line without white space at its ends and with A-Z lower-cased.
+    What is hashed is the line without white space at its ends and with A-Z lower-cased.
     """
     starts, ends, first = line_spans(data, offsets)
     solid = np.flatnonzero(~ragged.WHITE_SPACE[data])
@@ -107,142 +118,175 @@ def line_keys(data: np.ndarray, offsets: np.ndarray, least_chars: int = LEAST_CH
     s[some], e[some] = solid[a[some]], solid[b[some] - 1] + 1
     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     enough = (chars[e] - chars[s]) >= least_chars
-    keys = np.zeros(len(starts), np.uint64)
-    keys[enough] = ragged.span_hashes(ragged.LOWER_ASCII[data], s[enough], e[enough])
-    return starts, ends, keys, enough, first
+    keys, marks, lower = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.uint64), ragged.LOWER_ASCII[data]
+    keys[enough] = ragged.span_hashes(lower, s[enough], e[enough])
+    marks[enough] = ragged.span_hashes(lower, s[enough], e[enough], _MARK_SEED)
+    return starts, ends, keys, marks, enough, first
+
+
+def _distinct(row: np.ndarray, keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct lines of each row."""
+    order = np.lexsort((marks, keys, row))
+    row, keys, marks = row[order], keys[order], marks[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])
+    return row[new], keys[new], marks[new]
+
+
+_LINES = {"chunk": "long", "n_keys": "long", "ids": "binary", "tags": "binary", "rows": "binary", "keys": "binary", "marks": "binary"}
 
 
 def _line_table(docs: DataFrame, least_chars: int) -> DataFrame:
-    """A row a chunk: its documents' ids, and the distinct (document, key) pairs."""
+    """Of ``docs`` (id, tag, text), a row a chunk: its documents' ids and tags, and the distinct lines of each document."""
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
+        number, held, n_docs, n_lines = TaskContext.get().partitionId() << 32, [], 0, 0
+
+        def row() -> pa.RecordBatch:
+            ids, tags, rows, keys, marks = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(keys)]), *(ragged.binary_column([x]) for x in (ids, tags, rows, keys, marks))], list(_LINES))
+
         for batch in batches:
-            _, offsets = ragged.text_bytes(batch.column(1))
-            ids = np.asarray(batch.column(0))
+            _, offsets = ragged.text_bytes(batch.column(2))
+            ids, tags = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             for i, j in ragged.row_slices(offsets, CHUNK_BYTES):
-                _, _, keys, enough, first = line_keys(*ragged.text_bytes(batch.column(1).slice(i, j - i)), least_chars)
-                row = np.repeat(np.arange(j - i), np.diff(first))[enough]
-                keys = keys[enough]
-                order = np.lexsort((keys, row))
-                row, keys = row[order], keys[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (keys[1:] != keys[:-1])
-                row, keys = row[new], keys[new]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), pa.array([len(keys)]), ragged.binary_column([ids[i:j]]), ragged.binary_column([row.astype(np.uint32)]), ragged.binary_column([keys])],
-                    ["chunk", "n_keys", "ids", "rows", "keys"],
-                )
-                number += 1
-
-    return docs.mapInArrow(run, "chunk long, n_keys long, ids binary, rows binary, keys binary")
+                _, _, keys, marks, enough, first = line_keys(*ragged.text_bytes(batch.column(2).slice(i, j - i)), least_chars)
+                rows, keys, marks = _distinct(np.repeat(np.arange(j - i), np.diff(first))[enough], keys[enough], marks[enough])
+                held.append((ids[i:j], tags[i:j], (rows + n_docs).astype(np.uint32), keys, marks))
+                n_docs, n_lines = n_docs + j - i, n_lines + len(keys)
+                if n_lines + n_docs >= CHUNK_LINES:
+                    yield row()
+                    number, held, n_docs, n_lines = number + 1, [], 0, 0
+        if held:
+            yield row()
+
+    return docs.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in _LINES.items()))
 
 
 def _requests(lines: DataFrame, shards: int) -> DataFrame:
-    """A row for each chunk and shard: distinct keys with their smallest and largest document and how many hold them."""
+    """A row for each chunk and shard: distinct lines with their smallest and largest document and how many hold them."""
+    names = ["shard", "chunk", "keys", "marks", "low", "high", "held"]
 
     def run(batches):
         for batch in batches:
-            for chunk, ids, rows, keys in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for chunk, ids, rows, keys, marks in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 docs = np.frombuffer(ids, np.int64)[np.frombuffer(rows, np.uint32)]
-                keys = np.frombuffer(keys, np.uint64)
+                keys, marks = np.frombuffer(keys, np.uint64), np.frombuffer(marks, np.uint64)
                 shard = ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-                order = np.lexsort((docs, keys, shard))
-                docs, keys, shard = docs[order], keys[order], shard[order]
-                start = ragged.run_starts(keys)
-                if not len(start):
-                    continue
-                stop = np.append(start[1:], len(keys))
-                keys, low, high, held, shard = keys[start], docs[start], docs[stop - 1], (stop - start).astype(np.uint32), shard[start]
-                cut = ragged.run_starts(shard)
-                parts = list(zip(cut, [*cut[1:], len(shard)], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard[cut]), pa.array(np.full(len(cut), chunk, np.int64)), *(ragged.binary_column([x[a:b] for a, b in parts]) for x in (keys, low, high, held))],
-                    ["shard", "chunk", "keys", "low", "high", "held"],
-                )
-
-    return lines.select("chunk", "ids", "rows", "keys").mapInArrow(run, "shard long, chunk long, keys binary, low binary, high binary, held binary")
+                order = np.lexsort((docs, marks, keys, shard))
+                docs, keys, marks, shard = docs[order], keys[order], marks[order], shard[order]
+                new = np.ones(len(keys), bool)
+                new[1:] = (keys[1:] != keys[:-1]) | (marks[1:] != marks[:-1])
+                start = np.flatnonzero(new)
+                stop = np.append(start[1:], len(keys)) if len(start) else start
+                columns, shard = [keys[start], marks[start], docs[start], docs[stop - 1], (stop - start).astype(np.uint32)], shard[start]
+                parts = ragged.runs(shard)
+                yield pa.RecordBatch.from_arrays([pa.array(shard[[a for a, _ in parts]], pa.int64()), pa.array(np.full(len(parts), chunk, np.int64)), *(ragged.binary_column([x[a:b] for a, b in parts]) for x in columns)], names)
+
+    return lines.select("chunk", "ids", "rows", "keys", "marks").mapInArrow(run, "shard long, chunk long, keys binary, marks binary, low binary, high binary, held binary")
+
+
+def _all(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, list[np.ndarray]]:
+    parts = [np.frombuffer(x, kind) for x in column.to_pylist()]
+    return np.concatenate(parts or [np.zeros(0, kind)]), parts
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    asked = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
-    low, high, held = (np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()]) for c, kind in (("low", np.int64), ("high", np.int64), ("held", np.uint32)))
-    index = LineIndex(np.concatenate(asked), low, high, held)
-    out = [(chunk, keys[twice], first[twice]) for chunk, keys in zip(table["chunk"].to_pylist(), asked, strict=True) for twice, first in [index.probe(keys)] if twice.any()]
-    return pa.table({"chunk": pa.array([c for c, _, _ in out], pa.int64()), "keys": ragged.binary_column([k for _, k, _ in out]), "first": ragged.binary_column([f for _, _, f in out])})
+    (keys, asked), (marks, marked) = (_all(table[c], np.uint64) for c in ("keys", "marks"))
+    low, high, held = (_all(table[c], kind)[0] for c, kind in (("low", np.int64), ("high", np.int64), ("held", np.uint32)))
+    index = LineIndex(keys, marks, low, high, held)
+    out = [(chunk, k[twice], m[twice], first[twice]) for chunk, k, m in zip(table["chunk"].to_pylist(), asked, marked, strict=True) for twice, first in [index.probe(k, m)] if twice.any()]
+    return pa.table({"chunk": pa.array([x[0] for x in out], pa.int64()), **{name: ragged.binary_column([x[i] for x in out]) for i, name in ((1, "keys"), (2, "marks"), (3, "first"))}})
 
 
 def _drops(lines: pa.Table, answers: pa.Table) -> pa.Table:
-    ids, rows, keys = (np.frombuffer(lines[c][0].as_py(), kind) for c, kind in (("ids", np.int64), ("rows", np.uint32), ("keys", np.uint64)))
-    said = np.concatenate([np.frombuffer(k, np.uint64) for k in answers["keys"].to_pylist()] or [np.zeros(0, np.uint64)])
-    first = np.concatenate([np.frombuffer(k, np.int64) for k in answers["first"].to_pylist()] or [np.zeros(0, np.int64)])
-    if not len(said):
-        return pa.table({"id": pa.array([], pa.int64()), "dropped_keys": pa.array([], pa.binary())})
-    order = np.argsort(said)
-    said, first = said[order], first[order]
-    at = np.minimum(np.searchsorted(said, keys), len(said) - 1)
-    docs = ids[rows]
-    gone = (said[at] == keys) & (first[at] != docs)
-    rows, keys = rows[gone], keys[gone]
-    cut = ragged.run_starts(rows)
-    return pa.table({"id": pa.array(ids[rows[cut]]), "dropped_keys": ragged.binary_column([keys[a:b] for a, b in zip(cut, [*cut[1:], len(rows)], strict=True)])})
-
-
-def keys_to_drop(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """A row (id, dropped_keys) for each row of ``docs`` that loses a line; equal ids may repeat."""
-    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("__text"))
-    lines = shared.written(_line_table(source, least_chars), "lines")
+    (said, _), (said_marks, _), (first, _) = (_all(answers[c], kind) for c, kind in (("keys", np.uint64), ("marks", np.uint64), ("first", np.int64)))
+    order = np.lexsort((said_marks, said))
+    said, said_marks, first = said[order], said_marks[order], first[order]
+    out = []
+    for row in lines.to_pylist() if len(said) else []:
+        ids, tags, rows, keys, marks = (np.frombuffer(row[c], kind) for c, kind in (("ids", np.int64), ("tags", np.int64), ("rows", np.uint32), ("keys", np.uint64), ("marks", np.uint64)))
+        # Each line of the chunk in the order of the answers; equal keys of different marks are told apart by their place.
+        whole = np.concatenate([said, keys]), np.concatenate([said_marks, marks]), np.repeat([0, 1], [len(said), len(keys)])
+        order = np.lexsort((whole[2], whole[1], whole[0]))
+        answer = np.maximum.accumulate(np.where(whole[2][order] == 0, order, -1))
+        at = np.empty(len(order), np.int64)
+        at[order] = answer
+        at = at[len(said) :]
+        docs, has = ids[rows], at >= 0
+        at = np.maximum(at, 0)
+        gone = has & (said[at] == keys) & (said_marks[at] == marks) & (first[at] != docs)
+        rows, both = rows[gone], np.stack([keys[gone], marks[gone]], axis=1)
+        out += [(int(ids[rows[a]]), int(tags[rows[a]]), both[a:b].tobytes()) for a, b in ragged.runs(rows)]
+    return pa.table({"id": pa.array([x[0] for x in out], pa.int64()), "tag": pa.array([x[1] for x in out], pa.int64()), "dropped": pa.array([x[2] for x in out], pa.binary())})
+
+
+def _ids(key: str, text: str) -> tuple:
+    """A document's id, and what tells rows without a key apart: they are all last, but mustn't meet in one task."""
+    return F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), F.when(F.col(key).isNull(), F.coalesce(F.xxhash64(text), F.lit(0))).otherwise(0).cast("long")
+
+
+def lines_to_drop(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
+    """A row (id, tag, dropped) for each row of ``docs`` that loses a line; equal ids may repeat. ``dropped`` has a key and a fingerprint for each line."""
+    i, tag = _ids(key, text)
+    lines = shared.written(_line_table(docs.select(i.alias("id"), tag.alias("tag"), F.col(text).alias("text")), least_chars), "lines")
     total = lines.agg(F.sum("n_keys")).first()[0] or 0
     requests = _requests(lines, max(1, -(-total // SHARD_KEYS)))
-    answers = requests.groupBy("shard").applyInArrow(_answer, "chunk long, keys binary, first binary")
-    found = lines.select("chunk", "ids", "rows", "keys").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_drops, "id long, dropped_keys binary")
+    answers = requests.groupBy("shard").applyInArrow(_answer, "chunk long, keys binary, marks binary, first binary")
+    found = lines.drop("n_keys").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_drops, "id long, tag long, dropped binary")
     out = shared.written(found, "line-drops")
     shared.discard(lines)
     return out
 
 
-def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``docs`` without the lines that an earlier document has, and with n_lines and n_dropped.
-
-    A text is split at each newline; null or empty texts have one empty line. A
-    line's key of ``least_chars`` code points or more, found in at least two
-    documents, loses all its lines except in the smallest id that holds it.
-    Kept lines are joined by newlines; a text that loses all is empty. Rows with
-    one id are one document. A missing id comes after all others. A null text
-    stays null. All other columns stay; columns named n_lines or n_dropped are
-    replaced. No row is lost.
-    """
-    drops = keys_to_drop(docs, key, text, least_chars).withColumnRenamed("id", "__line_id")
-    docs = docs.drop("n_lines", "n_dropped")
-    named = docs.withColumn("__id", F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)))
-    merged = drops.groupBy("__line_id").agg(F.collect_set("dropped_keys").alias("__drops"))
-    joined = named.join(merged, F.col("__id") == F.col("__line_id"), "left").drop("__id", "__line_id")
-    schema = docs.select("*", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
+def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, n_lines: str | None = None, n_dropped: str | None = None) -> DataFrame:
+    """``docs`` without repeated lines in ``text``, and nothing else changed; counts of lines go to new columns of the given names."""
+    i, tag = _ids(key, text)
+    drops = lines_to_drop(docs, key, text, least_chars).groupBy(F.col("id").alias("__sf_drop_id"), F.col("tag").alias("__sf_drop_tag")).agg(F.collect_set("dropped").alias("__sf_drops"))
+    named = docs.withColumns({"__sf_id": i, "__sf_tag": tag})
+    joined = named.join(drops, (F.col("__sf_id") == F.col("__sf_drop_id")) & (F.col("__sf_tag") == F.col("__sf_drop_tag")), "left").select(*docs.columns, "__sf_drops")
+    extra = [n for n in (n_lines, n_dropped) if n]
+    schema, names = docs.select("*", *(F.lit(0).cast("long").alias(n) for n in extra)).schema, docs.columns
+    schema_names = schema.names
 
     def run(batches):
         for batch in batches:
-            names = batch.schema.names
             where, texts = names.index(text), batch.column(names.index(text))
             data, offsets = ragged.text_bytes(texts)
             breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
-            n_lines = breaks[offsets[1:]] - breaks[offsets[:-1]] + 1
-            n_dropped = np.zeros(len(batch), np.int64)
-            drops = batch.column(names.index("__drops"))
-            changed = np.flatnonzero(~np.asarray(drops.is_null()))
+            counts = {n_lines: (breaks[offsets[1:]] - breaks[offsets[:-1]] + 1).astype(np.int64), n_dropped: np.zeros(len(batch), np.int64)}
+            drops = batch.column(len(names))
+            changed = np.flatnonzero(np.asarray(drops.is_valid()))
             if len(changed):
                 take = pa.array(changed)
-                sets = [{k for part in d for k in np.frombuffer(part, np.uint64).tolist()} for d in drops.take(take).to_pylist()]
+                sets = [{tuple(pair) for part in d for pair in np.frombuffer(part, np.uint64).reshape(-1, 2).tolist()} for d in drops.take(take).to_pylist()]
                 new = texts.to_pylist()
                 some, at = ragged.text_bytes(texts.take(take))
-                starts, ends, keys, enough, first = line_keys(some, at, least_chars)
-                raw, keys = some.tobytes(), np.where(enough, keys, 0).tolist()
+                starts, ends, keys, marks, enough, first = line_keys(some, at, least_chars)
+                raw, both = some.tobytes(), list(zip(keys.tolist(), marks.tolist(), strict=True))
                 for k, gone in enumerate(sets):
-                    kept = [raw[starts[i] : ends[i]] for i in range(first[k], first[k + 1]) if not (enough[i] and keys[i] in gone)]
-                    n_dropped[changed[k]] = first[k + 1] - first[k] - len(kept)
-                    if n_dropped[changed[k]]:
+                    kept = [raw[starts[i] : ends[i]] for i in range(first[k], first[k + 1]) if not (enough[i] and both[i] in gone)]
+                    lost = first[k + 1] - first[k] - len(kept)
+                    if lost:
                         new[changed[k]] = b"\n".join(kept).decode()
+                        counts[n_dropped][changed[k]] = lost
                 texts = pa.array(new, texts.type)
-            columns = [texts if i == where else c for i, c in enumerate(batch.columns) if names[i] != "__drops"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines.astype(np.int64)), pa.array(n_dropped)], schema.names)
+            columns = [texts if i == where else batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(counts[n]) for n in extra)], schema_names)
 
     return joined.mapInArrow(run, schema)
+
+
+def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
+    """``docs`` without the lines that an earlier document has, and with n_lines and n_dropped.
+
+    A text is split at each newline; null or empty texts have one empty line. A
+    line's key of ``least_chars`` code points or more, found in at least two
+    documents, loses all its lines except in the smallest id that holds it.
+    Kept lines are joined by newlines; a text that loses all is empty. Rows with
+    one id are one document. Ids are whole numbers (others end in Spark's cast
+    error). Rows without an id come after all others and are one document; the
+    largest long counts as such. A null text stays null. All other columns stay;
+    columns named n_lines or n_dropped are replaced. No row is lost.
+    """
+    return cut_documents(docs.drop("n_lines", "n_dropped"), key, text, least_chars, "n_lines", "n_dropped")

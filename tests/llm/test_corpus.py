@@ -51,7 +51,8 @@ def test_line_dedup_edges(odd):
 
 def test_minimal_perfect_hash():
     keys = ragged.mix(np.arange(5000, dtype=np.uint64))
-    assert sorted(line_dedup.MinimalPerfectHash(keys).slots(keys).tolist()) == list(range(5000))
+    marks = np.repeat(np.arange(2500, dtype=np.uint64), 2)
+    assert sorted(line_dedup.MinimalPerfectHash(keys, marks).slots(keys, marks).tolist()) == list(range(5000))
 
 
 def shingles(text):
@@ -258,3 +259,35 @@ def test_quality_edges(odd):
     got = quality_rules.judged(odd).collect()
     assert len(got) == 8 and all(r["base_failed"] for r in got) and not any(r["kept"] for r in got)
     assert quality_rules.judged(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7, 50, 200])
+def test_line_dedup_in_any_chunks(docs, parts):
+    """Chunks that hold first holders only, or one document each, give the rows of one chunk."""
+    want = sorted(line_dedup.drop_repeated_lines(docs).select("doc_id", "text", "n_lines", "n_dropped").collect())
+    assert sorted(line_dedup.drop_repeated_lines(docs.repartition(parts)).select("doc_id", "text", "n_lines", "n_dropped").collect()) == want
+
+
+def test_line_dedup_one_shared_line(spark):
+    from test_codecs import ALIKE
+
+    rows = [(1, "a line that two share", "x"), (2, "a line that two share\nmine", "y"), (3, "nothing shared here", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines string").repartition(3)
+    assert sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in line_dedup.drop_repeated_lines(docs).collect()) == [(1, rows[0][1], 0), (2, "mine", 1), (3, rows[2][1], 0)]
+    kept = line_dedup.cut_documents(docs)
+    assert kept.columns == docs.columns and sorted(r["n_lines"] for r in kept.collect()) == ["x", "y", "z"]
+    alike = spark.createDataFrame(list(enumerate(ALIKE)), "doc_id long, text string")
+    assert not any(r["n_dropped"] for r in line_dedup.drop_repeated_lines(alike).collect())
+
+
+def test_line_index_turns_other_lines_away():
+    """The perfect hash alone gives slots to lines that it wasn't built from; the fingerprint decides."""
+    keys = ragged.mix(np.arange(4000, dtype=np.uint64))
+    marks = ragged.mix(keys + np.uint64(9))
+    first, last = np.arange(4000), np.arange(4000) + np.arange(4000) % 2
+    index = line_dedup.LineIndex(keys, marks, first, last, np.ones(4000, np.uint32))
+    found, low = index.probe(keys, marks)
+    assert (found == (np.arange(4000) % 2 == 1)).all() and (low[found] == first[found]).all()
+    assert (index.hash.slots(keys[::2], marks[::2]) >= 0).sum() > 100
+    same_key = line_dedup.LineIndex(keys[[1, 1, 3, 3]], marks[[1, 2, 3, 3]], np.array([5, 6, 7, 8]), np.array([5, 6, 7, 8]), np.ones(4, np.uint32))
+    assert same_key.probe(keys[[1, 1, 3]], marks[[1, 2, 3]])[0].tolist() == [False, False, True]
