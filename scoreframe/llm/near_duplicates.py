@@ -7,12 +7,12 @@ the earliest dart that falls to it, so two coordinates agree with the similarity
 probability. Documents that agree in all coordinates of a band meet in a bucket.
 
 Work stays linear in hot groups: equal texts are collapsed first; in a bucket
-everyone is compared with one centre (who meets most others in all bands), and
-only documents of different classes are compared further, with up to ``CENTRES``
-new centres a round, until each bucket
-holds one class or all its pairs across classes have been compared. So no pair
-that meets in a bucket is lost, and no bucket emits all its pairs. Each kept link
-is verified on whole texts.
+everyone is compared with one centre (who meets most others in all bands), which
+settles buckets of one class. The texts of the others are compared further only if
+they share one of their rarest shingles and are of different classes: an exact
+filter, which a long passage that many texts have in common doesn't pass. So no
+pair that meets in a bucket is lost, and no bucket emits all its pairs. Each kept
+link is verified on whole texts.
 """
 
 from __future__ import annotations
@@ -27,33 +27,40 @@ from scoreframe.llm import ragged, shared
 CHUNK_BYTES = 2 << 20
 SHINGLE = 5
 SIMILARITY = 0.8
-#: 32 bands of 5 coordinates: a pair of similarity 0.8 is missed with probability 3e-6.
-BANDS, BAND_ROWS = 32, 5
-#: New centres of a bucket in a round, at most.
-CENTRES = 16
-#: The same in buckets by rare shingles, where sizes and places rule out nearly all pairs before they are made.
-RARE_CENTRES = 2048
+#: 48 bands of 6 coordinates: a pair of similarity 0.8 is missed with probability 5e-7.
+BANDS, BAND_ROWS = 48, 6
+#: Cells in which shingles are counted for their order, and rows that they are sent in. A count stops at MOST_COUNT.
+CELLS, SLICES, MOST_COUNT = 1 << 22, 64, (1 << 16) - 1
+_SECOND_SEED = 0x3C6EF372FE94F82B
 _RANK_BITS = np.uint64(40)
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: Chance of at most m darts in a unit cell.
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 16.0)])))
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, hash and count of each distinct shingle, and two hashes of each row's words.
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, hash and row of each word, and each row's first word, and one more."""
+    starts, ends, row = ragged.word_spans(data, offsets)
+    return starts, ends, ragged.span_hashes(data, starts, ends), row, np.searchsorted(row, np.arange(len(offsets)))
+
+
+def text_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each row's words in their order."""
+    starts, ends, word, row, first = _words(data, offsets)
+    place, count, whole = (np.arange(len(word)) - first[row]).astype(np.uint64), np.diff(first).astype(np.uint64), []
+    for hashes in (word, ragged.span_hashes(data, starts, ends, _SECOND_SEED)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ragged.mix(ragged.mix(hashes) + ragged.GOLD * (place + np.uint64(1))))])
+        whole.append(ragged.mix(sums[first[1:]] - sums[first[:-1]] + count))
+    return whole[0], whole[1]
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, hash and count of each distinct shingle.
 
     A row of fewer than ``size`` words has one shingle of them all; one without words has none.
     """
     n = len(offsets) - 1
-    starts, ends, row = ragged.word_spans(data, offsets)
-    word = ragged.span_hashes(data, starts, ends)
-    first = np.searchsorted(row, np.arange(n + 1))
+    _, _, word, _, first = _words(data, offsets)
     count = np.diff(first)
-    place = (np.arange(len(word)) - first[row]).astype(np.uint64)
-    whole = []
-    for seed in (1, 2):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ragged.mix(word + _GOLD * (place * np.uint64(2) + np.uint64(seed))))])
-        whole.append(ragged.mix(sums[first[1:]] - sums[first[:-1]] + count.astype(np.uint64)))
     windows = np.where(count > 0, np.maximum(count - size + 1, 1), 0)
     begin = ragged.ragged_index(first[:-1], windows)
     owner = np.repeat(np.arange(n), windows)
@@ -67,7 +74,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (total[1:] != total[:-1])
     start = np.flatnonzero(new)
-    return owner[start], total[start], np.diff(start, append=len(owner)), whole[0], whole[1]
+    return owner[start], total[start], np.diff(start, append=len(owner))
 
 
 def dart_signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: int, size: int = BANDS * BAND_ROWS) -> np.ndarray:
@@ -91,7 +98,7 @@ def dart_signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, ro
         deep = layers[row[cell]]
         layer = ragged.ragged_index(done[row[cell]], deep)
         cell, column = np.repeat(cell, deep), np.repeat(column, deep)
-        seed = ragged.mix(element[cell] + _GOLD * ((column.astype(np.uint64) << np.uint64(32)) + layer.astype(np.uint64) + np.uint64(1)))
+        seed = ragged.mix(element[cell] + ragged.GOLD * ((column.astype(np.uint64) << np.uint64(32)) + layer.astype(np.uint64) + np.uint64(1)))
         darts = np.searchsorted(_POISSON, seed.astype(np.float64) / 2.0**64, "right")
         hit = np.repeat(np.arange(len(cell)), darts)
         nth = ragged.ragged_index(np.zeros(len(cell), np.int64), darts).astype(np.uint64)
@@ -114,7 +121,7 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, band_rows: int = BAND_
     keys = np.zeros((len(signatures), bands), np.uint64)
     for k in range(band_rows):
         keys = ragged.mix(keys + signatures[:, k : bands * band_rows : band_rows] + np.uint64(k + 1))
-    return ragged.mix(keys + _GOLD * np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
+    return ragged.mix(keys + ragged.GOLD * np.arange(1, bands + 1, dtype=np.uint64)).view(np.int64)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -124,7 +131,9 @@ def sketches(docs: DataFrame) -> DataFrame:
         for batch in batches:
             _, offsets = ragged.text_bytes(batch.column(1))
             for i, j in ragged.row_slices(offsets, CHUNK_BYTES):
-                row, element, count, one, two = shingles(*ragged.text_bytes(batch.column(1).slice(i, j - i)))
+                whole = ragged.text_bytes(batch.column(1).slice(i, j - i))
+                row, element, count = shingles(*whole)
+                one, two = text_hashes(*whole)
                 keys = band_keys(dart_signatures(row, element, count.astype(np.float64), j - i))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
                 words = np.bincount(row, count, j - i).astype(np.int64)
@@ -137,8 +146,8 @@ def similarities(data_a, offsets_a, data_b, offsets_b) -> np.ndarray:
     """Weighted Jaccard similarity of row i of one side and row i of the other; 0 where both are empty."""
     sides, n = [], len(offsets_a) - 1
     for data, offsets in ((data_a, offsets_a), (data_b, offsets_b)):
-        row, element, count, _, _ = shingles(data, offsets)
-        sides.append((ragged.mix(element + _GOLD * (row.astype(np.uint64) + np.uint64(1))), row, count))
+        row, element, count = shingles(data, offsets)
+        sides.append((ragged.mix(element + ragged.GOLD * (row.astype(np.uint64) + np.uint64(1))), row, count))
     (key_a, row_a, count_a), (key_b, row_b, count_b) = sides
     _, at_a, at_b = np.intersect1d(key_a, key_b, assume_unique=True, return_indices=True)
     common = np.bincount(row_a[at_a], np.minimum(count_a[at_a], count_b[at_b]), n)
@@ -183,91 +192,113 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The ``members`` of buckets that hold several classes, with label, the bucket's largest class, and how many centres settle it."""
-    named = members.join(labels.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select("bucket", "id", "size", "mates", "place", "lead", F.coalesce("label", "id").alias("label"))
-    by_class = named.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if("lead").alias("leads"))
-    largest = F.max_by(F.struct("label", "n", "leads"), F.struct("n", "label")).alias("top")
-    mixed = by_class.groupBy("bucket").agg(largest, F.sum("n").alias("n"), F.sum("leads").alias("leads")).where("n > top.n AND leads > 0")
-    outside, leads_outside = F.col("n") - F.col("top.n"), F.col("leads") - F.col("top.leads")
-    others = F.when(outside == leads_outside, F.least(outside, "leads")).otherwise(F.col("leads")).alias("others")
-    mixed = shared.written(mixed.select(F.col("bucket").alias("__bucket"), F.col("top.label").alias("largest"), others), "mixed-buckets")
-    return shared.written(named.join(mixed, F.col("bucket") == F.col("__bucket")).drop("__bucket"), "unsettled")
-
+def _sizes_allow(a, b):
+    return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6
 
-def _next_pairs(live: DataFrame, centres: int = CENTRES) -> tuple[DataFrame, DataFrame]:
-    """Pairs to compare in unsettled buckets, and the members left after that.
 
-    ``centres`` members meet all members of other classes and then leave: first
-    those outside the bucket's largest class, so a bucket with few of them is done
-    in one round. Sizes too far apart for the similarity aren't compared.
-    """
-    first = Window.partitionBy("bucket").orderBy(F.col("label") == F.col("largest"), F.col("mates").desc(), "id")
-    chosen = live.where("lead").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= centres)
-    chosen = shared.written(chosen.select(F.col("bucket").alias("__bucket"), F.col("id").alias("centre"), F.col("label").alias("centre_label"), F.col("size").alias("centre_size"), F.col("place").alias("centre_place")), "centres")
-    # What two texts can still have in common from this shingle on must do for the similarity.
-    enough = 1 + F.least(F.col("size") - F.col("place"), F.col("centre_size") - F.col("centre_place")) >= SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("centre_size")) - 1e-6
-    meet = (F.col("bucket") == F.col("__bucket")) & (F.col("label") != F.col("centre_label")) & _sizes_allow(F.col("size"), F.col("centre_size")) & enough
-    pairs = live.join(chosen, meet).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    left = live.where(F.col("others") > centres).join(chosen, (F.col("bucket") == F.col("__bucket")) & (F.col("id") == F.col("centre")), "left_anti").select("bucket", "id", "size", "mates", "place", "lead")
-    return pairs, left
+def _each(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of each shingle, its second, third .. copy in a row having a hash of its own; and each row's number of shingles."""
+    row, element, count = shingles(data, offsets)
+    nth = ragged.ragged_index(np.zeros(len(row), np.int64), count).astype(np.uint64)
+    row, element = np.repeat(row, count), ragged.mix(np.repeat(element, count) + ragged.GOLD * nth)
+    return row, element, np.bincount(row, minlength=len(offsets) - 1).astype(np.int64)
 
 
-def _sizes_allow(a, b):
-    return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6
+def _cell(element: np.ndarray) -> np.ndarray:
+    return (element & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def _prefix_members(texts: DataFrame) -> DataFrame:
-    """Buckets by rare shingles, exact: two of the ``texts`` that are alike enough share one.
+def _shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many shingles of all ``texts`` fall into each cell: a fixed number of cells, so it can go to all tasks."""
 
-    Shingles are ordered by how many of these texts hold them. Texts with similarity
+    def run(batches):
+        for batch in batches:
+            column = batch.column(0)
+            for i, j in ragged.row_slices(ragged.text_bytes(column)[1], 4 * CHUNK_BYTES):
+                _, element, _ = _each(*ragged.text_bytes(column.slice(i, j - i)))
+                cells, counts = np.unique(_cell(element), return_counts=True)
+                slices = cells // (CELLS // SLICES)
+                parts = ragged.runs(slices)
+                counts = np.minimum(counts, MOST_COUNT).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.array([int(slices[a]) for a, _ in parts], pa.int64()), *(ragged.binary_column([x[a:b] for a, b in parts]) for x in (cells.astype(np.uint32), counts))], ["slice", "cells", "counts"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        total, first = np.zeros(CELLS // SLICES, np.int64), table["slice"][0].as_py()
+        for cells, counts in zip(table["cells"].to_pylist(), table["counts"].to_pylist(), strict=True):
+            total[np.frombuffer(cells, np.uint32) - first * (CELLS // SLICES)] += np.frombuffer(counts, np.uint16)
+        return pa.table({"slice": [first], "counts": ragged.binary_column([np.minimum(total, MOST_COUNT).astype(np.uint16)])})
+
+    # SLICES rows of 2 * CELLS / SLICES bytes come to the driver, whatever the number of texts.
+    sums = texts.select("text").mapInArrow(run, "slice long, cells binary, counts binary").groupBy("slice").applyInArrow(summed, "slice long, counts binary")
+    out = np.zeros(CELLS, np.uint16)
+    for r in sums.collect():
+        out[r["slice"] * (CELLS // SLICES) : (r["slice"] + 1) * (CELLS // SLICES)] = np.frombuffer(r["counts"], np.uint16)
+    return out
+
+
+def _rare_shingles(texts: DataFrame) -> DataFrame:
+    """Of ``texts`` (id, text, label): (shingle, id, label, size, place, lead) for each text's rarest shingles; exact, two texts that are alike enough share one.
+
+    Shingles are ordered by the count of their cell, then by hash; any one order for
+    all texts gives whole results, a good one only saves work. Texts with similarity
     s or more share s of the larger one's shingles at least, so they share one of
-    the rarest size - ceil(s * size) + 1 of each, and of the smaller one even of its
-    rarest size - ceil(2 s / (1 + s) * size) + 1: there it leads. A passage that many texts have in
-    common stands last in that order and brings nobody together.
+    the first size - ceil(s * size) + 1 of each, and of the smaller one even of its
+    first size - ceil(2 s / (1 + s) * size) + 1: there it leads. A passage that many
+    texts have in common stands last in that order and brings nobody together. A
+    shingle alone in its cell is in no other text and isn't sent.
     """
+    counts = _shingle_counts(texts)
 
     def run(batches):
         for batch in batches:
-            _, offsets = ragged.text_bytes(batch.column(1))
-            ids = np.asarray(batch.column(0))
-            for i, j in ragged.row_slices(offsets, CHUNK_BYTES // 4):
-                row, element, count, _, _ = shingles(*ragged.text_bytes(batch.column(1).slice(i, j - i)))
-                size = np.bincount(row, count, j - i).astype(np.int64)
-                nth = ragged.ragged_index(np.zeros(len(row), np.int64), count).astype(np.uint64)
-                row, element = np.repeat(row, count), ragged.mix(np.repeat(element, count) + _GOLD * nth)
-                yield pa.RecordBatch.from_arrays([pa.array(element.view(np.int64)), pa.array(ids[i:j][row]), pa.array(size[row])], ["bucket", "id", "size"])
-
-    held = shared.written(texts.select("id", "text").mapInArrow(run, "bucket long, id long, size long"), "shingles")
-    holders = shared.written(held.groupBy(F.col("bucket").alias("__bucket")).agg(F.count(F.lit(1)).alias("holders")), "holders")
-    ordered = held.join(holders, F.col("bucket") == F.col("__bucket")).withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("holders", "bucket")))
-    prefix = ordered.where((F.col("nth") <= F.col("size") - F.ceil(F.col("size") * SIMILARITY - 1e-6) + 1) & (F.col("holders") > 1))
-    lead = F.col("nth") <= F.col("size") - F.ceil(F.col("size") * (2 * SIMILARITY / (1 + SIMILARITY)) - 1e-6) + 1
-    return shared.written(prefix.select("bucket", "id", "size", F.col("holders").alias("mates"), F.col("nth").alias("place"), lead.alias("lead")), "prefix-members")
-
-
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` after new ``links``: classes that a link joins become one."""
-    named = links
-    for side in ("a", "b"):
-        of = labels.select(F.col("id").alias("__id"), F.col("label").alias(f"label_{side}"))
-        named = named.join(of, F.col(side) == F.col("__id"), "left").drop("__id").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
-    named = shared.written(named, "named-links")
-    between = named.where("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    lower = components(between).select(F.col("id").alias("__from"), F.col("label").alias("__to"))
-    ends = named.select(F.col("a").alias("id"), F.col("label_a").alias("label")).union(named.select(F.col("b").alias("id"), F.col("label_b").alias("label")))
-    every = labels.union(ends).distinct()
-    return shared.written(every.join(lower, F.col("label") == F.col("__from"), "left").select("id", F.coalesce("__to", "label").alias("label")), "labels")
+            ids, labels, column = np.asarray(batch.column(0)), np.asarray(batch.column(2)), batch.column(1)
+            for i, j in ragged.row_slices(ragged.text_bytes(column)[1], CHUNK_BYTES):
+                row, element, size = _each(*ragged.text_bytes(column.slice(i, j - i)))
+                count = counts[_cell(element)]
+                order = np.lexsort((element, count, row))
+                row, element, count = row[order], element[order], count[order]
+                place = np.arange(len(row)) - np.searchsorted(row, np.arange(j - i))[row] + 1
+                first, leads = (size - np.ceil(size * share - 1e-6).astype(np.int64) + 1 for share in (SIMILARITY, 2 * SIMILARITY / (1 + SIMILARITY)))
+                sent = np.flatnonzero((place <= first[row]) & (count > 1))
+                row, place = row[sent], place[sent]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (element[sent].view(np.int64), ids[i:j][row], labels[i:j][row], size[row], place.astype(np.int64), place <= leads[row])], ["shingle", "id", "label", "size", "place", "lead"])
+
+    return texts.select("id", "text", "label").mapInArrow(run, "shingle long, id long, label long, size long, place long, lead boolean")
+
+
+def _crossing_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes among ``texts`` (id, text, label) that may be alike enough: all that are, and few others.
+
+    Shingles of one class only are dropped by an aggregate. In the others, those
+    outside the shingle's largest class meet everyone of another class, so members
+    of one large class don't meet each other.
+    """
+    sent = shared.written(_rare_shingles(texts), "rare-shingles")
+    by_class = sent.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = by_class.groupBy(F.col("shingle").alias("__shingle")).agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    mixed = shared.written(sent.join(largest, F.col("shingle") == F.col("__shingle")).drop("__shingle", "classes"), "mixed-shingles")
+    outside = mixed.where("label <> largest").select(F.col("shingle").alias("__shingle"), *(F.col(c).alias(f"__{c}") for c in ("id", "label", "size", "place", "lead")))
+    # What two texts can still have in common from this shingle on must do for the similarity.
+    enough = 1 + F.least(F.col("size") - F.col("place"), F.col("__size") - F.col("__place")) >= SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("__size")) - 1e-6
+    leads = (F.col("lead") & (F.col("size") <= F.col("__size"))) | (F.col("__lead") & (F.col("__size") <= F.col("size")))
+    meet = (F.col("shingle") == F.col("__shingle")) & (F.col("label") != F.col("__label")) & leads & _sizes_allow(F.col("size"), F.col("__size")) & enough
+    pairs = shared.written(mixed.join(outside, meet).select(F.least("id", "__id").alias("a"), F.greatest("id", "__id").alias("b")).distinct(), "pairs")
+    shared.discard(sent, mixed)
+    return pairs
 
 
 def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's class: key, class_id (the smallest key of its class), class_size.
+    """Each document's class: key, class_id (the smallest key of its class), class_size, n_links.
 
     Two documents are linked if the weighted Jaccard similarity of their word
     5-grams is 0.8 or more; classes are what links connect. Documents of fewer than
     five words are alike only if their words are equal. Null, empty and wordless
-    texts are classes of their own. A row without a key has no class (null) and
-    size 1. Rows with one key are one document. One row for each input row.
+    texts are classes of their own. A row without a key has no class (null), size 1
+    and no link. Keys are whole numbers (others end in Spark's cast error). Rows
+    with one key are one document, alike to what any of its texts is alike to.
+    n_links counts the verified links from a document's text to other texts that
+    hold its class together; pairs known to be in one class aren't compared, and
+    equal texts aren't links. One row for each input row; other columns aren't read.
     """
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     keyed = source.where("id IS NOT NULL")
@@ -277,49 +308,48 @@ def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text")
     dealt = reps.select(F.explode("buckets").alias("bucket"), "id", F.col("n_shingles").alias("size"))
     crowded = shared.written(dealt.groupBy(F.col("bucket").alias("__bucket")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
     met = shared.written(dealt.join(crowded, F.col("bucket") == F.col("__bucket")).select("bucket", "id", "size", "n"), "met")
+    slim = shared.written(sketch.select("id", "h1", "h2"), "hashes")
+    shared.discard(crowded, sketch)
     # An original meets its copies more often than they meet each other, so it is the best centre.
-    mates = shared.written(met.groupBy(F.col("id").alias("__id")).agg(F.sum(F.col("n") - 1).alias("mates")), "mates")
-    members = shared.written(met.join(mates, F.col("id") == F.col("__id")).select("bucket", "id", "size", "mates", F.lit(0).alias("place"), F.lit(True).alias("lead")), "members")
+    mates = met.groupBy(F.col("id").alias("__id")).agg(F.sum(F.col("n") - 1).alias("mates"))
+    members = shared.written(met.join(mates, F.col("id") == F.col("__id")).select("bucket", "id", "size", "mates"), "members")
     best = F.struct("mates", -F.col("id"))
     centre = members.groupBy(F.col("bucket").alias("__bucket")).agg(F.max_by("id", best).alias("centre"), F.max_by("size", best).alias("centre_size"))
-    centre = shared.written(centre, "centre")
     involved = members.select(F.col("id").alias("__id")).distinct()
     texts = shared.written(keyed.join(involved, F.col("id") == F.col("__id"), "left_semi"), "texts")
 
     star = members.join(centre, (F.col("bucket") == F.col("__bucket")) & (F.col("id") != F.col("centre")) & _sizes_allow(F.col("size"), F.col("centre_size")))
     pairs = shared.written(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs")
-    tested = pairs
-    labels = components(shared.written(verified(pairs, texts), "links"))
-
-    def compared(found: DataFrame) -> None:
-        nonlocal labels, tested
-        fresh = shared.written(found.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = shared.written(verified(fresh, texts), "links")
-        if not links.isEmpty():
-            labels = _merged(labels, links)
-        tested = tested.union(fresh)
-
-    live = _unsettled(members, labels)
-    compared(_next_pairs(live.where(F.col("others") <= CENTRES))[0])
-    rest = shared.written(live.where(F.col("others") > CENTRES).select(F.col("id").alias("__id")).distinct(), "rest")
-    if not rest.isEmpty():
-        left = _prefix_members(texts.join(rest, F.col("id") == F.col("__id"), "left_semi"))
-        while not left.isEmpty():
-            found, left = _next_pairs(_unsettled(left, labels), RARE_CENTRES)
-            compared(found)
-            left = shared.written(left, "left")
-
-    class_of = labels.select(F.col("id").alias("__rep"), F.col("label").alias("__label"))
-    named = copies.join(class_of, F.col("rep") == F.col("__rep"), "left").select(F.col("h1").alias("__1"), F.col("h2").alias("__2"), F.coalesce("__label", "rep").alias("class_id"), "n")
+    links = shared.written(verified(pairs, texts), "links")
+    labels = components(links)
+
+    # Buckets of one class are settled: a pair that meets in none of the others is linked or not alike enough.
+    label = F.coalesce("label", "id")
+    classed = members.join(labels.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select("bucket", "id", label.alias("label"))
+    open_buckets = classed.groupBy(F.col("bucket").alias("__bucket")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    unsettled = shared.written(classed.join(open_buckets, F.col("bucket") == F.col("__bucket"), "left_semi").select(F.col("id").alias("__id"), "label").distinct(), "unsettled")
+    crossing = _crossing_pairs(texts.join(unsettled, F.col("id") == F.col("__id")).select("id", "text", "label"))
+    more = shared.written(verified(crossing.join(pairs, ["a", "b"], "left_anti"), texts), "links")
+    if not more.isEmpty():
+        first, labels = labels, components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).where("a <> b").union(more))
+        shared.discard(first)
+
+    ends = links.union(more)
+    n_links = ends.select(F.col("a").alias("__rep")).union(ends.select("b")).groupBy("__rep").agg(F.count(F.lit(1)).alias("n_links"))
+    class_of = labels.select(F.col("id").alias("__id"), F.col("label").alias("__label"))
+    named = copies.join(class_of, F.col("rep") == F.col("__id"), "left").join(n_links, F.col("rep") == F.col("__rep"), "left")
+    named = named.select(F.col("h1").alias("__1"), F.col("h2").alias("__2"), F.coalesce("__label", "rep").alias("class_id"), "n", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     sizes = named.groupBy(F.col("class_id").alias("__class")).agg(F.sum("n").alias("class_size"))
-    groups = shared.written(named.join(sizes, F.col("class_id") == F.col("__class")).select("__1", "__2", "class_id", "class_size"), "groups")
-    out = sketch.join(groups, (F.col("h1") == F.col("__1")) & (F.col("h2") == F.col("__2")), "left")
-    known = out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"))
-    return known.union(source.where("id IS NULL").select(F.col("id").alias(key), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
+    groups = shared.written(named.join(sizes, F.col("class_id") == F.col("__class")).select("__1", "__2", "class_id", "class_size", "n_links"), "groups")
+    shared.discard(copies, met, members, texts, pairs, links, unsettled, crossing, more, labels)
+    out = slim.join(groups, (F.col("h1") == F.col("__1")) & (F.col("h2") == F.col("__2")), "left")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    known = out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", one).alias("class_size"), F.coalesce("n_links", none).alias("n_links"))
+    return known.union(source.where("id IS NULL").select(F.col("id").alias(key), F.col("id").alias("class_id"), one.alias("class_size"), none.alias("n_links")))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the document of the smallest key of each class; rows without a key stay."""
+    """``docs`` with the document of the smallest key of each class; rows without a key stay, and all columns."""
     classes = duplicate_classes(docs, key, text)
-    gone = shared.written(classes.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("__gone")).distinct(), "duplicates")
-    return docs.join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    gone = shared.written(classes.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("__sf_gone")).distinct(), "duplicates")
+    return docs.join(gone, F.col(key) == F.col("__sf_gone"), "left_anti")
