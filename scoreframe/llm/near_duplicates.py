@@ -303,19 +303,19 @@ def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text")
     source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     keyed = source.where("id IS NOT NULL")
     sketch = shared.written(sketches(keyed), "sketches")
-    copies = shared.written(sketch.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "copies")
-    reps = sketch.where("n_shingles > 0").join(copies.select(F.col("h1").alias("__1"), F.col("h2").alias("__2"), "rep"), (F.col("h1") == F.col("__1")) & (F.col("h2") == F.col("__2")) & (F.col("id") == F.col("rep")), "left_semi")
-    dealt = reps.select(F.explode("buckets").alias("bucket"), "id", F.col("n_shingles").alias("size"))
+    # Equal texts have equal buckets.
+    copies = shared.written(sketch.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("size"), F.first("buckets").alias("buckets")), "copies")
+    slim = shared.written(sketch.select("id", "h1", "h2"), "hashes")
+    shared.discard(sketch)
+    dealt = copies.select(F.explode("buckets").alias("bucket"), F.col("rep").alias("id"), "size")
     crowded = shared.written(dealt.groupBy(F.col("bucket").alias("__bucket")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowded")
     met = shared.written(dealt.join(crowded, F.col("bucket") == F.col("__bucket")).select("bucket", "id", "size", "n"), "met")
-    slim = shared.written(sketch.select("id", "h1", "h2"), "hashes")
-    shared.discard(crowded, sketch)
     # An original meets its copies more often than they meet each other, so it is the best centre.
     mates = met.groupBy(F.col("id").alias("__id")).agg(F.sum(F.col("n") - 1).alias("mates"))
     members = shared.written(met.join(mates, F.col("id") == F.col("__id")).select("bucket", "id", "size", "mates"), "members")
     best = F.struct("mates", -F.col("id"))
     centre = members.groupBy(F.col("bucket").alias("__bucket")).agg(F.max_by("id", best).alias("centre"), F.max_by("size", best).alias("centre_size"))
-    involved = members.select(F.col("id").alias("__id")).distinct()
+    involved = members.select(F.col("id").alias("__id")).distinct().hint("merge")  # they grow with the documents: not to be broadcast
     texts = shared.written(keyed.join(involved, F.col("id") == F.col("__id"), "left_semi"), "texts")
 
     star = members.join(centre, (F.col("bucket") == F.col("__bucket")) & (F.col("id") != F.col("centre")) & _sizes_allow(F.col("size"), F.col("centre_size")))
@@ -341,7 +341,7 @@ def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text")
     named = named.select(F.col("h1").alias("__1"), F.col("h2").alias("__2"), F.coalesce("__label", "rep").alias("class_id"), "n", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     sizes = named.groupBy(F.col("class_id").alias("__class")).agg(F.sum("n").alias("class_size"))
     groups = shared.written(named.join(sizes, F.col("class_id") == F.col("__class")).select("__1", "__2", "class_id", "class_size", "n_links"), "groups")
-    shared.discard(copies, met, members, texts, pairs, links, unsettled, crossing, more, labels)
+    shared.discard(copies, crowded, met, members, texts, pairs, links, unsettled, crossing, more, labels)
     out = slim.join(groups, (F.col("h1") == F.col("__1")) & (F.col("h2") == F.col("__2")), "left")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     known = out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("class_size", one).alias("class_size"), F.coalesce("n_links", none).alias("n_links"))
