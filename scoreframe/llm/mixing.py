@@ -33,11 +33,14 @@ def word_count(text: Column) -> Column:
 
 
 def _hash(value: Column, buckets: Column) -> Column:
-    return F.coalesce(F.conv(F.substring(F.md5(value.cast("string").cast("binary")), 1, 15), 16, 10).cast("long") % buckets, F.lit(0))
+    return F.conv(F.substring(F.md5(value.cast("string").cast("binary")), 1, 15), 16, 10).cast("long") % buckets
 
 
 def source_targets(sized: DataFrame, source: str = "source", size: str = "size", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """A row a source: its number, words, rows, target, copies a document expects, and random offset."""
+    """A row a source: its number, words, rows, target, copies a document expects, and random offset.
+
+    The running sums go over one row a source in one task: meant for up to some millions of sources.
+    """
     totals = sized.groupBy(F.col(source).alias("__source")).agg(F.sum(size).alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     everything = Window.partitionBy(F.lit(0))
     numbered = totals.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())))
@@ -57,44 +60,55 @@ def source_targets(sized: DataFrame, source: str = "source", size: str = "size",
     )
 
 
-def planned(docs: DataFrame, sizes: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """``docs``, which has ``size``, with source_size, target, copies and taken (size times copies).
+#: Names of the columns that the plan works with, apart from those of the caller's table.
+_SIZE, _TIE = "__sf_size", "__sf_tie"
+_PLAN = ("source_size", "target", "copies", "taken")
+
+
+def sized(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
+    """Key, source, size and a hash of the text of each row, written: two passes over it need no text."""
+    return shared.written(docs.select(key, source, word_count(F.col(text)).alias(_SIZE), F.xxhash64(text).alias(_TIE)), "sizes")
+
+
+def planned(docs: DataFrame, sizes: DataFrame, key: str = "doc_id", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """``docs`` with __sf_source_size, __sf_target, __sf_copies and __sf_taken (size times copies).
 
-    ``sizes`` has key, source and size of the same rows; it is read twice and should
-    be cheap to read. No row is lost. Rows without a key, and rows with equal keys,
-    are rows like others; a null source is a source. A source without words has
-    target 0. Columns of the names added are replaced. An empty table stays empty.
+    Both tables are of the same rows and have the columns of :func:`sized`;
+    ``sizes`` is read twice and should be cheap to read. No row is lost. Rows with
+    equal keys are rows like others, in the order of their size and text; rows
+    without a key are dealt by their text; a null source is a source. A source
+    without words has target 0. An empty table stays empty.
     """
-    docs = docs.drop("source_size", "target", "copies", "taken")
-    targets = shared.written(source_targets(sizes, source, size, weights, most), "targets")
-    stratum = _hash(F.col(key), F.col("strata"))
+    targets = source_targets(sizes, source, _SIZE, weights, most)
+    targets = shared.written(targets.select(*(F.col(c).alias("__sf_" + c.strip("_")) for c in targets.columns)), "targets")
+    # Rows without a key stand in the strata of their texts, so that they don't meet in one task.
+    stratum = _hash(F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text "), F.col(_TIE).cast("string"))), F.col("__sf_strata"))
 
     def dealt(rows: DataFrame) -> DataFrame:
-        return rows.join(targets, rows[source].eqNullSafe(targets["__source"])).drop("__source").withColumn("stratum", stratum)
-
-    counts = dealt(sizes).groupBy("source_no", "stratum").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("source_no").orderBy("stratum").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shared.written(counts.select(F.col("source_no").alias("__no"), F.col("stratum").alias("__stratum"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__start")), "strata")
-    within = Window.partitionBy("source_no", "stratum").orderBy(F.when(F.col("stratum") % 2 == 0, F.col(size)).otherwise(-F.col(size)), F.col(key).asc_nulls_last())
-    ranked = dealt(docs).withColumn("__rank", F.row_number().over(within))
-    placed = ranked.join(starts, (F.col("source_no") == F.col("__no")) & (F.col("stratum") == F.col("__stratum")))
-    place = F.col("__start") + F.col("__rank")
-    crossed = F.floor(F.col("offset") + F.col("rate") * place) - F.floor(F.col("offset") + F.col("rate") * (place - 1))
+        return rows.join(targets, rows[source].eqNullSafe(targets["__sf_source"])).withColumn("__sf_stratum", stratum)
+
+    counts = dealt(sizes).groupBy("__sf_source_no", "__sf_stratum").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("__sf_source_no").orderBy("__sf_stratum").rowsBetween(Window.unboundedPreceding, -1)
+    starts = shared.written(counts.select(F.col("__sf_source_no").alias("__sf_no"), F.col("__sf_stratum").alias("__sf_of"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__sf_start")), "strata")
+    within = Window.partitionBy("__sf_source_no", "__sf_stratum").orderBy(F.when(F.col("__sf_stratum") % 2 == 0, F.col(_SIZE)).otherwise(-F.col(_SIZE)), F.col(key).asc_nulls_last(), _TIE)
+    ranked = dealt(docs).withColumn("__sf_rank", F.row_number().over(within))
+    placed = ranked.join(starts, (F.col("__sf_source_no") == F.col("__sf_no")) & (F.col("__sf_stratum") == F.col("__sf_of")))
+    place, offset, rate = F.col("__sf_start") + F.col("__sf_rank"), F.col("__sf_offset"), F.col("__sf_rate")
+    crossed = F.floor(offset + rate * place) - F.floor(offset + rate * (place - 1))
     copies = F.least(crossed, F.lit(most)).cast("long")
-    return placed.withColumns({"copies": copies, "taken": copies * F.col(size)}).select(*docs.columns, "source_size", "target", "copies", "taken")
+    return placed.withColumns({"__sf_copies": copies, "__sf_taken": copies * F.col(_SIZE)}).select(*docs.columns, *(f"__sf_{c}" for c in _PLAN))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    sizes = shared.written(docs.select(key, source, word_count(F.col(text)).alias("__size")), "sizes")
-    plan = planned(docs.withColumn("__size", word_count(F.col(text))), sizes, key, source, "__size")
-    return plan.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mix itself: each document as often as it is taken, with the columns of ``docs`` as they are."""
+    plan = planned(docs.withColumns({_SIZE: word_count(F.col(text)), _TIE: F.xxhash64(text)}), sized(docs, key, source, text), key, source)
+    return plan.where("__sf_copies > 0").withColumn("__sf_copy", F.explode(F.sequence(F.lit(1), F.col("__sf_copies").cast("int")))).select(*docs.columns)
 
 
 def mixing_report(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """Each document's size, source words and target, copies, and words taken."""
-    sizes = shared.written(docs.select(key, source, word_count(F.col(text)).alias("size")), "sizes")
-    return planned(sizes, sizes, key, source)
+    """Each document's key, source, size, source words and target, copies, and words taken. Other columns aren't read."""
+    sizes = sized(docs, key, source, text)
+    return planned(sizes, sizes, key, source).select(key, source, F.col(_SIZE).alias("size"), *(F.col(f"__sf_{c}").alias(c) for c in _PLAN))
 
 
 ORACLE = r"""

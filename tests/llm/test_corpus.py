@@ -192,6 +192,22 @@ def test_mixing_edges(odd, spark):
     assert mixing.mixing_report(odd.limit(0)).count() == 0 and mixing.mixed(odd.limit(0)).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["rate", "offset", "strata", "source_no", "target", "copies", "taken", "source_size", "size", "n"]
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 40 AS int)) AS text", "concat('s', id % 3) AS source", *(f"concat('{n}', id) AS {n}" for n in names))
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns and got.dtypes == docs.dtypes
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in got.collect() for n in names)
+    assert mixing.mixing_report(docs).columns == ["doc_id", "source", "size", "source_size", "target", "copies", "taken"]
+
+
+def test_mixing_reruns_agree_for_equal_keys(spark):
+    rows = [(i // 50 if i < 200 else None, f"w w w {i}", "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first, again = (sorted((r["text"] for r in mixing.mixed(docs.repartition(n)).collect())) for n in (3, 11))
+    assert first == again and len(first) > 300
+
+
 def test_language_model_base(docs):
     tokens = {i: [*WORD.findall(t.translate(LOWER)), "\n"] for i, t in docs.select("doc_id", "text").collect()}
     fold = {i: zlib.crc32(str(i).encode()) % 10 for i in tokens}
