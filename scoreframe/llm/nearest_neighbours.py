@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by cosine from sharded, robust-pruned directed graphs.
 
-Equal vectors are collapsed to one with its smallest ids. Distinct vectors are
-dealt to shards of about ``SHARD_ROWS`` by a hash. In each shard vectors enter a
+Equal vectors are collapsed to one with its smallest ids. Distinct vectors of one
+length are dealt to shards by a hash. A shard holds at least ``SHARD_ROWS`` rows, or
+``SHARD_ROOT`` times the square root of all, up to ``MOST_SHARD_ROWS``, so that
+there are fewer shards to search as rows grow. In each shard vectors enter a
 graph in growing batches: greedy beam searches from the middle and some others propose
 neighbours, relaxed distance pruning keeps at most ``DEGREE`` of them in different
 directions, and the same pruning trims nodes that gain too many incoming edges.
-Beam search then answers every query in each shard, the scores are computed anew
-in double precision on the original vectors, and each query keeps its best.
+Beam search then answers every query in each shard, block after block, the scores
+are computed anew in double precision on the original vectors, and each query keeps
+its best.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import types as T
 
 from scoreframe.llm import ragged, shared
 
-SHARD_ROWS = 8192
+SHARD_ROWS, SHARD_ROOT, MOST_SHARD_ROWS = 8192, 36, 1 << 16
 #: Edges of a node, width of the beams that build and that search, and the relaxation of the pruning.
 DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 24, 48, 192, 1.2
 #: Nodes where each search begins: a dense group of near-equal vectors has few edges out, so one entry could be caught in it.
@@ -130,15 +133,57 @@ def _valid(vector: str):
     return F.col(vector).isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def _shards(distinct: DataFrame, shard_rows: int | None) -> DataFrame:
+    """For each length of vectors: its first shard and how many it has."""
+    lengths = distinct.groupBy(F.size("v").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    grown = F.least(F.lit(MOST_SHARD_ROWS), F.greatest(F.lit(SHARD_ROWS), F.ceil(SHARD_ROOT * F.sqrt(F.col("n").cast("double")))))
+    rows = grown if shard_rows is None else F.lit(shard_rows)
+    counted = lengths.withColumn("shards", F.ceil(F.col("n") / rows).cast("long"))
+    before = F.sum("shards").over(Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1))  # a row a length
+    return counted.select("length", "shards", F.coalesce(before, F.lit(0)).alias("first"))
+
+
+_FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("score", T.DoubleType())])
+
+
+class _Shard:
+    """One shard's points and their graph."""
+
+    def __init__(self, points: pa.Table):
+        # Rows come in any order; sorting makes reruns agree.
+        points = points.take(np.argsort(np.array([i[0] for i in points["ids"].to_pylist()]), kind="stable"))
+        self.ids = points["ids"].to_pylist()
+        self.x = self._matrix(points)
+        self.norm = np.sqrt((self.x * self.x).sum(axis=1))
+        self.graph = PrunedGraph(self.x / self.norm[:, None])
+
+    @staticmethod
+    def _matrix(rows: pa.Table) -> np.ndarray:
+        return pc.list_flatten(rows["v"]).to_numpy().reshape(len(rows), -1)
+
+    def answers(self, asks: pa.Table, k: int) -> pa.RecordBatch:
+        q, names, out = self._matrix(asks), asks["query"].to_pylist(), ([], [], [])
+        q_norm = np.sqrt((q * q).sum(axis=1))
+        found, _ = self.graph.search((q / q_norm[:, None]).astype(np.float32), SEARCH_BEAM)
+        exact = np.where(found >= 0, np.einsum("qcd,qd->qc", self.x[found], q) / (self.norm[found] * q_norm[:, None]), -np.inf)
+        for ask, near, scores in zip(names, found, exact, strict=True):
+            best = np.lexsort((np.array([self.ids[p][0] if p >= 0 else 0 for p in near]), -scores))[: k + 1]
+            listed = sorted(((-scores[c], i) for c in best if near[c] >= 0 for i in self.ids[near[c]] if i != ask))[:k]
+            for column, values in zip(out, ([ask] * len(listed), [i for _, i in listed], [-s for s, _ in listed]), strict=True):
+                column += values
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], _FOUND.names)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", shard_rows: int | None = None) -> DataFrame:
     """The ``k`` nearest rows of ``vectors`` found for each of the ``queries``: query_id, rank, key, score.
 
-    Both tables have an integer key and a vector of one length. A candidate with
-    the query's own key is left out. Nearest first, by cosine, ties to the smaller
-    key. Vectors null, empty, zero, or with a null or non-finite component take no
-    part, nor do rows without a key or of another length than most of their shard;
-    rows with one key and one vector count once. Fewer candidates than ``k`` are all
-    returned; an empty table gives no rows.
+    Both tables have an integer key (others end in Spark's cast error) and a vector.
+    A candidate with the query's own key is left out, as are vectors of another
+    length than the query's. Nearest first, by cosine, ties to the smaller key.
+    Vectors null, empty, zero, or with a null or non-finite component take no part,
+    nor do rows without a key; rows with one key and one vector count once. Fewer
+    candidates than ``k`` are all returned; an empty table gives no rows. Other
+    columns aren't read. ``shard_rows`` sets the rows of a shard.
     """
     good = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & _valid("v"))
     asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & _valid("v")).distinct()
@@ -146,38 +191,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     distinct = good.distinct().withColumn("nth", first).where(F.col("nth") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     distinct = shared.written(distinct, "distinct-vectors")
-    shards = max(1, -(-distinct.count() // shard_rows))
-    dealt = distinct.select(F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(shards)).alias("shard"), F.lit(None).cast("long").alias("query"), "ids", "v")
-    sent = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.col("id").alias("query"), F.array().cast("array<long>").alias("ids"), "v")
-
-    def answer(table: pa.Table) -> pa.Table:
-        queries_here = np.asarray(table["query"].is_valid())
-        sizes = pc.list_value_length(table["v"]).to_numpy()
-        size = int(np.bincount(sizes[~queries_here]).argmax()) if (~queries_here).any() else 0
-        fits = sizes == size
-        points, asks = table.filter(pa.array(~queries_here & fits)), table.filter(pa.array(queries_here & fits))
-        out = {"query_id": [], "key": [], "score": []}
-        if len(points) and len(asks):
-            # Shards hold rows in any order; sorting makes reruns agree.
-            points = points.take(np.argsort(np.array([i[0] for i in points["ids"].to_pylist()]), kind="stable"))
-            x, q = (pc.list_flatten(t["v"]).to_numpy().reshape(-1, size) for t in (points, asks))
-            ids, names = points["ids"].to_pylist(), asks["query"].to_pylist()
-            x_norm, q_norm = np.sqrt((x * x).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-            graph = PrunedGraph(x / x_norm[:, None])
-            for a in range(0, len(q), BATCH):
-                found, _ = graph.search((q[a : a + BATCH] / q_norm[a : a + BATCH, None]).astype(np.float32), SEARCH_BEAM)
-                exact = np.einsum("qcd,qd->qc", x[found], q[a : a + BATCH]) / (x_norm[found] * q_norm[a : a + BATCH, None])
-                exact = np.where(found >= 0, exact, -np.inf)
-                for row, (near, scores) in enumerate(zip(found, exact, strict=True)):
-                    ask = names[a + row]
-                    best = np.lexsort((np.array([ids[p][0] if p >= 0 else 0 for p in near]), -scores))[: k + 1]
-                    listed = sorted(((-scores[c], i) for c in best if near[c] >= 0 for i in ids[near[c]] if i != ask))[:k]
-                    out["query_id"] += [ask] * len(listed)
-                    out["key"] += [i for _, i in listed]
-                    out["score"] += [-s for s, _ in listed]
-        return pa.table([pa.array(out["query_id"], pa.int64()), pa.array(out["key"], pa.int64()), pa.array(out["score"], pa.float64())], names=["query_id", "key", "score"])
-
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("key", T.LongType()), T.StructField("score", T.DoubleType())])
-    found = dealt.union(sent).groupBy("shard").applyInArrow(answer, schema)
+    shards = shared.written(_shards(distinct, shard_rows), "shards")
+    total = shards.agg(F.sum("shards")).first()[0] or 0
+    of = F.size("v") == F.col("length")
+    dealt = distinct.join(shards, of).select((F.col("first") + F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.col("shards"))).alias("shard"), F.lit(None).cast("long").alias("query"), "ids", "v")
+    sent = asked.join(shards, of).select(F.explode(F.sequence(F.col("first"), F.col("first") + F.col("shards") - 1)).alias("shard"), F.col("id").alias("query"), F.array().cast("array<long>").alias("ids"), "v")
+
+    def run(batches):
+        points, shard = [], None
+        for batch in batches:
+            is_query = np.asarray(batch.column(0).is_valid())
+            if not is_query.all():
+                points.append(batch.filter(pa.array(~is_query)))
+            asks = pa.Table.from_batches([batch.filter(pa.array(is_query))])
+            if len(asks) and points:
+                shard = shard or _Shard(pa.Table.from_batches(points))
+                for a in range(0, len(asks), BATCH):
+                    yield shard.answers(asks.slice(a, BATCH), k)
+
+    # A partition is a shard: its points come first, then the queries pass through block by block.
+    parts = dealt.union(sent).repartitionById(max(1, total), F.col("shard").cast("int")).sortWithinPartitions(F.col("query").asc_nulls_first())
+    found = parts.select("query", "ids", "v").mapInArrow(run, _FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("key").alias(key), "score")

@@ -1,14 +1,18 @@
 """Tables written to the cluster's shared folder, in place of long lineages.
 
 A written table survives the loss of any executor. The folder is the one that
-``spark.checkpoint.dir`` names; only where that is unset (tests, a laptop) is a
-temporary folder of this machine used.
+``spark.checkpoint.dir`` names; only where that is unset and Spark is local (tests,
+a laptop) is a temporary folder of this machine used.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +24,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="scoreframe-")
@@ -30,6 +36,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_MADE: ContextVar[list | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[list]:
+    """Collects the tables written inside it; on leaving, all but the last are deleted."""
+    token = _MADE.set([])
+    try:
+        yield _MADE.get()
+        discard(*_MADE.get()[:-1])
+    finally:
+        _MADE.reset(token)
+
+
 #: With it on, Spark deletes a query's shuffle files as soon as the query ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -46,7 +66,10 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
         df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(table)
+    return table
 
 
 def discard(*tables: DataFrame) -> None:

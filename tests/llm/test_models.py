@@ -165,6 +165,18 @@ def test_neighbour_edges(spark):
     assert nearest_neighbours.nearest(vectors.limit(0), vectors).count() == 0
 
 
+def test_neighbours_of_each_length(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=(4, 6, 3)[i % 3] if i != 60 else 6).tolist()) for i in range(120)]
+    vectors = spark.createDataFrame([(*r, "mine") for r in rows], "vec_id long, embedding array<double>, score string").repartition(3)
+    got = nearest_neighbours.nearest(vectors, vectors.where("vec_id % 10 = 0"), shard_rows=15).collect()
+    assert Counter(r["query_id"] for r in got) == {q: 5 for q in range(0, 120, 10)}
+    for q in range(0, 120, 10):
+        v = np.array(rows[q][1])
+        cosine = {i: v @ np.array(x) / np.sqrt((v @ v) * (np.array(x) @ np.array(x))) for i, x in rows if i != q and len(x) == len(v)}
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == sorted(cosine, key=lambda i: (-cosine[i], i))[:5]
+
+
 def test_pipeline_stages(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
