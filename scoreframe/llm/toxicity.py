@@ -7,7 +7,9 @@ weight a feature, shared by all grades, and ascending thresholds.
 
 The labels only say toxic or not. Grade 0 is not toxic; labelled toxic texts are
 graded 1 to ``GRADES`` by how many words tied to the toxic label are in them
-(equal shares of the sample). Features are counted over every labelled document
+(equal parts of the sample): a proxy, since no label says how toxic a text is, and
+longer texts get higher grades by it. The share of such words as grade caught 0.51 of
+held-out English toxic documents at sf0.1 in place of 0.92. Features are counted over every labelled document
 and kept at a bounded share of false ones, so more labels find rarer words. Their
 weights are fitted on at most ``MAX_LABELLED`` of those documents, drawn by label
 (toxic ones first), and the thresholds are set back to the share of toxic labels
@@ -237,8 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return OrdinalModel(features, model.weights, model.thresholds + drawn)
 
 
-def score(docs: DataFrame, model: OrdinalModel, text: str = "text", reject_at: float = 0.2) -> DataFrame:
-    """``docs`` with p_grade_1 .. p_grade_3 (chance of that grade or more), expected_severity (their sum) and rejected.
+def score(docs: DataFrame, model: OrdinalModel, text: str = "text", reject_at: float = 0.2, prefix: str = "") -> DataFrame:
+    """``docs`` with p_grade_1 .. p_grade_3 (chance of that grade or more), expected_severity (their sum) and rejected, all behind ``prefix``.
 
     A text is rejected if its chance of grade 1 or more is ``reject_at`` or more and
     its odds are ten times those of a text without features, at least: few labels
@@ -246,7 +248,7 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", reject_at: f
     Null and empty texts have no feature and take the model's base chance. No row
     is lost; columns of those names are replaced.
     """
-    names = [*(f"p_grade_{g}" for g in range(1, GRADES + 1)), "expected_severity", "rejected"]
+    names = [prefix + n for n in (*(f"p_grade_{g}" for g in range(1, GRADES + 1)), "expected_severity", "rejected")]
     docs = docs.drop(*names)
     cut = max(np.log(reject_at / (1 - reject_at)), np.log(10) - model.thresholds[0])
     cut = 1 / (1 + np.exp(-cut))
@@ -262,3 +264,8 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", reject_at: f
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *map(pa.array, extra)], schema.names)
 
     return docs.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:
+    """The ``docs`` that aren't rejected, with their own columns as they are."""
+    return score(docs, model, text, prefix="__sf_").where("NOT __sf_rejected").select(*docs.columns)
