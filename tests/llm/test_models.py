@@ -1,15 +1,18 @@
 """URL filter, toxicity, nearest neighbours and the pipeline."""
 
+import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scoreframe.llm import nearest_neighbours, ragged, shared, toxicity, url_filter
+from scoreframe.llm import mixing, nearest_neighbours, ragged, shared, toxicity, url_filter
 
 DATA = "/root/testdata/sf0.001"
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -177,27 +180,89 @@ def test_neighbours_of_each_length(spark):
         assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == sorted(cosine, key=lambda i: (-cosine[i], i))[:5]
 
 
-def test_pipeline_stages(spark):
-    folder = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+def test_pipeline_stages_equal_brute_force(spark):
+    """Each stage on its own input: toxicity by the model's formula, all others against plain versions of the operators."""
+    import duckdb
+    import public_tokenizers
+    import sentencepiece
+    from test_corpus import WORD, LOWER, brute_classes
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumns({"rejected": F.concat(F.lit("r"), "doc_id"), "n_lines": F.lit("mine"), "target": F.col("doc_id")})
+    columns = docs.dtypes
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "near dedup", "mix", "tokens"]
-    columns, counts = docs.columns, [docs.count()]
-    labels = spark.read.parquet(f"{folder}/labels.parquet")
-    # At this size only the English toxic words are frequent enough to be learned.
-    toxic = {r[0] for r in labels.where("toxic = 1").join(docs.where("lang = 'en'"), "doc_id").select("doc_id").collect()}
-    clean = {r[0] for r in labels.where("toxic = 0").collect()}
     for name, stage in corpus_pipeline.STAGES:
-        before = docs
-        docs = shared.written(stage(spark, before, folder), "stage")
-        counts.append(docs.count())
-        if name != "tokens":
-            assert docs.columns == columns
+        before = [r.asDict() for r in docs.collect()]
+        model = toxicity.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet")) if name == "toxicity" else None
+        docs = shared.written(stage(spark, docs, DATA), "stage")
+        got = [r.asDict() for r in docs.collect()]
+        assert name == "tokens" or (docs.dtypes == columns and all(r["rejected"] == f"r{r['doc_id']}" and r["n_lines"] == "mine" and r["target"] == r["doc_id"] for r in got))
         if name == "toxicity":
-            gone = {r[0] for r in before.select("doc_id").subtract(docs.select("doc_id")).collect()}
-            assert len(toxic & gone) >= 0.85 * len(toxic) and len(clean & gone) <= 0.02 * len(clean)
+            cut = max(math.log(0.2 / 0.8), math.log(10) - model.thresholds[0])
+            kept = {r["doc_id"] for r in before if brute_score(model, r["text"]) - model.thresholds[0] < cut}
+            assert {r["doc_id"] for r in got} == kept
         if name == "line dedup":
-            assert docs.where("n_chars <> length(text)").count() == 0
-    assert counts[2] == counts[1] and counts[3] <= counts[2] and counts[5] == counts[4] > 0
+            key, holders = lambda x: x.strip(" \t\n\v\f\r").translate(LOWER), {}
+            for r in sorted(before, key=lambda r: r["doc_id"]):
+                for x in r["text"].split("\n"):
+                    holders.setdefault(key(x), r["doc_id"])
+            want = {r["doc_id"]: "\n".join(x for x in r["text"].split("\n") if len(key(x)) < 10 or holders[key(x)] == r["doc_id"]) for r in before}
+            assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in got} == {i: (t, len(t)) for i, t in want.items()}
+        if name == "near dedup":
+            classes = brute_classes([(r["doc_id"], r["text"]) for r in before])
+            assert {r["doc_id"] for r in got} == {i for i, c in classes.items() if i == c}
+        if name == "mix":
+            con = duckdb.connect()
+            documents = pa.Table.from_pylist([{k: r[k] for k in ("doc_id", "source", "text")} for r in before])
+            con.register("documents", documents)
+            rows = con.execute(f"SELECT doc_id, copies FROM ({mixing.ORACLE})").fetchall()
+            assert Counter(r["doc_id"] for r in got) == Counter({i: c for i, c in rows if c})
+            assert {r["doc_id"]: r["text"] for r in got}.items() <= {r["doc_id"]: r["text"] for r in before}.items()
+        if name == "tokens":
+            lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+            sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+            want = [(r["doc_id"], len(i) + 1, sha(" ".join(map(str, [*i, 2]))), sha(lib.decode(i))) for r in before for i in [lib.encode(r["text"])]]
+            assert sorted(map(tuple, docs.collect())) == sorted(want)
+    assert WORD and len(got) > 50
+
+
+def brute_score(model, text):
+    """w.x of a text, from its words one by one."""
+    marks = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    counts = Counter()
+    for word in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+        word = bytes(c + 32 if 65 <= c <= 90 else c for c in word)
+        for _ in range(3):
+            word = word[1:] if len(word) > 1 and chr(word[0]) in marks else word
+            word = word[:-1] if len(word) > 1 and chr(word[-1]) in marks else word
+        whole = np.frombuffer(word, np.uint8)
+        counts[int(ragged.span_hashes(whole, np.array([0]), np.array([len(word)]))[0])] += 1
+        for k in toxicity.PREFIXES:
+            if len(word) > k:
+                counts[int(ragged.mix(np.array([int.from_bytes(word[:k], "little") + (k << 56)], np.uint64))[0])] += 1
+    weights = dict(zip(model.features.hashes.tolist(), model.weights.tolist(), strict=True))
+    return sum(weights[h] * math.log1p(n) for h, n in counts.items() if h in weights)
+
+
+def test_toxicity_equals_brute_force_and_catches_every_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.where("doc_id % 3 <> 0"))
+    rows = toxicity.score(docs.select("doc_id", "text", "lang"), model).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
+    for lang in ("de", "en", "es", "fr"):
+        bad, good = ([r["rejected"] for r in rows if r["lang"] == lang and r["toxic"] == t] for t in (1, 0))
+        assert len(bad) > 10 and np.mean(bad) > 0.85 and np.mean(good) < 0.05
+    assert len(model.features.hashes) > 20
+    for r in rows[::15]:
+        z = brute_score(model, r["text"])
+        want = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        assert [r[f"p_grade_{g}"] for g in (1, 2, 3)] == pytest.approx(want, rel=1e-9) and r["expected_severity"] == pytest.approx(sum(want), rel=1e-9)
+
+
+def test_pipeline_run_leaves_no_tables_but_the_last(spark):
+    from pathlib import Path
+
+    got = corpus_pipeline.run(spark, DATA)
+    folder = Path(shared.shared_folder(spark).removeprefix("file://"))
+    assert got.count() > 50 and not [*folder.glob("toxicity-*"), *folder.glob("line-dedup-*"), *folder.glob("near-dedup-*")] and [*folder.glob("mix-*")]
 
 
 def test_pipeline_handles_odd_rows(spark):
