@@ -17,14 +17,13 @@ from scoreframe.llm import toxicity as severity
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model doesn't reject; it is fitted on the labelled ones among ``docs``."""
-    model = severity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return severity.score(docs, model).where("NOT rejected").select(*docs.columns)
+    return severity.accepted(docs, severity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without lines that an earlier one has; n_chars follows the text."""
-    kept = line_dedup.drop_repeated_lines(docs)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Every document, without lines that an earlier one has; n_chars, if there, follows the text."""
+    kept = line_dedup.cut_documents(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written and read again; a stage's own tables go once its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with shared.scratch():
+            docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            shared.discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
