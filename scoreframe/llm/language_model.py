@@ -33,7 +33,8 @@ BUCKET_KEYS = 1_000_000
 #: Of FOLDS parts by the CRC-32 of the key, part 0 is not learned from and part DEV teaches the weights.
 FOLDS, DEV = 10, 1
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-NO_ID = (1 << 63) - 1
+#: Added to the fold of a document without a key.
+NO_KEY = 128
 #: Histogram: octaves of the ratio below 1, all octaves, bins an octave; context buckets.
 LOW, OCTAVES, FINE, CONTEXTS = 64, 160, 32, 64
 _BINS = OCTAVES * FINE + 1
@@ -89,8 +90,9 @@ class _Chunk:
         words, place = np.unique(np.concatenate(self.words), return_inverse=True)
         ids, folds, sizes = (np.concatenate(x) for x in (self.ids, self.folds, self.sizes))
         pairs = len(np.unique(_pair_codes(place, sizes, len(words))))
-        trained = int(sizes[folds != 0].sum())
-        out = [[number], [self.dev], [len(words)], [pairs], [trained], [trained - int(sizes[folds == DEV].sum())]]
+        part = folds & (NO_KEY - 1)
+        trained = int(sizes[part != 0].sum())
+        out = [[number], [self.dev], [len(words)], [pairs], [trained], [trained - int(sizes[part == DEV].sum())]]
         blobs = [ids.astype(np.int64).tobytes(), folds.astype(np.uint8).tobytes(), sizes.astype(np.uint32).tobytes(), pack_sorted(words), place.astype(np.uint32).tobytes()]
         self.clear()
         return pa.RecordBatch.from_arrays([pa.array(x) for x in out] + [pa.array([pa.compress(b, "zstd", asbytes=True)], pa.binary()) for b in blobs] + [pa.array([[len(b) for b in blobs]], pa.list_(pa.int64()))], _CHUNK_COLUMNS)
@@ -113,7 +115,8 @@ class Tokens:
 
     def __init__(self, row: dict):
         ids, folds, sizes, words, places = (pa.decompress(row[c], n, "zstd", asbytes=True) for c, n in zip(("ids", "folds", "sizes", "words", "places"), row["raw"], strict=True))
-        self.ids, self.folds, self.sizes = np.frombuffer(ids, np.int64), np.frombuffer(folds, np.uint8), np.frombuffer(sizes, np.uint32).astype(np.int64)
+        folds = np.frombuffer(folds, np.uint8)
+        self.ids, self.no_key, self.folds, self.sizes = np.frombuffer(ids, np.int64), folds >= NO_KEY, folds & (NO_KEY - 1), np.frombuffer(sizes, np.uint32).astype(np.int64)
         self.words, self.place = unpack_sorted(words), np.frombuffer(places, np.uint32).astype(np.int64)
         self.fold = np.repeat(self.folds, self.sizes)
         self.n = len(self.words)
@@ -158,7 +161,7 @@ def token_chunks(docs: DataFrame) -> DataFrame:
                 stop = np.zeros(len(words), bool)
                 stop[np.cumsum(counts + 1) - 1] = True
                 words[~stop] = ragged.span_hashes(data, starts, ends)
-                dev = folds[i:j] == DEV
+                dev = folds[i:j] & (NO_KEY - 1) == DEV
                 of = np.repeat(dev, counts + 1)
                 for kind, chunk in zip((False, True), kinds, strict=True):
                     if (dev == kind).any():
@@ -185,8 +188,8 @@ def _requests(chunks: DataFrame, buckets: int, pairs: bool) -> DataFrame:
                 fit = np.bincount(which[tokens.fold > DEV], minlength=len(keys))
                 dev = np.bincount(which[tokens.fold == DEV], minlength=len(keys))
                 bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                cut = ragged.run_starts(bucket)
-                parts = list(zip(cut, [*cut[1:], len(keys)], strict=True))
+                parts = ragged.runs(bucket)
+                cut = [a for a, _ in parts]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket[cut]), pa.array(np.full(len(cut), row["chunk"], np.int64)), pa.array(np.full(len(cut), row["dev"])), *(pa.array([f(x[a:b]) for a, b in parts], pa.binary()) for f, x in ((pack_sorted, keys), (pack_counts, fit), (pack_counts, dev)))],
                     ["bucket", "chunk", "dev", "keys", "fit", "held"],
@@ -219,18 +222,23 @@ def _totals(table: pa.Table) -> pa.Table:
 _TOTALS_SCHEMA = "chunk long, bucket long, fit binary, every binary, trained_keys long, fitted_keys long, cells array<long>, weights array<double>"
 
 
+def _spread(table: DataFrame, by: str, groups: int) -> DataFrame:
+    """``table`` dealt by ``by`` to enough partitions for its number of groups, so that tasks stay small as these grow."""
+    return table.repartition(max(2 * groups, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))), by)
+
+
 def counted(chunks: DataFrame, asked: int, pairs: bool) -> DataFrame:
     """Total counts of every chunk's words or pairs, a row for each chunk and bucket, written."""
-    requests = _requests(chunks, max(1, -(-asked // BUCKET_KEYS)), pairs)
+    buckets = max(1, -(-asked // BUCKET_KEYS))
+    requests = _spread(_requests(chunks, buckets, pairs), "bucket", buckets)
     return shared.written(requests.groupBy("bucket").applyInArrow(_totals, _TOTALS_SCHEMA), "pair-counts" if pairs else "word-counts", compression="zstd")
 
 
 def _unpack(answers: list[dict], keys: np.ndarray, buckets: int, column: str) -> np.ndarray:
     """One count for each of the ascending ``keys``."""
     bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    cut = ragged.run_starts(bucket)
     by = {r["bucket"]: r[column] for r in answers}
-    return np.concatenate([unpack_counts(by[int(bucket[a])], b - a) for a, b in zip(cut, [*cut[1:], len(keys)], strict=True)] or [np.zeros(0, np.int64)])
+    return np.concatenate([unpack_counts(by[int(bucket[a])], b - a) for a, b in ragged.runs(bucket)] or [np.zeros(0, np.int64)])
 
 
 def learned_share(weights: np.ndarray, ratio: np.ndarray, rounds: int = 200) -> float:
@@ -270,13 +278,16 @@ def scored_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     one end follows. A null text is empty: it has the end only. Documents whose
     CRC-32 of the key as text is divisible by 10 are held out and not learned from;
     a missing key counts as empty text and is held out. base_score is the unigram
-    score with 0.1 added to each count. Equal rows each have a row. With nothing to
-    learn from, every word has the same chance.
+    score with 0.1 added to each count. Words and pairs are told apart by 64-bit
+    hashes. Keys are whole numbers (others end in Spark's cast error). Equal rows each
+    have a row; other columns aren't read. With nothing to learn from, every word has
+    the same chance.
     """
     fold = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
-    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"), fold.alias("fold"))
+    fold = fold + F.when(F.col(key).isNull(), NO_KEY).otherwise(0)
+    source = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"), F.col(text).alias("text"), fold.alias("fold"))
     chunks = shared.written(token_chunks(source), "tokens")
-    sizes = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_pairs", "trained", "fitted"))).first()
+    sizes = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_words", "n_pairs", "trained", "fitted")), F.count(F.lit(1)).alias("chunks")).first()
     word_buckets, pair_buckets = (max(1, -(-sizes[c] // BUCKET_KEYS)) for c in ("n_words", "n_pairs"))
 
     words = counted(chunks, sizes["n_words"], False)
@@ -331,12 +342,12 @@ def scored_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -
             score = np.bincount(doc, np.log10(final.chance(pair, tokens.contexts(word, final.starts), count)), len(tokens.ids))
             base = np.bincount(doc, np.log10((count + 0.1) / (final.tokens + 0.1 * (final.words + 1))), len(tokens.ids))
             known = np.bincount(doc, count > 0, len(tokens.ids)).astype(np.int64)
-            missing = pa.array(tokens.ids == NO_ID)
-            ids = pc.if_else(missing, None, pa.array(tokens.ids))
+            ids = pc.if_else(pa.array(tokens.no_key), None, pa.array(tokens.ids))
             out.append(pa.table([ids, pa.array(tokens.folds == 0), pa.array(tokens.sizes), pa.array(known), pa.array(np.full(len(doc) and len(tokens.ids), final.tokens, np.int64)), pa.array(base), pa.array(score), pa.array(10.0 ** (-score / tokens.sizes))], names=schema.names))
         return pa.concat_tables(out)
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scores, schema)
+    spread = (_spread(table, "chunk", sizes["chunks"]).groupBy("chunk") for table in (chunks, answers))
+    return next(spread).cogroup(next(spread)).applyInArrow(scores, schema)
 
 
 def _document_counts(chunks: DataFrame) -> dict[str, int]:
@@ -346,7 +357,7 @@ def _document_counts(chunks: DataFrame) -> dict[str, int]:
         for batch in batches:
             trained = fitted = 0
             for folds, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fold = np.frombuffer(pa.decompress(folds, raw[1], "zstd", asbytes=True), np.uint8)
+                fold = np.frombuffer(pa.decompress(folds, raw[1], "zstd", asbytes=True), np.uint8) & (NO_KEY - 1)
                 trained, fitted = trained + int((fold != 0).sum()), fitted + int((fold > DEV).sum())
             yield pa.RecordBatch.from_arrays([pa.array([trained]), pa.array([fitted])], ["trained", "fitted"])
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from scoreframe.llm import language_model, line_dedup, mixing, near_duplicates, quality_rules, ragged, shared
 
@@ -223,6 +224,61 @@ def test_language_model_base(docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def brute_scores(rows):
+    """The whole method in plain dictionaries; ratios and counts are told apart to 1/32 of an octave, as the docstring says."""
+    fine, tokens = language_model.FINE, {i: [*WORD.findall((t or "").translate(LOWER)), "\n"] for i, t in rows}
+    fold = {i: zlib.crc32(str(i).encode()) % 10 for i in tokens}
+
+    def counts(folds):
+        words, pairs, starts = Counter(), Counter(), 0
+        for i, ws in tokens.items():
+            if fold[i] in folds:
+                words.update(ws), pairs.update(zip(["^", *ws], ws, strict=False))
+                starts += 1
+        return words, pairs, Counter({**words, "^": starts})
+
+    def em(cases):
+        share = 0.5
+        for _ in range(200):
+            share = min(sum(n * (1.0 if r == math.inf else share * r / (share * r + 1 - share)) for r, n in cases.items()) / sum(cases.values()), 1 - 1e-6)
+        return share
+
+    def middle(x):
+        return 2 ** ((math.floor(math.log2(x) * fine) + 0.5) / fine)
+
+    (words, pairs, before), (held, held_pairs, _) = counts(range(2, 10)), counts([1])
+    n, v = sum(words.values()), len(words)
+    cases = Counter()
+    for w, c in held.items():
+        cases[middle(words[w]) / n * (v + 1) if words[w] else 0.0] += c
+    unigram = em(cases)
+    by_context = defaultdict(Counter)
+    for (a, w), c in held_pairs.items():
+        if before[a]:
+            ratio = pairs[a, w] / before[a] / (unigram * words[w] / n + (1 - unigram) / (v + 1))
+            by_context[int(math.log2(before[a]))][middle(ratio) if ratio else 0.0] += c
+    mixture = {b: em(c) for b, c in by_context.items()}
+    words, pairs, before = counts(range(1, 10))
+    n, v = sum(words.values()), len(words)
+
+    def chance(a, w):
+        low = unigram * words[w] / n + (1 - unigram) / (v + 1)
+        share = mixture.get(int(math.log2(before[a])), 0.0) if before[a] else 0.0
+        return share * pairs[a, w] / max(before[a], 1) + (1 - share) * low
+
+    return {i: sum(math.log10(chance(a, w)) for a, w in zip(["^", *ws], ws, strict=False)) for i, ws in tokens.items()}
+
+
+def test_language_model_score_equals_brute_force(spark, docs):
+    from test_codecs import ALIKE
+
+    rows = [*map(tuple, docs.select("doc_id", "text").collect()), *((10**6 + i, f"{t} {t} end") for i, t in enumerate(ALIKE)), (10**6 + 50, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("mine"))
+    got = {r["doc_id"]: r["score"] for r in language_model.scored_documents(table.repartition(3)).collect()}
+    want = brute_scores(rows)
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], rel=1e-6) for i in want)
+
+
 def test_language_model_sums_to_one_and_learns():
     w = language_model.Weights(100, 3, 10, 0.9, np.full(language_model.CONTEXTS, 0.7))
     counts = np.array([60, 30, 10, 0])
@@ -238,6 +294,8 @@ def test_language_model_edges(odd, spark):
     got = language_model.scored_documents(odd).collect()
     assert len(got) == 8 and sorted(r["n_tokens"] for r in got)[:2] == [1, 1] and all(math.isfinite(r["score"]) for r in got)
     assert language_model.scored_documents(odd.limit(0)).count() == 0
+    ids = [r["doc_id"] for r in language_model.scored_documents(spark.createDataFrame([(2**63 - 1, "a"), (None, "a"), (0, "b")], "doc_id long, text string")).collect()]
+    assert sorted(ids, key=str) == [0, 2**63 - 1, None]
 
 
 def test_language_model_packing():
