@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from scoreframe.llm import ragged, shared
 
 #: Bytes of text read at a time, and lines of a chunk, about.
-CHUNK_BYTES, CHUNK_LINES = 4 << 20, 500_000
+CHUNK_BYTES, CHUNK_LINES = 2 << 20, 250_000
 #: Lines that a shard is asked for, on average.
-SHARD_KEYS = 500_000
+SHARD_KEYS = 250_000
 LEAST_CHARS = 10
 #: Stands for a missing document id: it comes after all others.
 NO_ID = (1 << 63) - 1

@@ -165,11 +165,11 @@ class WordIds:
 
     It only saves work: a word left out is encoded again. A word found by its hash
     counts only if its bytes are the stored ones. Beyond ``most`` words or
-    ``most_bytes`` bytes, those met again since the last time stay and the others
-    go, so its memory is bounded.
+    ``most_bytes`` bytes, those met in most batches stay, half of ``most`` at most,
+    and the others go, so its memory is bounded.
     """
 
-    def __init__(self, most: int = 500_000, most_bytes: int = 64 << 20, say: bool = False):
+    def __init__(self, most: int = 200_000, most_bytes: int = 32 << 20, say: bool = False):
         self.most, self.most_bytes, self.say = most, most_bytes, say
         #: If asked for, each word's ids in decimal, joined by spaces.
         self.said: list[bytes] = []
@@ -178,27 +178,28 @@ class WordIds:
     def _take(self, words: np.ndarray) -> None:
         """Keeps these words alone, numbered anew."""
         if len(words):
-            hashes, counts, sizes = self.hash[words], self.count[words], self.size[words]
+            hashes, counts, sizes, met = self.hash[words], self.count[words], self.size[words], self.met[words]
             flat, raw = self.flat[ragged_index(self.at[words], counts)], self.raw[ragged_index(self.byte[words], sizes)]
         else:
-            hashes, counts, sizes, flat, raw = np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.int32), np.zeros(0, np.uint8)
+            hashes, counts, sizes, met, flat, raw = np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3, np.zeros(0, np.int32), np.zeros(0, np.uint8)
         self.said = [self.said[w] for w in words.tolist()] if self.say else []
         self.bits = 16
         self.table, self.number = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.words = self.used = self.used_bytes = 0
         self.hash, self.at, self.count, self.byte, self.size = np.zeros(1 << 14, np.uint64), *(np.zeros(1 << 14, np.int64) for _ in range(4))
-        self.again = np.zeros(1 << 14, bool)
+        self.met = np.zeros(1 << 14, np.int32)
         self.flat, self.raw = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint8)
-        self._add(hashes, flat, counts, raw, sizes, np.ones(len(hashes), bool))
+        kept = self._add(hashes, flat, counts, raw, sizes, np.ones(len(hashes), bool))
+        self.met[kept] = met // 2
 
     def _add(self, hashes: np.ndarray, flat: np.ndarray, counts: np.ndarray, raw: np.ndarray, sizes: np.ndarray, listed: np.ndarray) -> np.ndarray:
         n, first = len(hashes), self.words
-        for name, needed in (("flat", self.used + len(flat)), ("raw", self.used_bytes + len(raw) + 8), *((c, first + n) for c in ("hash", "at", "count", "byte", "size", "again"))):
+        for name, needed in (("flat", self.used + len(flat)), ("raw", self.used_bytes + len(raw) + 8), *((c, first + n) for c in ("hash", "at", "count", "byte", "size", "met"))):
             setattr(self, name, self._room(getattr(self, name), needed))
         new = slice(first, first + n)
         self.flat[self.used : self.used + len(flat)], self.raw[self.used_bytes : self.used_bytes + len(raw)] = flat, raw
         self.at[new], self.byte[new] = self.used + np.cumsum(counts) - counts, self.used_bytes + np.cumsum(sizes) - sizes
-        self.hash[new], self.count[new], self.size[new], self.again[new] = hashes, counts, sizes, False
+        self.hash[new], self.count[new], self.size[new], self.met[new] = hashes, counts, sizes, 0
         self.used, self.used_bytes, self.words = self.used + len(flat), self.used_bytes + len(raw), first + n
         if 2 * self.words > len(self.table):
             old = np.flatnonzero(self.table)
@@ -239,8 +240,9 @@ class WordIds:
     def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> np.ndarray:
         """Each span's number. ``encode(indices)`` gives the flat ids and the counts of spans not met yet."""
         if self.words > self.most or self.used_bytes > self.most_bytes:
-            kept = np.flatnonzero(self.again[: self.words])
-            self._take(kept if len(kept) <= self.most // 2 and self.size[kept].sum() <= self.most_bytes // 2 else np.zeros(0, np.int64))
+            kept = np.flatnonzero(self.met[: self.words])
+            kept = kept[np.argsort(-self.met[kept], kind="stable")[: self.most // 2]]
+            self._take(np.sort(kept[np.cumsum(self.size[kept]) <= self.most_bytes // 2]))
         hashes, sizes, block = span_hashes(data, starts, ends), ends - starts, blocks(data)
         found = self._find(hashes)
         new = np.flatnonzero(found < 0)
@@ -252,7 +254,7 @@ class WordIds:
             found[new] = self._encoded(data, starts, sizes, hashes, new[index[order]], encode, True)[back[which]]
         old = np.ones(len(found), bool)
         old[new] = False
-        self.again[found[old]] = True
+        self.met[found[old]] += 1
         other = np.flatnonzero(~same_spans(block, starts, sizes, _blocks(self.raw), self.byte[found], self.size[found]))
         if len(other):
             found[other] = self._encoded(data, starts, sizes, hashes, other, encode, False)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from scoreframe.llm import ragged, shared
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Distinct pieces given to the library in one text: each begins with white space, so they stay apart.
 JOINED = 200
 ROW_GROUP_BYTES = 32 << 20
@@ -60,7 +60,7 @@ class ByteLevelTable:
         self.whole = [t["content"].encode() for t in kind["added_tokens"]]
         for t in kind["added_tokens"]:
             self.bytes_of[t["id"]] = len(t["content"].encode())
-        self.words = ragged.WordIds()
+        self.words = ragged.WordIds(most=400_000)
 
     def encode_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of some pieces and how many each has; ``space`` tells which bytes are white space."""
