@@ -29,6 +29,8 @@ from scoreframe.llm import ragged, shared
 CHUNK_BYTES = 2 << 20
 #: Labelled documents that the weights are fitted on, at most.
 MAX_LABELLED = 12_000
+#: Label rows (of 16 bytes) that may go to every task; where there are more, documents and labels meet by a merge join.
+BROADCAST_LABELS = 2_000_000
 #: Features kept, at most, and the share of them that may be kept by chance (Benjamini and Hochberg's bound).
 MAX_FEATURES, FALSE_SHARE = 4096, 0.05
 #: Bins of a unit of log chance, for the bound.
@@ -138,7 +140,7 @@ class OrdinalModel:
 def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
     """Id, text and label of every labelled document that has a text."""
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__key")).agg((F.max(F.col(label)) != 0).cast("int").alias("toxic"))
-    chosen = chosen.hint("merge")  # labels grow with the documents: not to be broadcast
+    chosen = chosen.hint("broadcast" if labels.count() <= BROADCAST_LABELS else "merge")
     return docs.select(F.col(key).alias("__id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).join(chosen, F.col("__id") == F.col("__key")).select("text", "toxic", "__id")
 
 
