@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -252,27 +253,26 @@ def cut_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     def run(batches):
         for batch in batches:
             where, texts = names.index(text), batch.column(names.index(text))
-            data, offsets = ragged.text_bytes(texts)
-            breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
-            counts = {n_lines: (breaks[offsets[1:]] - breaks[offsets[:-1]] + 1).astype(np.int64), n_dropped: np.zeros(len(batch), np.int64)}
+            whole = pc.fill_null(texts, "")
+            counts = {n_lines: pc.add(pc.count_substring(whole, "\n"), 1).cast(pa.int64()), n_dropped: np.zeros(len(batch), np.int64)}
             drops = batch.column(len(names))
             changed = np.flatnonzero(np.asarray(drops.is_valid()))
             if len(changed):
-                take = pa.array(changed)
-                sets = [{tuple(pair) for part in d for pair in np.frombuffer(part, np.uint64).reshape(-1, 2).tolist()} for d in drops.take(take).to_pylist()]
-                new = texts.to_pylist()
-                some, at = ragged.text_bytes(texts.take(take))
-                starts, ends, keys, marks, enough, first = line_keys(some, at, least_chars)
-                raw, both = some.tobytes(), list(zip(keys.tolist(), marks.tolist(), strict=True))
-                for k, gone in enumerate(sets):
-                    kept = [raw[starts[i] : ends[i]] for i in range(first[k], first[k + 1]) if not (enough[i] and both[i] in gone)]
-                    lost = first[k + 1] - first[k] - len(kept)
-                    if lost:
-                        new[changed[k]] = b"\n".join(kept).decode()
-                        counts[n_dropped][changed[k]] = lost
+                new, held = texts.to_pylist(), whole.take(pa.array(changed))
+                for i, j in ragged.row_slices(ragged.text_bytes(held)[1], CHUNK_BYTES):
+                    data, at = ragged.text_bytes(held.slice(i, j - i))
+                    starts, ends, keys, marks, enough, first = line_keys(data, at, least_chars)
+                    raw, both = data.tobytes(), list(zip(keys.tolist(), marks.tolist(), strict=True))
+                    for k, parts in enumerate(drops.take(pa.array(changed[i:j])).to_pylist()):
+                        gone = {tuple(pair) for part in parts for pair in np.frombuffer(part, np.uint64).reshape(-1, 2).tolist()}
+                        kept = [raw[starts[x] : ends[x]] for x in range(first[k], first[k + 1]) if not (enough[x] and both[x] in gone)]
+                        lost = first[k + 1] - first[k] - len(kept)
+                        if lost:
+                            new[changed[i + k]] = b"\n".join(kept).decode()
+                            counts[n_dropped][changed[i + k]] = lost
                 texts = pa.array(new, texts.type)
             columns = [texts if i == where else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(counts[n]) for n in extra)], schema_names)
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(counts[n]) if n == n_dropped else counts[n] for n in extra)], schema_names)
 
     return joined.mapInArrow(run, schema)
 
