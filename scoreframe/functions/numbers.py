@@ -12,9 +12,9 @@ def rounded(value: Column, digits: int = 2) -> Column:
     return F.floor(value * power + 0.5) / power
 
 
-def exact_sum(value: Column, scale: int = 4) -> Column:
+def exact_sum(value: Column, scale: int = 10) -> Column:
     """A sum that doesn't depend on the order of the rows: through decimals of ``scale`` places."""
-    return F.coalesce(F.sum(value.cast(f"decimal(18,{scale})")).cast("double"), F.lit(0.0))
+    return F.coalesce(F.sum(value.cast(f"decimal(28,{scale})")).cast("double"), F.lit(0.0))
 
 
 def filled(value: Column, default: float = 0.0) -> Column:

@@ -74,7 +74,7 @@ def recommended(requests: DataFrame, rows: DataFrame, key: str, by: str = "profi
     bits = sum((F.when(predicate(n), 1 << i).otherwise(0) for i, n in enumerate(STRATEGIES)), F.lit(0))
     sets = F.sequence(F.lit(0), F.lit((1 << len(STRATEGIES)) - 1))
     accepted = rows.withColumn("__bits", bits).withColumn("__set", F.explode(sets)).where(F.col("__bits").bitwiseAND(F.col("__set")) == F.col("__set"))
-    best = accepted.groupBy("__set").agg(F.max_by(F.struct(key, by), F.struct(F.col(by), -F.col(key))).alias("best"))
+    best = accepted.groupBy("__set").agg(F.min_by(F.struct(key, by), F.struct(F.col(by).isNull(), -F.col(by), F.col(key))).alias("best"))
     everything = best.where("__set = 0").select(F.col("best").alias("any_best"))
     wanted = requests.withColumn("__wanted", _mask(F.col("strategies")))
     joined = wanted.join(F.broadcast(best), F.col("__wanted") == F.col("__set"), "left").join(F.broadcast(everything), F.lit(True), "left")

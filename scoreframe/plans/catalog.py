@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreframe.functions.numbers import rounded
@@ -323,7 +323,8 @@ def posterior_superiority_all(spark, folder):
 def group_superiority(spark, folder):
     log = tables.table(spark, folder, "events")
     kinds = log.select(F.col("event_type").alias("a")).distinct()
-    pairs = kinds.withColumn("b", F.explode(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))))).where("a < b")
+    later = F.collect_list("a").over(Window.orderBy("a").rowsBetween(1, Window.unboundedFollowing))  # a row a kind
+    pairs = kinds.where("a IS NOT NULL").withColumn("later", later).select("a", F.explode("later").alias("b"))
     return distributions.group_superiority(log, pairs, "event_type", "value")
 
 

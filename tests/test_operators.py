@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scoreframe.functions.numbers import exact_sum
 from scoreframe.operators import distributions, events, ranking, rates, rules, squad, strategies
-from scoreframe.plans import scorecards
+from scoreframe.plans import catalog, scorecards
 from scoreframe.sources import tables
 
 CANDIDATES = [
@@ -181,3 +182,34 @@ def test_neighbour_pairs_of_all_rows(spark):
         assert sorted(map(tuple, ranking.neighbour_pairs(rows, "k").collect())) == want
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_requests_with_string_keys(spark):
+    rows = spark.createDataFrame([("ann", 5.0, 6, "x", 0.7, "s"), ("bea", 5.0, 6, "x", 0.7, "s"), ("cid", None, 9, "x", 0.9, "s")], "player string, profit double, shots int, efficiency string, probability double, style string")
+    asked = spark.createDataFrame([(1, ["offensif"]), (2, ["efficace"])], "i int, strategies array<string>")
+    got = {r["i"]: r for r in strategies.recommended(asked, rows, "player").collect()}
+    assert [(got[i]["player"], got[i]["profit"], got[i]["fallback"]) for i in (1, 2)] == [("ann", 5.0, False), ("ann", 5.0, True)]
+
+
+def test_sums_keep_small_digits(spark):
+    rows = spark.range(1000).selectExpr("'e' AS entity", "0.12345678D AS exposure", "0 AS outcome")
+    assert rows.agg(exact_sum(F.col("exposure")).alias("s")).first()["s"] == pytest.approx(123.45678, abs=1e-9)
+
+
+def test_group_superiority_of_any_kinds(spark, tmp_path):
+    rows = [(k, float(v)) for k, at in (("a new kind", 0), ("view", 1), ("zoom", 2)) for v in range(at, at + 4)]
+    spark.createDataFrame(rows, "event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["a"], r["b"]): r["p_superior"] for r in catalog.QUERIES["group_superiority"](spark, str(tmp_path)).collect()}
+    assert set(got) == {("a new kind", "view"), ("a new kind", "zoom"), ("view", "zoom")} and got["view", "zoom"] == pytest.approx(4.5 / 16)
+
+
+def test_ranked_rows_written_once_answer_every_top_k(spark, tmp_path):
+    """A ranked table is stored and read again for any k, without being ranked anew."""
+    rows = spark.range(50).selectExpr("id AS player", "double(pmod(id * 7, 13)) AS profit", "concat('g', id % 3) AS style")
+    ranking.ranked(rows, "player", "style").write.partitionBy("style").parquet(f"{tmp_path}/ranked")
+    stored = spark.read.parquet(f"{tmp_path}/ranked")
+    for k in (1, 4):
+        want = {tuple(r) for r in ranking.top(rows, "player", group="style", n=k).select("player", "profit", "style", "rank").collect()}
+        again = stored.where(F.col("rank") <= k)
+        assert {tuple(r) for r in again.select("player", "profit", "style", "rank").collect()} == want
+        assert "Window" not in again._jdf.queryExecution().toString()
