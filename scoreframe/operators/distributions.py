@@ -1,39 +1,98 @@
-"""Distributions compared by group."""
+"""Distributions compared by group.
+
+Groups may hold any share of the rows: rows are first counted by (group, value), and
+the values are cut into ranges, so that no window holds more than a range of a group.
+What lies before a range comes from the few totals of the ranges.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreframe.functions.numbers import exact_sum, rounded
+from scoreframe.functions.numbers import rounded
+
+#: Ranges that values are cut into, at least; more where the session has more shuffle partitions.
+LEAST_RANGES = 16
+#: Points of the tail profile, and the one that its tail mean is taken at.
+SHARES, TAIL = {"p01": 0.01, "p05": 0.05, "p95": 0.95, "p99": 0.99}, "p05"
+
+
+def in_ranges(rows: DataFrame, of: DataFrame, value: str) -> DataFrame:
+    """``rows`` with ``__range``, the number of the range that ``value`` is in; ``of`` has the values that the ranges share evenly.
+
+    Split points are approximate shares of all rows, so a range holds about as many
+    as any other, or the rows of one value. NaN comes last, as in Spark's order.
+    """
+    n = max(LEAST_RANGES, int(of.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = of.agg(F.percentile_approx(F.col(value).cast("double"), [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+    splits = [-math.inf, *sorted({x for x in found if math.isfinite(x)}), math.inf]
+    number = Bucketizer(splits=splits if len(splits) > 2 else [-math.inf, 0.0, math.inf], inputCol=value, outputCol="__at", handleInvalid="keep")
+    return number.transform(rows).withColumn("__range", F.col("__at").cast("int")).drop("__at")
 
 
 def group_superiority(rows: DataFrame, pairs: DataFrame, group: str, value: str, a: str = "a", b: str = "b") -> DataFrame:
     """For each pair of groups, the chance that a value of the one is above a value of the other, ties counting half.
 
     Works on the counts of (group, value): each value of a is placed among the
-    running counts of b, by one window over both groups' values of a pair.
+    running counts of b, by a window over both groups' values of a pair and range.
+    Pairs with a group that has no value are left out.
     """
-    counts = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(group).alias("__g"), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("n"))
-    left = pairs.join(counts, F.col(a) == F.col("__g")).select(a, b, "__v", F.col("n").alias("n_a"), F.lit(0).cast("long").alias("n_b"))
-    right = pairs.join(counts, F.col(b) == F.col("__g")).select(a, b, "__v", F.lit(0).cast("long").alias("n_a"), F.col("n").alias("n_b"))
-    both = left.union(right).groupBy(a, b, "__v").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
-    upto = F.sum("n_b").over(Window.partitionBy(a, b).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    good = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull())
+    counts = in_ranges(good.groupBy(F.col(group).alias("__g"), F.col(value).alias("__v")).agg(F.count(F.lit(1)).cast("double").alias("n")), good.select(F.col(value).alias("__v")), "__v")
+    left = pairs.join(counts, F.col(a) == F.col("__g")).select(a, b, "__range", "__v", F.col("n").alias("n_a"), F.lit(0.0).alias("n_b"))
+    right = pairs.join(counts, F.col(b) == F.col("__g")).select(a, b, "__range", "__v", F.lit(0.0).alias("n_a"), F.col("n").alias("n_b"))
+    both = left.union(right).groupBy(a, b, "__range", "__v").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+    upto = F.sum("n_b").over(Window.partitionBy(a, b, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
     wins = both.withColumn("twice", F.col("n_a") * (2 * upto - F.col("n_b")))
-    return wins.groupBy(a, b).agg(rounded(F.sum("twice") / (2.0 * F.sum("n_a") * F.sum("n_b")), 6).alias("p_superior"))
+    ranges = wins.groupBy(a, b, "__range").agg(*(F.sum(c).alias(c) for c in ("twice", "n_a", "n_b")))
+    before = F.coalesce(F.sum("n_b").over(Window.partitionBy(a, b).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    whole = ranges.withColumn("twice", F.col("twice") + 2 * before * F.col("n_a")).groupBy(a, b).agg(*(F.sum(c).alias(c) for c in ("twice", "n_a", "n_b")))
+    return whole.where("n_a > 0 AND n_b > 0").select(a, b, rounded(F.col("twice") / (2.0 * F.col("n_a") * F.col("n_b")), 6).alias("p_superior"))
 
 
 def tail_profile(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """n, mean, standard deviation, excess kurtosis, exact 1, 5, 95 and 99 % points, and the mean at or below the 5 % point."""
-    good = rows.where(F.col(value).isNotNull() & ~F.isnan(value))
-    mean = good.groupBy(group).agg((exact_sum(F.col(value)) / F.count(F.lit(1))).alias("__mean"), F.expr(f"percentile({value}, array(0.01, 0.05, 0.95, 0.99))").alias("__q"))
-    joined = good.join(mean.withColumnRenamed(group, "__group"), F.col(group) == F.col("__group")).withColumn("d", F.col(value) - F.col("__mean"))
-    low = F.when(F.col(value) <= F.get("__q", F.lit(1)), F.col(value))
-    sums = joined.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.first("__mean").alias("m"), F.first("__q").alias("q"), F.sum(F.pow("d", 2)).alias("d2"), F.sum(F.pow("d", 4)).alias("d4"),
-        (exact_sum(low) / F.count(low)).alias("tail"))
+    """n, mean, standard deviation, excess kurtosis, exact 1, 5, 95 and 99 % points, and the mean at or below the 5 % point.
+
+    Null and NaN values and rows without a group don't count. The deviation of a single row and the kurtosis
+    of equal values are null.
+    """
+    good = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(group).alias("__g"), F.col(value).alias("__v"))
+    counts = in_ranges(good.groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col("__v").cast("decimal(28,10)")).alias("__s")), good, "__v")
+
+    # Each range's totals, what comes before it in its group, and the group's totals.
+    order = Window.partitionBy("__h").orderBy("__r")
+    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("__h")
+    totals = counts.groupBy(F.col("__g").alias("__h"), F.col("__range").alias("__r")).agg(F.sum("__n").alias("__rn"), F.sum("__s").alias("__rs"))
+    totals = totals.select(
+        "__h", "__r", F.coalesce(F.sum("__rn").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__rs").over(before), F.lit(0)).alias("__s0"),
+        F.sum("__rn").over(whole).alias("n"), (F.sum("__rs").over(whole).cast("double") / F.sum("__rn").over(whole)).alias("m"))
+
+    within = Window.partitionBy("__g", "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    running = counts.join(totals, (F.col("__g") == F.col("__h")) & (F.col("__range") == F.col("__r")))
+    running = running.withColumns({"__upto": F.col("__n0") + F.sum("__n").over(within), "__sum": F.col("__s0") + F.sum("__s").over(within), "d": F.col("__v") - F.col("m")})
+    upto, held = F.col("__upto"), F.col("__n")
+
+    def place(share: float) -> Column:
+        return (F.col("n") - 1) * F.lit(share)
+
+    def at(place: Column, what: Column) -> Column:
+        """``what`` of the row that holds a place, counted from 0."""
+        return F.max(F.when((upto - held <= place) & (place < upto), what))
+
+    ends = [at(end(place(share)), F.col("__v")).alias(f"{name}_{end.__name__}") for name, share in SHARES.items() for end in (F.floor, F.ceil)]
+    tail = at(F.floor(place(SHARES[TAIL])), F.struct(F.col("__sum").cast("double").alias("s"), upto.alias("n"))).alias("tail")
+    sums = running.groupBy("__g").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum(held * F.pow("d", F.lit(2))).alias("d2"), F.sum(held * F.pow("d", F.lit(4))).alias("d4"), tail, *ends)
+
+    def point(name: str) -> Column:
+        low, high, part = F.col(f"{name}_floor"), F.col(f"{name}_ceil"), place(SHARES[name]) - F.floor(place(SHARES[name]))
+        return F.when(low == high, low).otherwise((1 - part) * low + part * high)
+
     n = F.col("n")
     return sums.select(
-        group, "n", rounded(F.col("m"), 4).alias("mean"), rounded(F.sqrt(F.col("d2") / (n - 1)), 4).alias("stddev"),
-        rounded(n * F.col("d4") / (F.col("d2") * F.col("d2")) - 3, 4).alias("excess_kurtosis"),
-        *(rounded(F.get("q", F.lit(i)), 4).alias(name) for i, name in enumerate(("p01", "p05", "p95", "p99"))), rounded(F.col("tail"), 4).alias("tail_mean"))
+        F.col("__g").alias(group), "n", rounded(F.col("m"), 4).alias("mean"), rounded(F.sqrt(F.try_divide("d2", n - 1)), 4).alias("stddev"),
+        rounded(F.try_divide(n * F.col("d4"), F.col("d2") * F.col("d2")) - 3, 4).alias("excess_kurtosis"),
+        *(rounded(point(name), 4).alias(name) for name in SHARES), rounded(F.col("tail.s") / F.col("tail.n"), 4).alias("tail_mean"))

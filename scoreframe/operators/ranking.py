@@ -7,14 +7,25 @@ from pyspark.sql import functions as F
 
 
 def ranked(rows: DataFrame, key: str, group: str, by: str = "profit") -> DataFrame:
-    """``rows`` with rank within ``group``, from the largest ``by`` on, ties to the smaller key."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.col(by).desc(), key)))
+    """``rows`` with rank within ``group``, from the largest ``by`` on, ties to the smaller key.
+
+    Ranges of the order are ranked apart, so a group of any size is spread over the
+    tasks. The last rows of a group's ranges meet, a row a range, and tell how many
+    rows come before each range.
+    """
+    order = [F.col(by).desc(), F.col(key)]
+    ranges = rows.repartitionByRange(F.col(group), *order).withColumn("__range", F.spark_partition_id())
+    within, whole = Window.partitionBy(group, "__range").orderBy(*order), Window.partitionBy(group, "__range")
+    placed = ranges.withColumns({"__at": F.row_number().over(within), "__last": F.lead(F.lit(True)).over(within).isNull()})
+    lasts = Window.partitionBy(group, "__last", F.when(F.col("__last"), -1).otherwise(F.col("__range"))).orderBy("__range", "__at").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.withColumn("__before", F.when(F.col("__last"), F.coalesce(F.sum("__at").over(lasts), F.lit(0))))
+    return before.withColumn("rank", (F.max("__before").over(whole) + F.col("__at")).cast("int")).select(*rows.columns, "rank")
 
 
 def top(rows: DataFrame, key: str, by: str = "profit", group: str | None = None, n: int = 1) -> DataFrame:
-    """The first ``n`` rows by rank, of each group if given."""
+    """The first ``n`` rows by rank, of each group if given; each task keeps its own first ``n`` before the groups meet."""
     if group:
-        return ranked(rows, key, group, by).where(F.col("rank") <= n)
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.col(by).desc(), key))).where(F.col("rank") <= n)
     return rows.orderBy(F.col(by).desc(), key).limit(n)
 
 

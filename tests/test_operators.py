@@ -1,6 +1,7 @@
 """Golden rows, boundaries, nulls and properties of the operators."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -213,3 +214,45 @@ def test_ranked_rows_written_once_answer_every_top_k(spark, tmp_path):
         again = stored.where(F.col("rank") <= k)
         assert {tuple(r) for r in again.select("player", "profit", "style", "rank").collect()} == want
         assert "Window" not in again._jdf.queryExecution().toString()
+
+
+def _uneven(spark, n=3000):
+    """Groups of very different sizes, one of equal values, one of a single row, values that recur, nulls and NaN."""
+    rng = random.Random(5)
+    rows = [(rng.choice("aaaaaab"), float(rng.choice([0, 0, 1, rng.randrange(40), round(rng.gauss(0, 9), 6)])), i) for i in range(n)]
+    rows += [("c", 2.5, n + i) for i in range(9)] + [("d", 7.0, -1), ("a", None, -2), (None, 1.0, -3), ("e", None, -4)]
+    return spark.createDataFrame(rows, "g string, v double, k int").repartition(7), rows
+
+
+def test_ranges_equal_brute_force(spark):
+    frame, rows = _uneven(spark)
+    values = {g: [r[1] for r in rows if r[0] == g and r[1] is not None] for g in "abcde"}
+    got = {r["g"]: r for r in distributions.tail_profile(frame, "g", "v").collect()}
+    assert set(got) == set("abcd")
+    for g, r in got.items():
+        v = np.array(values[g])
+        d, low = v - v.mean(), np.quantile(v, 0.05)
+        want = {"n": len(v), "mean": v.mean(), "p01": np.quantile(v, 0.01), "p05": low, "p95": np.quantile(v, 0.95), "p99": np.quantile(v, 0.99), "tail_mean": v[v <= low].mean()}
+        want["stddev"] = v.std(ddof=1) if len(v) > 1 else None
+        want["excess_kurtosis"] = len(v) * (d**4).sum() / (d**2).sum() ** 2 - 3 if d.any() else None
+        assert {c: r[c] for c in want} == {c: w if w is None else pytest.approx(w, abs=1e-4) for c, w in want.items()}
+    pairs = [(x, y) for x in "abcde" for y in "abcde" if x < y]
+    found = {(r["a"], r["b"]): r["p_superior"] for r in distributions.group_superiority(frame, spark.createDataFrame(pairs, "a string, b string"), "g", "v").collect()}
+    assert set(found) == {p for p in pairs if "e" not in p}
+    for (x, y), p in found.items():
+        d = np.subtract.outer(values[x], values[y])
+        assert p == pytest.approx((d > 0).mean() + (d == 0).mean() / 2, abs=1e-6)
+    none = frame.where("k > 100000")
+    assert not distributions.tail_profile(none, "g", "v").count() and not distributions.group_superiority(none, spark.createDataFrame(pairs, "a string, b string"), "g", "v").count()
+
+
+def test_ranks_equal_brute_force(spark):
+    """Ranks over ranges of the order are those of one sorted list, with ties, nulls and a group of most rows."""
+    frame, rows = _uneven(spark)
+    want = {}
+    for g in {r[0] for r in rows}:
+        of = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        want |= {r[2]: i + 1 for i, r in enumerate(of)}
+    ranked = ranking.ranked(frame, "k", "g", "v")
+    assert ranked.columns == ["g", "v", "k", "rank"] and {r["k"]: r["rank"] for r in ranked.collect()} == want
+    assert not ranking.ranked(frame.where("k > 100000"), "k", "g", "v").count()
