@@ -38,6 +38,12 @@ def log_per90(spark: SparkSession, folder: str) -> DataFrame:
     return events.per90(both)
 
 
+def rejected_matches(happened: DataFrame) -> DataFrame:
+    """match_id and reason of the matches whose sums of exposure and outcome allow no rate."""
+    sums = happened.groupBy("match_id").agg(exact_sum(F.col("exposure")).alias("exposure"), F.sum("outcome").alias("outcome"))
+    return rates.quality(sums, "match_id", "exposure", "outcome")
+
+
 def scored_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as candidates through fit, market and transfer."""
     rows = bindings.part_candidates(spark, folder)

@@ -54,6 +54,17 @@ def events_in_matches(spark, folder):
     return events.in_matches(bindings.match_events(spark, folder), matches).select("match_id", "line", "entity", "outcome")
 
 
+@query
+def match_quality(spark, folder):
+    return boards.rejected_matches(bindings.match_events(spark, folder, tolerant=True))
+
+
+@query
+def events_in_good_matches(spark, folder):
+    happened = bindings.match_events(spark, folder, tolerant=True)
+    return happened.join(boards.rejected_matches(happened), "match_id", "left_anti").select("match_id", "line", "entity", "outcome")
+
+
 @query
 def entity_events(spark, folder):
     return bindings.event_log(spark, folder).where(F.col("entity") == USER).select("entity", "event_type", "is_shot", rounded(F.col("exposure"), 4).alias("exposure"), "outcome")

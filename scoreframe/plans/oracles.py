@@ -202,6 +202,8 @@ SQL: dict[str, str] = {
     "matches_scan": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND o_orderstatus = 'F'",
     "matches_union": _with(MATCHES, "SELECT * FROM matches WHERE season = 1997 UNION ALL SELECT * FROM matches WHERE season = 1998"),
     "events_in_matches": _with(MATCHES, "SELECT match_id, line, entity, outcome FROM happened WHERE season = 1997 AND status = 'F'"),
+    "match_quality": _with(MATCHES, "SELECT match_id, 'outcome_without_exposure' AS reason FROM happened GROUP BY match_id HAVING sum(exposure::DECIMAL(18,4)) = 0 AND sum(outcome) > 0"),
+    "events_in_good_matches": _with(MATCHES, "SELECT match_id, line, entity, outcome FROM happened WHERE match_id NOT IN (SELECT match_id FROM happened GROUP BY match_id HAVING sum(exposure::DECIMAL(18,4)) = 0 AND sum(outcome) > 0)"),
     "entity_events": _with(LOG, f"SELECT entity, event_type, is_shot, {_r('exposure', 4)} AS exposure, outcome FROM log WHERE entity = 8"),
     "candidates_source": _with(CANDIDATES, f"SELECT player, style, efficiency, probability, shots, {_r('xg_total', 4)} AS xg_total, age, {_r('market_value', 4)} AS market_value, contract_years_left, salary, injury_risk FROM candidates"),
     "involving_filter": _with(MATCHES, "SELECT DISTINCT match_id, home, away FROM happened WHERE home = 3 OR away = 3"),

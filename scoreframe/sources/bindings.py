@@ -35,9 +35,9 @@ def match_table(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderkey").alias("match_id"), F.year("o_orderdate").alias("season"), F.col("o_orderstatus").alias("status"), F.col("c_nationkey").alias("home"))
 
 
-def match_events(spark: SparkSession, folder: str) -> DataFrame:
-    """``lineitem`` as events of matches: entity is the supplier, team the customer's nation."""
-    line, supplier = table(spark, folder, "lineitem"), table(spark, folder, "supplier")
+def match_events(spark: SparkSession, folder: str, tolerant: bool = False) -> DataFrame:
+    """``lineitem`` as events of matches: entity is the supplier, team the customer's nation; ``tolerant`` skips files of events that can't be read."""
+    line, supplier = table(spark, folder, "lineitem", tolerant), table(spark, folder, "supplier")
     joined = line.join(match_table(spark, folder), F.col("l_orderkey") == F.col("match_id")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     return joined.select(
         "match_id", "season", "status", "home", F.col("s_nationkey").alias("away"), F.col("home").alias("team"), F.col("l_suppkey").alias("entity"),
