@@ -40,15 +40,16 @@ _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]]
 
 
 class ByteLevelTable:
-    """A tokenizers library's byte-level BPE and the pieces it has encoded."""
+    """A tokenizers library's byte-level BPE and the pieces it has encoded; if ``plain``, special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         kind = json.loads(self.tokenizer.to_str())
         split = kind.get("pre_tokenizer") or {}
         if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex") or kind.get("normalizer"):
@@ -57,7 +58,7 @@ class ByteLevelTable:
             raise ValueError("an added token reaches across white space")
         #: Bytes that each id stands for: the byte-level alphabet has a character for each byte.
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.tokenizer.get_vocab_size())], np.int64)
-        self.whole = [t["content"].encode() for t in kind["added_tokens"]]
+        self.whole = [] if plain else [t["content"].encode() for t in kind["added_tokens"]]
         for t in kind["added_tokens"]:
             self.bytes_of[t["id"]] = len(t["content"].encode())
         self.words = ragged.WordIds(most=400_000)
