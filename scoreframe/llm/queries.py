@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreframe.llm import importance_resampling, language_model, line_dedup, mixing, near_duplicates, nearest_neighbours, quality_rules, sentencepiece_codec, token_alignment, token_files, toxicity, url_filter
+from scoreframe.llm import html_extraction, importance_resampling, language_model, line_dedup, mixing, near_duplicates, nearest_neighbours, quality_rules, sentencepiece_codec, token_alignment, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents, toxicity.fit(documents, _table(spark, sf_dir, "labels"))).drop("text")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance_resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
+    "op11_html_extraction": op11_html_extraction,
     "op12_importance_resampling": op12_importance_resampling,
     "op13_token_alignment": op13_token_alignment,
 }
