@@ -93,7 +93,7 @@ class WordDictionary:
             if len(word) <= LONGEST_WORD and len(self.words) < self.most and self.used + len(word) <= self.most_bytes:
                 self.words.add(word)
                 self.used += len(word)
-        if len(self.words) >= 1.5 * self.built + 200 or (len(self.words) == self.most > self.built):
+        if len(self.words) > 1.5 * self.built or len(self.words) == self.most > self.built:
             self.automaton, self.built = ahocorasick.Automaton(), len(self.words)
             for word in self.words:
                 self.automaton.add_word(f" {word.decode('latin-1')} ", zlib.crc32(word) | len(word) << _LENGTH_BITS)
