@@ -22,11 +22,9 @@ def log_features(spark: SparkSession, folder: str) -> DataFrame:
 
 def log_players(spark: SparkSession, folder: str) -> DataFrame:
     """Entities of the event log with shots: features, style, efficiency, posterior, profit, decision."""
-    features = log_features(spark, folder)
-    posterior = rates.rate_posterior(features, "entity").withColumnRenamed("entity", "__entity")
+    features = rates.rated(log_features(spark, folder), "entity").drop("sd_rate", "edge_mass", "sd_steps")
     profit = rates.expected_profit(F.col("mean_rate"), F.col("xg_total"), F.lit(TRANSFER_COST + SALARY_COST), VALUE_FACTOR)
-    joined = features.join(posterior, F.col("entity") == F.col("__entity")).drop("__entity", "sd_rate", "edge_mass", "sd_steps")
-    return joined.withColumns({"style": events.style(), "efficiency": events.efficiency(), "profit": profit}).withColumn("decision", rates.decision(F.col("profit")))
+    return features.withColumns({"style": events.style(), "efficiency": events.efficiency(), "profit": profit}).withColumn("decision", rates.decision(F.col("profit")))
 
 
 def log_per90(spark: SparkSession, folder: str) -> DataFrame:
@@ -81,9 +79,8 @@ SQUAD_BOUNDS = {"conversion": 0.33, "offensive": 4, "xg": 8000.0}
 def squad_board(spark: SparkSession, folder: str) -> DataFrame:
     """Each squad's totals, mean probability and profit of its players, gaps and needs."""
     players = supplier_players(spark, folder)
-    posterior = rates.rate_posterior(players, "entity").withColumnRenamed("entity", "__entity")
     profit = rates.expected_profit(F.col("mean_rate"), F.col("xg_total"), F.lit(15.0))
-    rated = players.join(posterior, F.col("entity") == F.col("__entity")).withColumn("profit", profit)
+    rated = rates.rated(players, "entity").withColumn("profit", profit)
     report = squad.totals(rated, "away")
     extra = rated.groupBy(F.col("away").alias("__away")).agg(F.count(F.lit(1)).alias("players"), rounded(exact_sum(F.col("probability")) / F.count(F.lit(1)), 4).alias("mean_probability"), exact_sum(F.col("profit"), 2).alias("squad_profit"))
     gaps = squad.needs(squad.weaknesses(report, "away", **SQUAD_BOUNDS))

@@ -6,9 +6,11 @@ and posterior, the candidates' scores, the matches' events.
 
 from __future__ import annotations
 
+import numpy as np
+
 
 def _r(x: str, digits: int = 2) -> str:
-    return f"(floor(({x}) * 1e{digits}::DOUBLE + 0.5::DOUBLE) / 1e{digits}::DOUBLE)"
+    return f"(CASE WHEN abs(({x})::DOUBLE) < 9007199254740992::DOUBLE / 1e{digits}::DOUBLE THEN floor(({x}) * 1e{digits}::DOUBLE + 0.5::DOUBLE) / 1e{digits}::DOUBLE ELSE ({x})::DOUBLE END)"
 
 
 LOG = """
@@ -24,19 +26,68 @@ log AS (
 )"""
 
 
+def _gauss(points: int) -> str:
+    """A table of Gauss-Legendre places x and weights q on (0, 1)."""
+    x, w = np.polynomial.legendre.leggauss(points)
+    return "(VALUES " + ", ".join(f"({(1 + a) / 2!r}::DOUBLE, {b / 2!r}::DOUBLE)" for a, b in zip(x.tolist(), w.tolist(), strict=True)) + ") gauss(x, q)"
+
+
+def _f(d: str) -> str:
+    """The posterior's density at mode + d over that at the mode."""
+    return f"exp(g * ({d}) - s * exp(m) * (exp({d}) - 1) - 2 * (({d}) + 2 * m) * ({d}))"
+
+
+def _modes(name: str, source: str, key: str) -> str:
+    """Mode and standard deviation of each key's log rate, by Newton's steps from a bound above it."""
+    start = "CASE WHEN s = 0 THEN 0 WHEN g > s THEN least(g / 4, ln(g / s)) ELSE least(0, ln((g + 4 * greatest(ln(s / greatest(g, 1)), 0.25::DOUBLE)) / s)) END"
+    steps = [f"{name}_mode0 AS (SELECT {key}, s, g, {start} AS m FROM (SELECT {key}, xg_total::DOUBLE AS s, goals_total::DOUBLE AS g FROM {source} WHERE NOT (xg_total = 0 AND goals_total > 0)))"]
+    steps += [f"{name}_mode{k} AS (SELECT {key}, s, g, m - (s * exp(m) + 4 * m - g) / (s * exp(m) + 4) AS m FROM {name}_mode{k - 1})" for k in range(1, 9)]
+    return ",\n".join([*steps, f"{name}_mode AS (SELECT *, 8 / sqrt(s * exp(m) + 4) AS reach FROM {name}_mode8)"])
+
+
 def _posterior(name: str, source: str, key: str) -> str:
     return f"""
-{name}_grid AS (
-  SELECT {key}, i, -4 + 8 * i / 400::DOUBLE AS t, exp(goals_total * (-4 + 8 * i / 400::DOUBLE) - xg_total * exp(-4 + 8 * i / 400::DOUBLE) - 2 * (-4 + 8 * i / 400::DOUBLE) * (-4 + 8 * i / 400::DOUBLE)
-         - (goals_total * ln((goals_total + 4.0) / (xg_total + 4)) - xg_total * ((goals_total + 4.0) / (xg_total + 4)) - 2 * ln((goals_total + 4.0) / (xg_total + 4)) * ln((goals_total + 4.0) / (xg_total + 4)))) AS w
-  FROM {source}, range(0, 401) g(i) WHERE NOT (xg_total = 0 AND goals_total > 0)
+{_modes(name, source, key)},
+{name}_points AS (
+  SELECT *, q * (cut + reach) * {_f("down")} AS w_down, q * (reach - cut) * {_f("up")} AS w_up
+  FROM (SELECT *, (cut + reach) * x - reach AS down, cut + (reach - cut) * x AS up FROM (SELECT *, least(greatest(-m, -reach), reach) AS cut FROM {name}_mode), {_gauss(26)})
 ), {name} AS (
-  SELECT {key}, {_r("sum(w * exp(t)) / sum(w)", 4)} AS mean_rate,
-         {_r("sum(CASE WHEN i > 200 THEN w WHEN i = 200 THEN w / 2 ELSE 0 END) / sum(w)", 4)} AS probability
-  FROM {name}_grid GROUP BY {key}
+  SELECT {key}, {_r("sum(w_down * exp(m + down) + w_up * exp(m + up)) / sum(w_down + w_up)", 4)} AS mean_rate, {_r("sum(w_up) / sum(w_down + w_up)", 4)} AS probability
+  FROM {name}_points GROUP BY {key}
 )"""
 
 
+def _ends() -> str:
+    """Ends of the interval with 3 % on each side, and of the shortest one with 94 %, each key's weights integrated anew in each of Newton's steps."""
+    upto = lambda end: f"sum(q * ({end} + reach) * {_f(f'({end} + reach) * x - reach')})"
+    slope = lambda d: f"(g - s * exp(m) * exp({d}) - 4 * (({d}) + m))"
+    parts = [f"whole AS (SELECT *, -reach / 4.2::DOUBLE AS lo, reach / 4.2::DOUBLE AS hi FROM (SELECT entity, s, g, m, reach, {upto('reach')} AS w FROM posterior_mode, {_gauss(48)} GROUP BY ALL))"]
+    last = "whole"
+    for k in range(7):
+        step = lambda end, share: f"greatest(-reach, least(reach, {end} + greatest(-reach / 8, least(reach / 8, ({share}::DOUBLE * w - {upto(end)}) / {_f(end)})))) AS {end}"
+        parts.append(f"tails{k} AS (SELECT entity, s, g, m, reach, w, {step('lo', 0.03)}, {step('hi', 0.97)} FROM (SELECT *, lo AS l, hi AS h FROM {last}), {_gauss(48)} GROUP BY entity, s, g, m, reach, w, lo, hi)")
+        last = f"tails{k}"
+    parts.append(f"dense0 AS (SELECT *, lo AS a, hi AS b FROM {last})")
+    for k in range(1, 7):
+        parts.append(f"""dense{k} AS (SELECT entity, s, g, m, reach, w, lo, hi, least(0, greatest(-reach, a + (fb * even - more * lb) / (fa * lb - fb * la))) AS a, greatest(0, least(reach, b + (fa * even - more * la) / (fa * lb - fb * la))) AS b
+  FROM (SELECT *, ln(fa / fb) AS even, 0.94::DOUBLE * w - held AS more FROM (SELECT entity, s, g, m, reach, w, lo, hi, a, b, {_f("a")} AS fa, {_f("b")} AS fb, {slope("a")} AS la, {slope("b")} AS lb,
+    {upto("b")} - {upto("a")} AS held FROM dense{k - 1}, {_gauss(48)} GROUP BY entity, s, g, m, reach, w, lo, hi, a, b)))""")
+    moments = "SELECT entity, sum(w_down * exp(m + down) + w_up * exp(m + up)) / sum(w_down + w_up) AS mean, sum(w_down * exp(m + down) ** 2 + w_up * exp(m + up) ** 2) / sum(w_down + w_up) AS second FROM posterior_points GROUP BY entity"
+    return f""", {", ".join(parts)}, moments AS ({moments})
+SELECT entity, {_r("mean", 4)} AS mean_rate, {_r("sqrt(greatest(second - mean * mean, 0))", 4)} AS sd_rate, {_r("exp(m + lo)", 4)} AS low, {_r("exp(m + hi)", 4)} AS high, {_r("exp(m + a)", 4)} AS densest_low, {_r("exp(m + b)", 4)} AS densest_high
+FROM dense6 JOIN moments USING (entity)"""
+
+
+_SUPERIORITY = f""", nodes AS (SELECT entity, s, g, m, reach, x, (2 * x - 1) * reach AS d, 2 * reach * q * {_f("(2 * x - 1) * reach")} AS p FROM posterior_mode, {_gauss(64)}),
+below AS (
+  SELECT a, b, x, p, sum(won) AS won FROM (
+    SELECT n.a, n.b, n.x, n.p, n.span * z.q * {_f("n.span * z.x - reach")} AS won, 0
+    FROM (SELECT pairs.a, pairs.b, u.x, u.p, y.s, y.g, y.m, y.reach, greatest(0, least(2 * y.reach, u.m + u.d - y.m + y.reach)) AS span
+          FROM pairs JOIN nodes u ON u.entity = pairs.a JOIN posterior_mode y ON y.entity = pairs.b) n, {_gauss(64).replace("gauss(x, q)", "z(x, q)")}) GROUP BY a, b, x, p
+), totals AS (SELECT entity, sum(p) AS w FROM nodes GROUP BY entity)
+SELECT a, b, {_r("sum(p * won) / max(x.w) / max(y.w)", 4)} AS p_superior FROM below JOIN totals x ON x.entity = a JOIN totals y ON y.entity = b GROUP BY a, b"""
+
+
 STYLE = "CASE WHEN shots > 10 AND xg_total > 5 THEN 'high_volume_attacker' WHEN shots < 5 THEN 'low_volume_player' ELSE 'balanced_player' END"
 EFFICIENCY = "CASE WHEN conversion_rate > 1.2::DOUBLE THEN 'clinical_finisher' WHEN conversion_rate < 0.8::DOUBLE THEN 'underperforming' ELSE 'average_finisher' END"
 PLAYERS = f"""{LOG}, {_posterior("posterior", "features", "entity")},
@@ -229,9 +280,7 @@ SELECT entity, profit, (SELECT min(own) FROM leveled) AS level FROM leveled WHER
     "activity_counters": _with(PER90, "SELECT entity, minutes, assists, key_passes, progressive_passes, pressures, tackles, interceptions, dribbles FROM counted"),
     "rate_posterior": _with(PLAYERS, "SELECT entity, mean_rate, probability FROM posterior"),
     "rate_posterior_parts": _with(CANDIDATES, "SELECT player, probability FROM candidates"),
-    "posterior_summary": _with(PLAYERS, f""", running AS (SELECT *, sum(w) OVER (PARTITION BY entity ORDER BY i) AS upto, sum(w) OVER (PARTITION BY entity ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total FROM posterior_grid),
-ends AS (SELECT entity, sum(w * exp(t)) / sum(w) AS m, sum(w * exp(t) * exp(t)) / sum(w) AS m2, min(CASE WHEN upto >= 0.03::DOUBLE * total THEN i END) AS lo, min(CASE WHEN upto >= 0.97::DOUBLE * total THEN i END) AS hi FROM running GROUP BY entity)
-SELECT entity, {_r("m", 4)} AS mean_rate, {_r("sqrt(greatest(m2 - m * m, 0))", 4)} AS sd_rate, {_r("exp(-4 + 8 * lo / 400::DOUBLE)", 4)} AS low, {_r("exp(-4 + 8 * hi / 400::DOUBLE)", 4)} AS high FROM ends"""),
+    "posterior_summary": _with(PLAYERS, _ends()),
     "expected_profit": _with(PLAYERS, "SELECT entity, profit FROM players"),
     "decide_sign": _with(PLAYERS, "SELECT entity, decision, probability, profit FROM players"),
     "squad_totals": _with(SQUADS, "SELECT * FROM report"),
@@ -254,8 +303,7 @@ SELECT entity, {_r("m", 4)} AS mean_rate, {_r("sqrt(greatest(m2 - m * m, 0))", 4
     "explanation_text": _with(PLAYERS, "SELECT entity, 'entity ' || entity || ': expected profit ' || profit::DECIMAL(18,2) || ', chance ' || floor(probability * 100 + 0.5::DOUBLE)::BIGINT || '%, style ' || style AS explanation FROM players"),
     "comparison_text": _with(PAIRS, "SELECT a, b, 'profit: ' || more_profit || ', probability: ' || more_probable || ', styles: ' || style_a || ' / ' || style_b AS comparison FROM compared"),
     "response_text": _with(ANSWERED, f"SELECT conv_id, turn, {_RESPONSE} AS response FROM answered"),
-    "posterior_superiority": _with(PAIRS, f""", chances AS (SELECT entity, i, p, sum(p) OVER (PARTITION BY entity ORDER BY i) AS f FROM (SELECT entity, i, w / sum(w) OVER (PARTITION BY entity) AS p FROM posterior_grid))
-SELECT a, b, {_r("sum(x.p * (y.f - y.p / 2))", 4)} AS p_superior FROM pairs JOIN chances x ON x.entity = a JOIN chances y ON y.entity = b AND y.i = x.i GROUP BY a, b"""),
+    "posterior_superiority": _with(PAIRS, _SUPERIORITY),
     "group_superiority": f"""WITH counts AS (SELECT event_type AS g, value AS v, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2), kinds AS (SELECT DISTINCT g FROM counts)
 SELECT a, b, {_r("sum(won)::DOUBLE / (2.0::DOUBLE * sum(n_a) * max(all_b))", 6)} AS p_superior FROM (
   SELECT x.g AS a, y.g AS b, x.v, x.n AS n_a, sum(CASE WHEN z.v < x.v THEN 2 * z.n WHEN z.v = x.v THEN z.n ELSE 0 END) * x.n AS won, sum(z.n) AS all_b

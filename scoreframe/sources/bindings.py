@@ -54,8 +54,7 @@ def part_candidates(spark: SparkSession, folder: str) -> DataFrame:
     sums = line.groupBy(F.col("l_partkey").alias("player")).agg(
         F.count(F.lit(1)).alias("shots"), (exact_sum(F.col("l_discount")) * EXPOSURE_FACTOR).alias("xg_total"),
         F.count_if(F.col("l_returnflag") == "R").alias("goals_total"), exact_sum(F.col("l_quantity")).alias("quantity"))
-    rated = rates.rate_posterior(sums, "player", "xg_total", "goals_total").select(F.col("player").alias("__player"), "probability")
-    wide = sums.join(rated, F.col("player") == F.col("__player")).join(part, F.col("player") == F.col("p_partkey"))
+    wide = rates.rated(sums, "player").join(part, F.col("player") == F.col("p_partkey"))
     share = F.col("goals_total") / F.col("shots")
     features = wide.withColumn("conversion_rate", share)
     return features.select(
