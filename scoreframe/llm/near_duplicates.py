@@ -6,20 +6,23 @@ cells (weight by rank) of each element's region; each signature coordinate keeps
 the earliest dart that falls to it, so two coordinates agree with the similarity's
 probability. Documents that agree in all coordinates of a band meet in a bucket.
 
-Work stays linear in hot groups: equal texts are collapsed first; in a bucket
-everyone is compared with one centre (who meets most others in all bands), which
-settles buckets of one class. The texts of the others are compared further only if
-they share one of their rarest shingles and are of different classes: an exact
-filter, which a long passage that many texts have in common doesn't pass. So no
-pair that meets in a bucket is lost, and no bucket emits all its pairs. Each kept
-link is verified on whole texts.
+Equal texts are collapsed first. In a bucket everyone is compared with one centre
+(who meets most others in all bands), which settles buckets of one class and those
+where only the centre is of another. Texts that meet in the other buckets without
+having been compared, and are of different classes, get signatures with longer
+bands, more of them the more such texts there are: texts that are half alike, such
+as those made of common sentences, then rarely meet, and alike ones still do. Pairs
+whose signatures agree in too few coordinates are dropped unread; each kept link is
+verified on whole texts.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreframe.llm import ragged, shared
@@ -29,8 +32,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 48 bands of 6 coordinates: a pair of similarity 0.8 is missed with probability 5e-7.
 BANDS, BAND_ROWS = 48, 6
-#: Cells in which shingles are counted for their order, and rows that they are sent in. A count stops at MOST_COUNT.
-CELLS, SLICES, MOST_COUNT = 1 << 22, 64, (1 << 16) - 1
+#: A pair of similarity 0.8 is missed by the longer bands with a probability of e to the minus this.
+SHARP_MISS = 14.5
+#: Share of coordinates that agree, below which a pair isn't read: 6.4 standard deviations under that of similarity 0.8.
+LEAST_AGREED = 0.65
+#: Darts that are held at a time, about.
+DARTS = 4_000_000
 _SECOND_SEED = 0x3C6EF372FE94F82B
 _RANK_BITS = np.uint64(40)
 #: Chance of at most m darts in a unit cell.
@@ -125,7 +132,7 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, band_rows: int = BAND_
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Of ``docs`` (id, text): id, two hashes of the words, number of words, and a bucket for each band."""
+    """Of ``docs`` (id, text): id, two hashes of the words, number of shingles, a bucket for each band, and a byte of each coordinate."""
 
     def run(batches):
         for batch in batches:
@@ -134,12 +141,27 @@ def sketches(docs: DataFrame) -> DataFrame:
                 whole = ragged.text_bytes(batch.column(1).slice(i, j - i))
                 row, element, count = shingles(*whole)
                 one, two = text_hashes(*whole)
-                keys = band_keys(dart_signatures(row, element, count.astype(np.float64), j - i))
+                signatures = dart_signatures(row, element, count.astype(np.float64), j - i)
+                keys, marks = band_keys(signatures), ragged.binary_column(list(signatures.astype(np.uint8)))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
                 words = np.bincount(row, count, j - i).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(words), lists], ["id", "h1", "h2", "n_shingles", "buckets"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(words), lists, marks], ["id", "h1", "h2", "n_shingles", "buckets", "marks"])
+
+    return docs.mapInArrow(run, "id long, h1 long, h2 long, n_shingles long, buckets array<long>, marks binary")
+
+
+def hopeful(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose ``marks`` (id, marks) agree in enough coordinates to be alike."""
 
-    return docs.mapInArrow(run, "id long, h1 long, h2 long, n_shingles long, buckets array<long>")
+    def run(batches):
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+            enough = pa.array((left == right).mean(axis=1) >= LEAST_AGREED) if batch.num_rows else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(enough) for k in (0, 1)], ["a", "b"])
+
+    left, right = (marks.select(F.col("id").alias(f"__{s}"), F.col("marks").alias(f"marks_{s}")) for s in "ab")
+    both = pairs.join(left, F.col("a") == F.col("__a")).join(right, F.col("b") == F.col("__b")).select("a", "b", "marks_a", "marks_b")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def similarities(data_a, offsets_a, data_b, offsets_b) -> np.ndarray:
@@ -196,94 +218,50 @@ def _sizes_allow(a, b):
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6
 
 
-def _each(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and hash of each shingle, its second, third .. copy in a row having a hash of its own; and each row's number of shingles."""
-    row, element, count = shingles(data, offsets)
-    nth = ragged.ragged_index(np.zeros(len(row), np.int64), count).astype(np.uint64)
-    row, element = np.repeat(row, count), ragged.mix(np.repeat(element, count) + ragged.GOLD * nth)
-    return row, element, np.bincount(row, minlength=len(offsets) - 1).astype(np.int64)
-
+def sharper(texts: int) -> tuple[int, int]:
+    """Bands, and coordinates in each, for so many texts: a doubling of the texts makes the bands one coordinate longer.
 
-def _cell(element: np.ndarray) -> np.ndarray:
-    return (element & np.uint64(CELLS - 1)).astype(np.int64)
+    Texts of half of the similarity that counts then meet as many others at any number of texts.
+    """
+    rows = max(8, math.ceil(math.log2(max(texts, 2))))
+    return math.ceil(SHARP_MISS / SIMILARITY**rows), rows
 
 
-def _shingle_counts(texts: DataFrame) -> np.ndarray:
-    """How many shingles of all ``texts`` fall into each cell: a fixed number of cells, so it can go to all tasks."""
+def _sharp_buckets(texts: DataFrame, bands: int, rows: int) -> DataFrame:
+    """Of ``texts`` (id, text, label): id, label, number of shingles and the buckets of so many bands of so many coordinates."""
+    size = bands * rows
+    most = max(1, int(DARTS / (size * (math.log(size) + 2))))
 
     def run(batches):
         for batch in batches:
-            column = batch.column(0)
-            for i, j in ragged.row_slices(ragged.text_bytes(column)[1], 4 * CHUNK_BYTES):
-                _, element, _ = _each(*ragged.text_bytes(column.slice(i, j - i)))
-                cells, counts = np.unique(_cell(element), return_counts=True)
-                slices = cells // (CELLS // SLICES)
-                parts = ragged.runs(slices)
-                counts = np.minimum(counts, MOST_COUNT).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([pa.array([int(slices[a]) for a, _ in parts], pa.int64()), *(ragged.binary_column([x[a:b] for a, b in parts]) for x in (cells.astype(np.uint32), counts))], ["slice", "cells", "counts"])
-
-    def summed(table: pa.Table) -> pa.Table:
-        total, first = np.zeros(CELLS // SLICES, np.int64), table["slice"][0].as_py()
-        for cells, counts in zip(table["cells"].to_pylist(), table["counts"].to_pylist(), strict=True):
-            total[np.frombuffer(cells, np.uint32) - first * (CELLS // SLICES)] += np.frombuffer(counts, np.uint16)
-        return pa.table({"slice": [first], "counts": ragged.binary_column([np.minimum(total, MOST_COUNT).astype(np.uint16)])})
-
-    # SLICES rows of 2 * CELLS / SLICES bytes come to the driver, whatever the number of texts.
-    sums = texts.select("text").mapInArrow(run, "slice long, cells binary, counts binary").groupBy("slice").applyInArrow(summed, "slice long, counts binary")
-    out = np.zeros(CELLS, np.uint16)
-    for r in sums.collect():
-        out[r["slice"] * (CELLS // SLICES) : (r["slice"] + 1) * (CELLS // SLICES)] = np.frombuffer(r["counts"], np.uint16)
-    return out
-
-
-def _rare_shingles(texts: DataFrame) -> DataFrame:
-    """Of ``texts`` (id, text, label): (shingle, id, label, size, place, lead) for each text's rarest shingles; exact, two texts that are alike enough share one.
-
-    Shingles are ordered by the count of their cell, then by hash; any one order for
-    all texts gives whole results, a good one only saves work. Texts with similarity
-    s or more share s of the larger one's shingles at least, so they share one of
-    the first size - ceil(s * size) + 1 of each, and of the smaller one even of its
-    first size - ceil(2 s / (1 + s) * size) + 1: there it leads. A passage that many
-    texts have in common stands last in that order and brings nobody together. A
-    shingle alone in its cell is in no other text and isn't sent.
-    """
-    counts = _shingle_counts(texts)
+            column = batch.column(1)
+            for first, last in ragged.row_slices(ragged.text_bytes(column)[1], CHUNK_BYTES):
+                for i in range(first, last, most):
+                    n = min(most, last - i)
+                    row, element, count = shingles(*ragged.text_bytes(column.slice(i, n)))
+                    keys = band_keys(dart_signatures(row, element, count.astype(np.float64), n, size), bands, rows)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.ravel()))
+                    words = pa.array(np.bincount(row, count, n).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(2).slice(i, n), words, lists], ["id", "label", "size", "buckets"])
 
-    def run(batches):
-        for batch in batches:
-            ids, labels, column = np.asarray(batch.column(0)), np.asarray(batch.column(2)), batch.column(1)
-            for i, j in ragged.row_slices(ragged.text_bytes(column)[1], CHUNK_BYTES):
-                row, element, size = _each(*ragged.text_bytes(column.slice(i, j - i)))
-                count = counts[_cell(element)]
-                order = np.lexsort((element, count, row))
-                row, element, count = row[order], element[order], count[order]
-                place = np.arange(len(row)) - np.searchsorted(row, np.arange(j - i))[row] + 1
-                first, leads = (size - np.ceil(size * share - 1e-6).astype(np.int64) + 1 for share in (SIMILARITY, 2 * SIMILARITY / (1 + SIMILARITY)))
-                sent = np.flatnonzero((place <= first[row]) & (count > 1))
-                row, place = row[sent], place[sent]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (element[sent].view(np.int64), ids[i:j][row], labels[i:j][row], size[row], place.astype(np.int64), place <= leads[row])], ["shingle", "id", "label", "size", "place", "lead"])
-
-    return texts.select("id", "text", "label").mapInArrow(run, "shingle long, id long, label long, size long, place long, lead boolean")
-
-
-def _crossing_pairs(texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes among ``texts`` (id, text, label) that may be alike enough: all that are, and few others.
-
-    Shingles of one class only are dropped by an aggregate. In the others, those
-    outside the shingle's largest class meet everyone of another class, so members
-    of one large class don't meet each other.
+    return texts.select("id", "text", "label").mapInArrow(run, "id long, label long, size long, buckets array<long>")
+
+
+def _crossing_pairs(texts: DataFrame, number: int) -> DataFrame:
+    """Pairs (a, b) of different classes among the ``texts`` (id, text, label), ``number`` of them, that meet in longer bands.
+
+    In a bucket, those outside its largest class meet everyone of another class, so
+    members of one large class don't meet each other.
     """
-    sent = shared.written(_rare_shingles(texts), "rare-shingles")
-    by_class = sent.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = by_class.groupBy(F.col("shingle").alias("__shingle")).agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    mixed = shared.written(sent.join(largest, F.col("shingle") == F.col("__shingle")).drop("__shingle", "classes"), "mixed-shingles")
-    outside = mixed.where("label <> largest").select(F.col("shingle").alias("__shingle"), *(F.col(c).alias(f"__{c}") for c in ("id", "label", "size", "place", "lead")))
-    # What two texts can still have in common from this shingle on must do for the similarity.
-    enough = 1 + F.least(F.col("size") - F.col("place"), F.col("__size") - F.col("__place")) >= SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("__size")) - 1e-6
-    leads = (F.col("lead") & (F.col("size") <= F.col("__size"))) | (F.col("__lead") & (F.col("__size") <= F.col("size")))
-    meet = (F.col("shingle") == F.col("__shingle")) & (F.col("label") != F.col("__label")) & leads & _sizes_allow(F.col("size"), F.col("__size")) & enough
-    pairs = shared.written(mixed.join(outside, meet).select(F.least("id", "__id").alias("a"), F.greatest("id", "__id").alias("b")).distinct(), "pairs")
-    shared.discard(sent, mixed)
+    sharp = shared.written(_sharp_buckets(texts, *sharper(number)), "sharp")
+    dealt = sharp.select(F.explode("buckets").alias("bucket"), "id", "label", "size")
+    by_class = dealt.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = by_class.groupBy(F.col("bucket").alias("__bucket")).agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    mixed = shared.written(dealt.join(largest, F.col("bucket") == F.col("__bucket")).drop("__bucket", "classes"), "mixed")
+    outside = mixed.where("label <> largest").select(F.col("bucket").alias("__bucket"), *(F.col(c).alias(f"__{c}") for c in ("id", "label", "size")))
+    meet = (F.col("bucket") == F.col("__bucket")) & (F.col("label") != F.col("__label")) & _sizes_allow(F.col("size"), F.col("__size"))
+    pairs = shared.written(mixed.join(outside, meet).select(F.least("id", "__id").alias("a"), F.greatest("id", "__id").alias("b")).distinct(), "crossing")
+    shared.discard(sharp, mixed)
     return pairs
 
 
@@ -304,7 +282,7 @@ def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text")
     keyed = source.where("id IS NOT NULL")
     sketch = shared.written(sketches(keyed), "sketches")
     # Equal texts have equal buckets.
-    copies = shared.written(sketch.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("size"), F.first("buckets").alias("buckets")), "copies")
+    copies = shared.written(sketch.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("size"), F.first("buckets").alias("buckets"), F.first("marks").alias("marks")), "copies")
     slim = shared.written(sketch.select("id", "h1", "h2"), "hashes")
     shared.discard(sketch)
     dealt = copies.select(F.explode("buckets").alias("bucket"), F.col("rep").alias("id"), "size")
@@ -317,19 +295,20 @@ def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text")
     centre = members.groupBy(F.col("bucket").alias("__bucket")).agg(F.max_by("id", best).alias("centre"), F.max_by("size", best).alias("centre_size"))
     involved = members.select(F.col("id").alias("__id")).distinct().hint("merge")  # they grow with the documents: not to be broadcast
     texts = shared.written(keyed.join(involved, F.col("id") == F.col("__id"), "left_semi"), "texts")
+    marks = copies.select(F.col("rep").alias("id"), "marks")
 
-    star = members.join(centre, (F.col("bucket") == F.col("__bucket")) & (F.col("id") != F.col("centre")) & _sizes_allow(F.col("size"), F.col("centre_size")))
-    pairs = shared.written(star.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs")
-    links = shared.written(verified(pairs, texts), "links")
+    starred = members.join(centre, F.col("bucket") == F.col("__bucket")).where(F.col("id") != F.col("centre"))
+    pairs = shared.written(starred.where(_sizes_allow(F.col("size"), F.col("centre_size"))).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "pairs")
+    links = shared.written(verified(hopeful(pairs, marks), texts), "links")
     labels = components(links)
 
-    # Buckets of one class are settled: a pair that meets in none of the others is linked or not alike enough.
+    # All have been compared with their bucket's centre; what is left are pairs of the others that are of different classes.
     label = F.coalesce("label", "id")
-    classed = members.join(labels.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select("bucket", "id", label.alias("label"))
+    classed = starred.join(labels.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select("bucket", "id", label.alias("label"))
     open_buckets = classed.groupBy(F.col("bucket").alias("__bucket")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     unsettled = shared.written(classed.join(open_buckets, F.col("bucket") == F.col("__bucket"), "left_semi").select(F.col("id").alias("__id"), "label").distinct(), "unsettled")
-    crossing = _crossing_pairs(texts.join(unsettled, F.col("id") == F.col("__id")).select("id", "text", "label"))
-    more = shared.written(verified(crossing.join(pairs, ["a", "b"], "left_anti"), texts), "links")
+    crossing = _crossing_pairs(texts.join(unsettled, F.col("id") == F.col("__id")).select("id", "text", "label"), unsettled.count())
+    more = shared.written(verified(hopeful(crossing.join(pairs, ["a", "b"], "left_anti"), marks), texts), "links")
     if not more.isEmpty():
         first, labels = labels, components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).where("a <> b").union(more))
         shared.discard(first)

@@ -118,8 +118,8 @@ def test_near_duplicates_of_low_entropy(spark):
     assert [r[:2] for r in got] == [*((i, i) for i in range(len(ALIKE))), (7, 7), (100, 0)][:7] + [(7, 7), (7, 7), (100, 0)]
 
 
-def test_rare_shingles_lose_no_pair(spark):
-    """Whatever the classes so far, all alike pairs of different classes come out of the filter, with few others."""
+def test_longer_bands_lose_no_pair(spark):
+    """Whatever the classes so far, all alike pairs of different classes meet in the longer bands and pass the filter of signatures."""
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     passage, rows = [word() for _ in range(90)], []
@@ -134,9 +134,38 @@ def test_rare_shingles_lose_no_pair(spark):
     sets = [shingles(t) for t in rows]
     labels = [i - i % 2 for i in range(len(rows))]
     texts = shared.written(spark.createDataFrame([(i, t, labels[i]) for i, t in enumerate(rows)], "id long, text string, label long").repartition(5), "texts")
-    got = {tuple(r) for r in near_duplicates._crossing_pairs(texts).collect()}
     want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if labels[i] != labels[j] and alike(sets[i], sets[j]) >= 0.8}
-    assert want and want <= got and len(got) <= 2 * len(want)
+    marks = near_duplicates.sketches(texts.select("id", "text")).select("id", "marks")
+    for number in (len(rows), 30_000):  # as many bands as so many texts get
+        crossing = near_duplicates._crossing_pairs(texts, number)
+        got = {tuple(r) for r in crossing.collect()}
+        kept = {tuple(r) for r in near_duplicates.hopeful(crossing, marks).collect()}
+        assert want and want <= kept <= got and all(alike(sets[i], sets[j]) > 0.5 for i, j in kept)
+    assert near_duplicates.hopeful(crossing.limit(0), marks).count() == 0
+
+
+def test_near_duplicates_of_common_sentences(spark, monkeypatch):
+    """Texts of 12 of 20 common sentences: every table stays within the bands' rows, pairs don't grow with the square, and no class is lost."""
+    tables, write = {}, shared.written
+
+    def written(df, name, **options):
+        table = write(df, name, **options)
+        tables[name] = tables.get(name, 0) + table.count()
+        return table
+
+    monkeypatch.setattr(near_duplicates.shared, "written", written)
+    held = {}
+    for n in (400, 1600):
+        rng = random.Random(3)
+        sentences = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(rng.randrange(5, 9))) for _ in range(20)]
+        rows = [(i, " ".join(sentences[k] for k in sorted(rng.sample(range(20), 12)))) for i in range(n)]
+        tables.clear()
+        got = {r["doc_id"]: r["class_id"] for r in near_duplicates.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        held[n] = dict(tables)
+        if n == 400:
+            assert got == brute_classes(rows)
+    assert max(held[1600].values()) <= near_duplicates.BANDS * 1600
+    assert held[1600]["crossing"] <= 10 * held[400]["crossing"] and held[1600]["crossing"] < 0.01 * 1600 * 1599 / 2
 
 
 def test_near_duplicate_edges(odd):
