@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Columns that pairs are compared by.
+COMPARED = ["profit", "probability", "style"]
+
 
 def ranked(rows: DataFrame, key: str, group: str, by: str = "profit") -> DataFrame:
     """``rows`` with rank within ``group``, from the largest ``by`` on, ties to the smaller key.
@@ -38,11 +41,29 @@ def first_n(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.orderBy(key).limit(n)
 
 
+def placed(rows: DataFrame, key: str, group: str, by: str = "profit") -> DataFrame:
+    """``rows`` with rank within ``group`` and place among all, in the order of place: the form in which ranks are stored and read for any top-k."""
+    grouped = ranked(rows, key, group, by).withColumn("__everyone", F.lit(0))
+    order = [c for c in grouped.columns if c not in ("rank", "__everyone")]
+    return ranked(grouped.withColumnRenamed("rank", "__rank"), key, "__everyone", by).select(*order, F.col("__rank").alias("rank"), F.col("rank").alias("place"))
+
+
+def neighbours(placed_rows: DataFrame, key: str, columns: list[str], n: int | None = None) -> DataFrame:
+    """Pairs (a, b) of :func:`placed` rows that stand one behind the other, among the first ``n`` if given, with both sides' ``columns``."""
+    first = placed_rows if n is None else placed_rows.where(F.col("place") <= n)
+    a = first.select(F.col(key).alias("a"), F.col("place").alias("__at"), *(F.col(c).alias(f"{c}_a") for c in columns))
+    b = first.select(F.col(key).alias("b"), (F.col("place") - 1).alias("__before"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    return a.join(b, F.col("__at") == F.col("__before")).drop("__at", "__before")
+
+
 def compared(pairs: DataFrame, rows: DataFrame, key: str, a: str = "a", b: str = "b") -> DataFrame:
     """For each of the ``pairs``: who has more profit, who has more probability (ties: the second), and both styles."""
-    columns = ["profit", "probability", "style"]
-    sides = [rows.select(F.col(key).alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s in (a, b)]
-    joined = pairs.join(sides[0], a).join(sides[1], b)
+    sides = [rows.select(F.col(key).alias(s), *(F.col(c).alias(f"{c}_{s}") for c in COMPARED)) for s in (a, b)]
+    return judged(pairs.join(sides[0], a).join(sides[1], b), a, b)
+
+
+def judged(joined: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """What :func:`compared` says of pairs that have both sides' columns."""
     return joined.select(
         a, b, F.when(F.col(f"profit_{a}") > F.col(f"profit_{b}"), F.col(a)).otherwise(F.col(b)).alias("more_profit"),
         F.when(F.col(f"probability_{a}") > F.col(f"probability_{b}"), F.col(a)).otherwise(F.col(b)).alias("more_probable"), f"style_{a}", f"style_{b}")

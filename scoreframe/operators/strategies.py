@@ -66,20 +66,51 @@ def _mask(strategies: Column) -> Column:
     return sum((F.when(F.array_contains(strategies, n), 1 << i).otherwise(0) for i, n in enumerate(STRATEGIES)), F.lit(0))
 
 
-def recommended(requests: DataFrame, rows: DataFrame, key: str, by: str = "profit") -> DataFrame:
-    """Each request (with strategies) and the best row that its strategies accept, or the best of all with fallback true.
+def lattice(rows: DataFrame, key: str, by: str = "profit", keep: tuple[str, ...] = ()) -> DataFrame:
+    """For each set of strategies that some row passes: set (a bit a strategy), n (rows that pass all of it), best (key, ``by`` and ``keep`` of the best).
 
-    Rows are ranked once for each of the 32 sets of strategies, not for each request.
+    Rows are aggregated by the strategies that they pass, 32 sets at most; each of
+    these counts for all its subsets. No row is repeated.
     """
-    bits = sum((F.when(predicate(n), 1 << i).otherwise(0) for i, n in enumerate(STRATEGIES)), F.lit(0))
-    sets = F.sequence(F.lit(0), F.lit((1 << len(STRATEGIES)) - 1))
-    accepted = rows.withColumn("__bits", bits).withColumn("__set", F.explode(sets)).where(F.col("__bits").bitwiseAND(F.col("__set")) == F.col("__set"))
-    best = accepted.groupBy("__set").agg(F.min_by(F.struct(key, by), F.struct(F.col(by).isNull(), -F.col(by), F.col(key))).alias("best"))
-    everything = best.where("__set = 0").select(F.col("best").alias("any_best"))
+    passed = sum((F.when(predicate(n), 1 << i).otherwise(0) for i, n in enumerate(STRATEGIES)), F.lit(0))
+    order = F.struct(F.col(by).isNull().alias("none"), (-F.col(by)).alias("less"), F.col(key).alias("key"), F.struct(key, by, *keep).alias("row"))
+    own = rows.groupBy(passed.alias("__own")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("best"))
+    every = F.sequence(F.lit(0), F.lit((1 << len(STRATEGIES)) - 1))
+    below = own.withColumn("set", F.explode(F.filter(every, lambda s: F.col("__own").bitwiseAND(s) == s)))
+    return below.groupBy("set").agg(F.sum("n").alias("n"), F.min("best").alias("best")).select("set", "n", F.col("best.row").alias("best"))
+
+
+def recommended(requests: DataFrame, rows: DataFrame, key: str, by: str = "profit", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each request (with strategies) and the best row that its strategies accept, or the best of all with fallback true; ``keep`` are more columns of that row.
+
+    Ties in ``by`` go to the smaller key, rows without ``by`` come last. Without any row all is null and fallback true.
+    """
+    sets = lattice(rows, key, by, keep)
+    everything = sets.where("set = 0").select(F.col("best").alias("any_best"))
     wanted = requests.withColumn("__wanted", _mask(F.col("strategies")))
-    joined = wanted.join(F.broadcast(best), F.col("__wanted") == F.col("__set"), "left").join(F.broadcast(everything), F.lit(True), "left")
+    joined = wanted.join(F.broadcast(sets.select(F.col("set").alias("__set"), "best")), F.col("__wanted") == F.col("__set"), "left").join(F.broadcast(everything), F.lit(True), "left")
     pick = F.coalesce("best", "any_best")
-    return joined.select(*requests.columns, pick[key].alias(key), pick[by].alias(by), F.col("best").isNull().alias("fallback"))
+    return joined.select(*requests.columns, *(pick[c].alias(c) for c in (key, by)), F.col("best").isNull().alias("fallback"), *(pick[c].alias(c) for c in keep))
+
+
+def relaxed_requests(requests: DataFrame, rows: DataFrame, key: str, by: str = "profit", dropped: tuple[str, ...] = ("rentable",)) -> DataFrame:
+    """Each request (with strategies) at its own lowest level that has rows: level, strategies_left, n (rows) and the best one's key and ``by``.
+
+    Level 0 asks for all chosen strategies, each further level gives up one more of
+    ``dropped``, and the last asks for none. Levels are found once for each set of
+    strategies, 32 at most, and requests meet their set's by a broadcast of these;
+    without any row all five are null.
+    """
+    sets = lattice(rows, key, by)
+    bits = {n: 1 << i for i, n in enumerate(STRATEGIES)}
+    given_up = [sum(bits[n] for n in dropped[:k]) for k in range(len(dropped) + 1)]
+    every = requests.sparkSession.range(1 << len(STRATEGIES)).select(F.col("id").cast("int").alias("__wanted"))
+    levels = F.array(*(F.struct(F.lit(k).alias("level"), F.col("__wanted").bitwiseAND(~gone & 31).alias("set")) for k, gone in enumerate(given_up)), F.struct(F.lit(len(given_up)).alias("level"), F.lit(0).alias("set")))
+    tried = every.select("__wanted", F.explode(levels).alias("l")).join(sets, F.col("l.set") == F.col("set"))
+    lowest = tried.groupBy("__wanted").agg(F.min_by(F.struct("l.level", "set", "n", "best"), "l.level").alias("found"))
+    left = F.filter(F.array(*(F.when(F.col("found.set").bitwiseAND(b) == b, n) for n, b in bits.items())), lambda x: x.isNotNull())
+    asked = requests.withColumn("__asked", _mask(F.col("strategies"))).join(F.broadcast(lowest), F.col("__asked") == F.col("__wanted"), "left")
+    return asked.select(*requests.columns, "found.level", F.when(F.col("found").isNotNull(), left).alias("strategies_left"), "found.n", *(F.col(f"found.best.{c}").alias(c) for c in (key, by)))
 
 
 def response(rows: DataFrame, key: str, by: str = "profit") -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreframe.functions.numbers import exact_sum, rounded
-from scoreframe.operators import events, rates, rules, squad, strategies
+from scoreframe.operators import events, ranking, rates, rules, squad, strategies
 from scoreframe.plans import scorecards
-from scoreframe.sources import bindings
+from scoreframe.sources import bindings, stored
 
 #: Costs that split the signs of the event log's profits, and the profit of a unit of exposure.
 TRANSFER_COST, SALARY_COST, VALUE_FACTOR = 120.0, 15.0, 10.0
@@ -27,6 +27,29 @@ def log_players(spark: SparkSession, folder: str) -> DataFrame:
     return features.withColumns({"style": events.style(), "efficiency": events.efficiency(), "profit": profit}).withColumn("decision", rates.decision(F.col("profit")))
 
 
+#: Raised when what a stored table holds changes for the same input.
+FORM = 1
+
+
+def ranked_players(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`log_players` with rank within style and place among all, ranked once for each version of ``events`` and read again since."""
+    of = f"{FORM}_{stored.version(spark, f'{folder}/events.parquet')}"
+    return stored.stored(spark, "ranked_players", of, lambda: ranking.placed(log_players(spark, folder), "entity", "style"))
+
+
+def stored_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Matches in a folder a season, so that a scan of some seasons reads no others."""
+    of = f"{FORM}_{stored.version(spark, f'{folder}/orders.parquet', f'{folder}/customer.parquet')}"
+    return stored.stored(spark, "matches", of, lambda: bindings.match_table(spark, folder), partition=["season"])
+
+
+def stored_match_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of matches in files by their match, so that a join with matches doesn't move them."""
+    of = f"{FORM}_{stored.version(spark, *(f'{folder}/{t}.parquet' for t in ('lineitem', 'orders', 'customer', 'supplier')))}"
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return stored.stored(spark, f"match_events_{buckets}", of, lambda: bindings.match_events(spark, folder), buckets=(buckets, "match_id"))
+
+
 def log_per90(spark: SparkSession, folder: str) -> DataFrame:
     """Every entity of the event log with its counters and per-90 values; entities without shots count 0."""
     log = bindings.event_log(spark, folder)
@@ -88,6 +111,9 @@ def squad_board(spark: SparkSession, folder: str) -> DataFrame:
     return report.join(extra, F.col("away") == F.col("__away")).join(listed, F.col("away") == F.col("__gap"), "left").select("away", "team_xg", "team_goals", "team_shots", "conversion_rate", "offensive_players", "players", "mean_probability", "squad_profit", F.coalesce("needs", F.lit("")).alias("needs"))
 
 
-def answered_requests(spark: SparkSession, folder: str) -> DataFrame:
-    asked = strategies.detected(bindings.requests(spark, folder), bindings.STRATEGY_WORDS)
-    return strategies.recommended(asked, log_players(spark, folder), "entity")
+def asked_requests(spark: SparkSession, folder: str) -> DataFrame:
+    return strategies.detected(bindings.requests(spark, folder), bindings.STRATEGY_WORDS)
+
+
+def answered_requests(spark: SparkSession, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return strategies.recommended(asked_requests(spark, folder), ranked_players(spark, folder), "entity", keep=keep)

@@ -18,6 +18,8 @@ ORACLES: dict[str, str] = oracles.SQL
 YEAR, STATUS, NATION, USER, UNION_YEARS = 1997, "F", 3, 8, (1997, 1998)
 #: Best entities whose neighbours are paired, as the SQL has it; the queries named ``_all`` pair every entity.
 BEST = 10
+#: Rows of each style that are read from the stored ranks.
+TOP = 3
 UNREACHABLE, CHOSEN = ["efficace", "rentable"], ["rentable", "low_risk"]
 
 
@@ -42,6 +44,11 @@ def matches_scan(spark, folder):
     return orders.where((F.col("o_orderdate") >= F.lit(f"{YEAR}-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(f"{YEAR + 1}-01-01").cast("timestamp_ntz")) & (F.col("o_orderstatus") == STATUS)).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
+@query
+def season_matches(spark, folder):
+    return boards.stored_matches(spark, folder).where((F.col("season") == YEAR) & (F.col("status") == STATUS)).select("match_id", "season", "home")
+
+
 @query
 def matches_union(spark, folder):
     matches = bindings.match_table(spark, folder)
@@ -54,6 +61,12 @@ def events_in_matches(spark, folder):
     return events.in_matches(bindings.match_events(spark, folder), matches).select("match_id", "line", "entity", "outcome")
 
 
+@query
+def stored_events_in_matches(spark, folder):
+    matches = boards.stored_matches(spark, folder).where((F.col("season") == YEAR) & (F.col("status") == STATUS))
+    return events.in_matches(boards.stored_match_events(spark, folder), matches).select("match_id", "line", "entity", "outcome")
+
+
 @query
 def match_quality(spark, folder):
     return boards.rejected_matches(bindings.match_events(spark, folder, tolerant=True))
@@ -136,14 +149,12 @@ def needs_lookup(spark, folder):
 
 @query
 def pair_compare(spark, folder):
-    players = boards.log_players(spark, folder)
-    return ranking.compared(ranking.neighbour_pairs(players, "entity", n=BEST), players, "entity")
+    return ranking.judged(ranking.neighbours(boards.ranked_players(spark, folder), "entity", ranking.COMPARED, n=BEST))
 
 
 @query
 def pair_compare_all(spark, folder):
-    players = boards.log_players(spark, folder)
-    return ranking.compared(ranking.neighbour_pairs(players, "entity"), players, "entity")
+    return ranking.judged(ranking.neighbours(boards.ranked_players(spark, folder), "entity", ranking.COMPARED))
 
 
 @query
@@ -156,6 +167,12 @@ def request_recommend(spark, folder):
     return boards.answered_requests(spark, folder).select("conv_id", "turn", _listed("strategies"), "entity", "profit", "fallback")
 
 
+@query
+def request_relax(spark, folder):
+    found = strategies.relaxed_requests(boards.asked_requests(spark, folder), boards.ranked_players(spark, folder), "entity")
+    return found.select("conv_id", "turn", _listed("strategies"), "level", _listed("strategies_left"), F.col("n").alias("rows"), "entity", "profit")
+
+
 @query
 def shot_features(spark, folder):
     return boards.log_features(spark, folder).select("entity", rounded(F.col("xg_total"), 4).alias("xg_total"), "goals_total", "shots", rounded(F.col("conversion_rate"), 4).alias("conversion_rate"), rounded(F.col("avg_xg_per_shot"), 4).alias("avg_xg_per_shot"))
@@ -204,23 +221,28 @@ def squad_weaknesses(spark, folder):
 @query
 def funnel_counts(spark, folder):
     players = strategies.flagged(boards.log_players(spark, folder))
-    return players.agg(F.count(F.lit(1)).alias("analysed"), F.count_if("is_rentable").alias("profitable"), F.count_if(F.col("is_rentable") & F.col("is_low_risk")).alias("kept"))
+    matches = events.shot_rows(bindings.event_log(spark, folder)).agg(F.count_distinct("match_id").alias("matches"))
+    return matches.crossJoin(players.agg(F.count(F.lit(1)).alias("analysed"), F.count_if("is_rentable").alias("profitable"), F.count_if(F.col("is_rentable") & F.col("is_low_risk")).alias("kept")))  # a row each
 
 
 @query
 def rank_by_profit(spark, folder):
-    return ranking.ranked(boards.log_players(spark, folder), "entity", "style").select("style", "entity", "profit", "rank")
+    return boards.ranked_players(spark, folder).select("style", "entity", "profit", "rank")
+
+
+@query
+def topk_reuse(spark, folder):
+    return boards.ranked_players(spark, folder).where(F.col("rank") <= TOP).select("style", "rank", "place", "entity", "profit")
 
 
 @query
 def recommend_top1(spark, folder):
-    best = ranking.top(boards.log_players(spark, folder), "entity", group="style")
-    return best.select("style", "entity", "profit", ranking.message(F.col("profit")).alias("message"))
+    return boards.ranked_players(spark, folder).where(F.col("rank") == 1).select("style", "entity", "profit", ranking.message(F.col("profit")).alias("message"))
 
 
 @query
 def first_n(spark, folder):
-    return ranking.first_n(boards.log_players(spark, folder), "entity", 50).select("entity", "profit")
+    return ranking.first_n(boards.ranked_players(spark, folder), "entity", 50).select("entity", "profit")
 
 
 @query
@@ -320,14 +342,14 @@ def response_text(spark, folder):
 
 @query
 def posterior_superiority(spark, folder):
-    features = boards.log_features(spark, folder)
-    return rates.superiority(ranking.neighbour_pairs(boards.log_players(spark, folder), "entity", n=BEST), features, "entity")
+    features = boards.ranked_players(spark, folder)
+    return rates.superiority(ranking.neighbours(boards.ranked_players(spark, folder), "entity", [], n=BEST), features, "entity")
 
 
 @query
 def posterior_superiority_all(spark, folder):
-    features = boards.log_features(spark, folder)
-    return rates.superiority(ranking.neighbour_pairs(boards.log_players(spark, folder), "entity"), features, "entity")
+    features = boards.ranked_players(spark, folder)
+    return rates.superiority(ranking.neighbours(features, "entity", []), features, "entity")
 
 
 @query
@@ -356,6 +378,6 @@ def squad_board(spark, folder):
 
 @query
 def request_board(spark, folder):
-    answered = strategies.response(boards.answered_requests(spark, folder), "entity")
-    players = boards.log_players(spark, folder).select(F.col("entity").alias("__entity"), "style", "efficiency", "probability", "decision")
-    return answered.join(players, F.col("entity") == F.col("__entity"), "left").select("conv_id", "turn", _listed("strategies"), "entity", "profit", "fallback", "style", "efficiency", "probability", "decision", "response")
+    kept = ("style", "efficiency", "probability", "decision")
+    answered = strategies.response(boards.answered_requests(spark, folder, kept), "entity")
+    return answered.select("conv_id", "turn", _listed("strategies"), "entity", "profit", "fallback", *kept, "response")

@@ -251,6 +251,8 @@ _FEATURES = f"entity, {_r('xg_total', 4)} AS xg_total, goals_total, shots"
 SQL: dict[str, str] = {
     "catalog_filter": "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'",
     "matches_scan": "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND o_orderstatus = 'F'",
+    "season_matches": _with(MATCHES, "SELECT match_id, season, home FROM matches WHERE season = 1997 AND status = 'F'"),
+    "stored_events_in_matches": _with(MATCHES, "SELECT match_id, line, entity, outcome FROM happened WHERE season = 1997 AND status = 'F'"),
     "matches_union": _with(MATCHES, "SELECT * FROM matches WHERE season = 1997 UNION ALL SELECT * FROM matches WHERE season = 1998"),
     "events_in_matches": _with(MATCHES, "SELECT match_id, line, entity, outcome FROM happened WHERE season = 1997 AND status = 'F'"),
     "match_quality": _with(MATCHES, "SELECT match_id, 'outcome_without_exposure' AS reason FROM happened GROUP BY match_id HAVING sum(exposure::DECIMAL(18,4)) = 0 AND sum(outcome) > 0"),
@@ -276,6 +278,11 @@ SELECT entity, profit, (SELECT min(own) FROM leveled) AS level FROM leveled WHER
     "pair_compare": _with(PAIRS, "SELECT * FROM compared"),
     "scenario_cross": _with(SCORED, " UNION ALL ".join(f"SELECT player, '{n}' AS scenario, {s} AS score, {_LEVEL.format(s)} AS level, {r} AS reasons FROM scored" for n, (s, r) in _SCENARIOS.items())),
     "request_recommend": _with(ANSWERED, "SELECT conv_id, turn, strategies, entity, profit, fallback FROM answered"),
+    "request_relax": _with(ANSWERED, f""", held AS (SELECT s.set, count(*) AS n FROM bits b, range(0, 32) s(set) WHERE (b.bits & s.set) = s.set GROUP BY s.set
+), tried AS (SELECT conv_id, turn, strategies, level, s FROM (SELECT *, unnest([0, 1, 2]) AS level, unnest([wanted, wanted & 30, 0]) AS s FROM asked)
+), found AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY level) AS k FROM tried JOIN held ON s = held.set)
+SELECT conv_id, turn, strategies, level, concat_ws('|', {", ".join(f"CASE WHEN (s & {1 << i}) > 0 THEN '{w}' END" for i, w in enumerate(_WORDS))}) AS strategies_left, n AS rows, best.entity, best.profit
+FROM found JOIN best ON best.set = s WHERE k = 1"""),
     "shot_features": _with(LOG, f"SELECT {_FEATURES}, {_r('conversion_rate', 4)} AS conversion_rate, {_r('avg_xg_per_shot', 4)} AS avg_xg_per_shot FROM features"),
     "activity_counters": _with(PER90, "SELECT entity, minutes, assists, key_passes, progressive_passes, pressures, tackles, interceptions, dribbles FROM counted"),
     "rate_posterior": _with(PLAYERS, "SELECT entity, mean_rate, probability FROM posterior"),
@@ -285,8 +292,9 @@ SELECT entity, profit, (SELECT min(own) FROM leveled) AS level FROM leveled WHER
     "decide_sign": _with(PLAYERS, "SELECT entity, decision, probability, profit FROM players"),
     "squad_totals": _with(SQUADS, "SELECT * FROM report"),
     "squad_weaknesses": _with(SQUADS, "SELECT away, position_no, weakness FROM gaps"),
-    "funnel_counts": _with(PLAYERS, "SELECT count(*) AS analysed, count(*) FILTER (WHERE profit > 0) AS profitable, count(*) FILTER (WHERE profit > 0 AND probability > 0.6::DOUBLE) AS kept FROM players"),
+    "funnel_counts": _with(PLAYERS, "SELECT (SELECT count(DISTINCT match_id) FROM log WHERE is_shot) AS matches, count(*) AS analysed, count(*) FILTER (WHERE profit > 0) AS profitable, count(*) FILTER (WHERE profit > 0 AND probability > 0.6::DOUBLE) AS kept FROM players"),
     "rank_by_profit": _with(PLAYERS, "SELECT style, entity, profit, row_number() OVER (PARTITION BY style ORDER BY profit DESC, entity) AS rank FROM players"),
+    "topk_reuse": _with(PLAYERS, "SELECT * FROM (SELECT style, row_number() OVER (PARTITION BY style ORDER BY profit DESC, entity) AS rank, row_number() OVER (ORDER BY profit DESC, entity) AS place, entity, profit FROM players) WHERE rank <= 3"),
     "recommend_top1": _with(PLAYERS, "SELECT style, entity, profit, CASE WHEN profit <= 0 THEN 'no_profitable_candidate' ELSE 'recommended' END AS message FROM (SELECT *, row_number() OVER (PARTITION BY style ORDER BY profit DESC, entity) AS n FROM players) WHERE n = 1"),
     "first_n": _with(PLAYERS, "SELECT entity, profit FROM players ORDER BY entity LIMIT 50"),
     "per90": _with(PER90, "SELECT * FROM per90"),
