@@ -57,23 +57,35 @@ def group_superiority(rows: DataFrame, pairs: DataFrame, group: str, value: str,
 def tail_profile(rows: DataFrame, group: str, value: str) -> DataFrame:
     """n, mean, standard deviation, excess kurtosis, exact 1, 5, 95 and 99 % points, and the mean at or below the 5 % point.
 
-    Null and NaN values and rows without a group don't count. The deviation of a single row and the kurtosis
-    of equal values are null.
+    Null and NaN values and rows without a group don't count; infinite values do.
+    A group with an infinite value has what doubles give: an infinite mean (none,
+    NaN, if both signs occur) and no deviation or kurtosis (null); its points and
+    its tail mean are those of the order. The deviation of a single row and the
+    kurtosis of equal values are null. Sums are taken of distances from a value of
+    the group, in units of the group's largest distance, so 1e300 and 1e-300 keep their digits.
     """
-    good = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(group).alias("__g"), F.col(value).alias("__v"))
-    counts = in_ranges(good.groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col("__v").cast("decimal(28,10)")).alias("__s")), good, "__v")
-
-    # Each range's totals, what comes before it in its group, and the group's totals.
+    good = rows.where(F.col(group).isNotNull() & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(group).alias("__g"), F.col(value).cast("double").alias("__v"))
+    counts = in_ranges(good.groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__n")), good, "__v")
+
+    # A value near the middle of the finite ones, and the largest distance from it: what follows has no sum beyond the number of rows.
+    finite = F.when(F.abs("__v") < float("inf"), F.col("__v"))
+    frame = counts.groupBy(F.col("__g").alias("__k")).agg(F.min(finite).alias("__least"), F.max(finite).alias("__most"))
+    low, high = F.coalesce("__least", F.lit(0.0)), F.coalesce("__most", F.lit(0.0))
+    frame = frame.select("__k", (low / 2 + high / 2).alias("__c"), F.when(high > low, high / 2 - low / 2).otherwise(1.0).alias("__u"))
+    counts = counts.join(frame, F.col("__g") == F.col("__k")).withColumn("__x", (F.col("__v") - F.col("__c")) / F.col("__u")).drop("__k")
+
+    # The group's mean comes from its ranges' sums; powers are then taken of distances from it, so no digits are lost.
+    weighed = F.col("__n") * F.col("__x")
+    ranges = counts.groupBy(F.col("__g").alias("__h"), F.col("__range").alias("__r")).agg(F.sum("__n").alias("__rn"), F.sum(weighed).alias("__rs"))
     order = Window.partitionBy("__h").orderBy("__r")
     before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("__h")
-    totals = counts.groupBy(F.col("__g").alias("__h"), F.col("__range").alias("__r")).agg(F.sum("__n").alias("__rn"), F.sum("__s").alias("__rs"))
-    totals = totals.select(
-        "__h", "__r", F.coalesce(F.sum("__rn").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__rs").over(before), F.lit(0)).alias("__s0"),
-        F.sum("__rn").over(whole).alias("n"), (F.sum("__rs").over(whole).cast("double") / F.sum("__rn").over(whole)).alias("m"))
+    totals = ranges.select(
+        "__h", "__r", F.coalesce(F.sum("__rn").over(before), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__rs").over(before), F.lit(0.0)).alias("__s0"),
+        F.sum("__rn").over(whole).alias("n"), (F.sum("__rs").over(whole) / F.sum("__rn").over(whole)).alias("m"))
 
     within = Window.partitionBy("__g", "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     running = counts.join(totals, (F.col("__g") == F.col("__h")) & (F.col("__range") == F.col("__r")))
-    running = running.withColumns({"__upto": F.col("__n0") + F.sum("__n").over(within), "__sum": F.col("__s0") + F.sum("__s").over(within), "d": F.col("__v") - F.col("m")})
+    running = running.withColumns({"__upto": F.col("__n0") + F.sum("__n").over(within), "__sum": F.col("__s0") + F.sum(weighed).over(within), "d": F.col("__x") - F.col("m")})
     upto, held = F.col("__upto"), F.col("__n")
 
     def place(share: float) -> Column:
@@ -84,15 +96,17 @@ def tail_profile(rows: DataFrame, group: str, value: str) -> DataFrame:
         return F.max(F.when((upto - held <= place) & (place < upto), what))
 
     ends = [at(end(place(share)), F.col("__v")).alias(f"{name}_{end.__name__}") for name, share in SHARES.items() for end in (F.floor, F.ceil)]
-    tail = at(F.floor(place(SHARES[TAIL])), F.struct(F.col("__sum").cast("double").alias("s"), upto.alias("n"))).alias("tail")
-    sums = running.groupBy("__g").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.sum(held * F.pow("d", F.lit(2))).alias("d2"), F.sum(held * F.pow("d", F.lit(4))).alias("d4"), tail, *ends)
+    tail = at(F.floor(place(SHARES[TAIL])), F.struct(F.col("__sum").alias("s"), upto.alias("n"))).alias("tail")
+    sums = running.groupBy("__g").agg(
+        *(F.first(c).alias(c) for c in ("n", "m", "__c", "__u")), F.sum(held * F.pow("d", F.lit(2))).alias("d2"), F.sum(held * F.pow("d", F.lit(4))).alias("d4"), tail, *ends)
 
     def point(name: str) -> Column:
         low, high, part = F.col(f"{name}_floor"), F.col(f"{name}_ceil"), place(SHARES[name]) - F.floor(place(SHARES[name]))
         return F.when(low == high, low).otherwise((1 - part) * low + part * high)
 
-    n = F.col("n")
+    n, known = F.col("n"), F.abs("m") < float("inf")
+    whole_again = lambda x: F.col("__c") + F.col("__u") * x
     return sums.select(
-        F.col("__g").alias(group), "n", rounded(F.col("m"), 4).alias("mean"), rounded(F.sqrt(F.try_divide("d2", n - 1)), 4).alias("stddev"),
-        rounded(F.try_divide(n * F.col("d4"), F.col("d2") * F.col("d2")) - 3, 4).alias("excess_kurtosis"),
-        *(rounded(point(name), 4).alias(name) for name in SHARES), rounded(F.col("tail.s") / F.col("tail.n"), 4).alias("tail_mean"))
+        F.col("__g").alias(group), "n", rounded(whole_again(F.col("m")), 4).alias("mean"), rounded(F.when(known, F.col("__u") * F.sqrt(F.try_divide("d2", n - 1))), 4).alias("stddev"),
+        rounded(F.when(known, F.try_divide(n * F.col("d4"), F.col("d2") * F.col("d2")) - 3), 4).alias("excess_kurtosis"),
+        *(rounded(point(name), 4).alias(name) for name in SHARES), rounded(whole_again(F.col("tail.s") / F.col("tail.n")), 4).alias("tail_mean"))

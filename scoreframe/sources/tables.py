@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoreframe.sources.stored import clustered
+
 
 def table(spark: SparkSession, folder: str, name: str, tolerant: bool = False) -> DataFrame:
     """A Parquet table; ``tolerant`` skips corrupt and missing files and merges schemas."""
@@ -29,9 +31,17 @@ def stacked(*tables: DataFrame) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str, partition: str | None = None) -> None:
-    """The result table as Parquet, partitioned by one column if asked."""
-    writer = results.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(path)
+    """The result table as Parquet; with ``partition``, in a folder a value of that column.
+
+    Only the folders of values that ``results`` has are replaced, all at the end of
+    the job: the others keep their files, a rerun leaves one copy, and a job or task
+    that fails leaves what was there. Rows of a folder are gathered into few files,
+    a large folder's over several tasks. Without ``partition`` the whole table is replaced.
+    """
+    if partition is None:
+        results.write.mode("overwrite").parquet(path)
+    else:
+        clustered(results, [partition]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def candidates_from_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:

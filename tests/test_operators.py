@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scoreframe.functions.numbers import exact_sum
+from scoreframe.functions.numbers import exact_sum, rounded
 from scoreframe.operators import distributions, events, ranking, rates, rules, squad, strategies
 from scoreframe.plans import catalog, scorecards
 from scoreframe.sources import tables
@@ -256,3 +256,121 @@ def test_ranks_equal_brute_force(spark):
     ranked = ranking.ranked(frame, "k", "g", "v")
     assert ranked.columns == ["g", "v", "k", "rank"] and {r["k"]: r["rank"] for r in ranked.collect()} == want
     assert not ranking.ranked(frame.where("k > 100000"), "k", "g", "v").count()
+
+
+def _fine(s, g):
+    """Mode, offsets from it, the chance of each small cell, and the width of a cell."""
+    low, high = -60.0, 60.0
+    for _ in range(200):
+        m = (low + high) / 2
+        low, high = (m, high) if s * np.exp(m) + 4 * m < g else (low, m)
+    sd = 1 / np.sqrt(s * np.exp(m) + 4)
+    d = (np.arange(400_000) + 0.5) / 400_000 * 24 * sd - 12 * sd
+    p = np.exp(g * d - s * np.exp(m) * np.expm1(d) - 2 * d * (d + 2 * m))
+    return m, d, p / p.sum(), d[1] - d[0]
+
+
+def test_posterior_of_all_sums(spark):
+    """Sums from none to 1e10, and those next to the size at which an earlier rule changed."""
+    sums = [0, 1e-6, 0.01, 0.5, 1, 3, 10, 50, 575, 590, 600, 612, 650, 1e4, 1e6, 1e8, 1e10]
+    cases = [(s, g) for s in sums for g in sums if s or not g]
+    rows = spark.createDataFrame([(i, float(s), float(g)) for i, (s, g) in enumerate(cases)], "k int, xg_total double, goals_total double")
+    found = {r["k"]: r for r in rates.rate_posterior(rows, "k", digits=12).collect()}
+    ends = {r["k"]: r for r in rates.posterior_summary(rows, "k").collect()}
+    assert len(found) == len(ends) == len(cases)
+    for k, (s, g) in enumerate(cases):
+        (m, d, p, h), r, e = _fine(s, g), found[k], ends[k]
+        below = np.cumsum(p)
+        ratio = np.exp(m) * (1 + (p * np.expm1(d)).sum())
+        assert r["probability"] == pytest.approx(1 - np.interp(-m, d + h / 2, below, 0, 1), abs=1e-7), (s, g)
+        assert r["mean_rate"] == pytest.approx(ratio, rel=1e-7, abs=1e-11) and r["edge_mass"] < 1e-9 and r["sd_steps"] >= 1
+        inner = np.argsort(-p)[: np.searchsorted(np.cumsum(np.sort(p)[::-1]), 0.94) + 1]
+        want = {"low": np.interp(0.03, below, d + h / 2), "high": np.interp(0.97, below, d + h / 2), "densest_low": d[inner.min()], "densest_high": d[inner.max()]}
+        for name, at in want.items():
+            assert e[name] == pytest.approx(np.exp(m + at), rel=2 * h + 1e-5, abs=1e-4), (s, g, name)
+    odd = spark.createDataFrame([("a", None, 1.0), ("b", -1.0, 1.0), ("c", float("inf"), 1.0), ("d", 1.0, float("nan")), ("e", 0.0, 1.0), (None, 1.0, 1.0)], "k string, xg_total double, goals_total double")
+    assert {r["k"] for r in rates.rate_posterior(odd, "k").collect()} == {None} == {r["k"] for r in rates.posterior_summary(odd, "k").collect()}
+    assert {r["k"]: r["reason"] for r in rates.quality(odd, "k").collect()} == {"a": "missing_sum", "b": "negative_sum", "c": "infinite_sum", "d": "infinite_sum", "e": "outcome_without_exposure"}
+
+
+def test_posterior_keeps_the_columns_without_a_join(spark):
+    log = spark.createDataFrame([(1, 0.5, 1, "x"), (1, 0.2, 0, "x"), (2, 0.1, 0, None)], "k int, exposure double, outcome int, name string")
+    features = events.shot_features(log, "k", "name")
+    rated = rates.rated(features, "k")
+    said = rated._jdf.queryExecution().executedPlan().toString()
+    assert said.count("Exchange") == 1 and "Join" not in said and "Window" not in said
+    assert rated.columns[: len(features.columns)] == features.columns and {r["name"] for r in rated.collect()} == {"x", None}
+
+
+def test_rounding_and_sums_of_any_values(spark):
+    values = [1.005, 0.185, -2.5, 9.3e16, 1e300, float("inf"), float("-inf"), float("nan"), None, 1e-12, 2.0**53]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = {r["i"]: r["r"] for r in rows.select("i", rounded(F.col("v"), 4).alias("r")).collect()}
+    assert [got[i] for i in (0, 1, 2, 3, 4, 5, 6, 8, 9, 10)] == [1.005, 0.185, -2.5, 9.3e16, 1e300, float("inf"), float("-inf"), None, 0.0, 2.0**53] and got[7] != got[7]
+
+    def total(*v):
+        return spark.createDataFrame([(x,) for x in v], "v double").agg(exact_sum(F.col("v")).alias("s")).first()["s"]
+
+    assert total(0.1, 0.2, None) == pytest.approx(0.3, abs=1e-16) and total(None) == 0.0
+    assert total(1e20, 0.5) == 1e20 and total(1e300, 1.0, -1e300) == 1.0 and total(1.0, float("inf")) == float("inf")
+    assert total(1.0, float("nan")) != total(1.0, float("nan"))
+
+
+def test_tail_profile_of_large_small_and_infinite_values(spark):
+    inf = float("inf")
+    groups = {"big": [1e20, 2e20, 4e20, 5e20], "huge": [-1e308, 1e308, 0.0], "tiny": [1e-12 * k for k in (1, 2, 4, 9)], "inf": [1.0, 2.0, 3.0, inf], "both": [-inf, 1.0, inf], "one": [inf], "nan": [float("nan"), 2.0]}
+    rows = spark.createDataFrame([(g, v) for g, x in groups.items() for v in x], "g string, v double")
+    got = {r["g"]: r for r in distributions.tail_profile(rows, "g", "v").collect()}
+    assert got["big"]["mean"] == pytest.approx(3e20) and got["big"]["stddev"] == pytest.approx(np.std(groups["big"], ddof=1)) and got["big"]["tail_mean"] == 1e20
+    x = np.array(groups["big"]) / 1e20
+    assert got["big"]["excess_kurtosis"] == pytest.approx(len(x) * ((x - x.mean()) ** 4).sum() / ((x - x.mean()) ** 2).sum() ** 2 - 3, abs=1e-4)
+    assert got["huge"]["mean"] == 0 and got["huge"]["stddev"] == pytest.approx(1e308) and got["huge"]["p05"] == pytest.approx(-9e307)
+    y = np.array([1, 2, 4, 9.0])
+    assert got["tiny"]["excess_kurtosis"] == pytest.approx(4 * ((y - y.mean()) ** 4).sum() / ((y - y.mean()) ** 2).sum() ** 2 - 3, abs=1e-4)
+    assert (got["inf"]["n"], got["inf"]["mean"], got["inf"]["stddev"], got["inf"]["excess_kurtosis"], got["inf"]["tail_mean"], got["inf"]["p95"]) == (4, inf, None, None, 1.0, inf)
+    assert got["both"]["n"] == 3 and got["both"]["mean"] != got["both"]["mean"] and got["both"]["stddev"] is None and got["both"]["tail_mean"] == -inf
+    assert got["one"]["mean"] == inf and got["one"]["p01"] == inf and (got["nan"]["n"], got["nan"]["mean"]) == (1, 2.0)
+
+
+def test_lattice_equals_all_sets(spark):
+    """Each of the 32 sets against a filter of all rows; the plan repeats no row."""
+    rng = random.Random(11)
+    made = [(i, rng.choice([None, -3.0, 0.0, 2.5, 2.5, 7.0]), rng.randrange(9), rng.choice(["clinical_finisher", "x", None]), rng.choice([None, 0.5, 0.9]), rng.choice(["balanced_player", "y"])) for i in range(60)]
+    rows = spark.createDataFrame(made, "entity int, profit double, shots int, efficiency string, probability double, style string")
+    names = list(strategies.STRATEGIES)
+    passed = [lambda r: (r[1] or 0) > 0, lambda r: r[2] >= 5, lambda r: r[3] == "clinical_finisher", lambda r: (r[4] or 0) > 0.6, lambda r: r[5] == "balanced_player"]
+    best = {}
+    for mask in range(32):
+        of = [r for r in made if all(f(r) for i, f in enumerate(passed) if mask >> i & 1)]
+        if of:
+            best[mask] = (len(of), min(of, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])))
+    found = strategies.lattice(rows, "entity", keep=("style",))
+    assert {r["set"]: (r["n"], r["best"]["entity"], r["best"]["style"]) for r in found.collect()} == {m: (n, r[0], r[5]) for m, (n, r) in best.items()}
+    logical = found._jdf.queryExecution().optimizedPlan().toString()
+    assert logical.count("Generate") == 1 and logical.index("Generate") < logical.rindex("Aggregate")
+    asked = spark.createDataFrame([(m, [names[i] for i in range(5) if m >> i & 1]) for m in range(32)], "i int, strategies array<string>")
+    answers = {r["i"]: r for r in strategies.recommended(asked, rows, "entity", keep=("style",)).collect()}
+    relaxed = {r["i"]: r for r in strategies.relaxed_requests(asked, rows, "entity", dropped=("rentable", "low_risk")).collect()}
+    for m in range(32):
+        n, r = best.get(m, best[0])
+        assert (answers[m]["entity"], answers[m]["profit"], answers[m]["fallback"], answers[m]["style"]) == (r[0], r[1], m not in best, r[5])
+        level, left = next((k, s) for k, s in enumerate((m, m & ~1, m & ~9, 0)) if s in best)
+        assert (relaxed[m]["level"], relaxed[m]["n"], relaxed[m]["entity"]) == (level, best[left][0], best[left][1][0]) and relaxed[m]["strategies_left"] == [names[i] for i in range(5) if left >> i & 1]
+    none = {tuple(r)[2:] for r in strategies.relaxed_requests(asked, rows.limit(0), "entity").collect()}
+    assert none == {(None,) * 5}
+    assert {(r["entity"], r["fallback"]) for r in strategies.recommended(asked, rows.limit(0), "entity").collect()} == {(None, True)}
+
+
+def test_places_and_neighbours_equal_brute_force(spark):
+    frame, rows = _uneven(spark)
+    frame = frame.where("v IS NOT NULL AND g IS NOT NULL")
+    rows = sorted((r for r in rows if r[1] is not None and r[0] is not None), key=lambda r: (-r[1], r[2]))
+    placed = ranking.placed(frame, "k", "g", "v")
+    got = {r["k"]: (r["place"], r["rank"]) for r in placed.collect()}
+    seen = {}
+    for place, (g, _, k) in enumerate(rows, 1):
+        seen[g] = seen.get(g, 0) + 1
+        assert got[k] == (place, seen[g])
+    pairs = {(r["a"], r["b"], r["v_a"], r["v_b"]) for r in ranking.neighbours(placed, "k", ["v"]).collect()}
+    assert pairs == {(x[2], y[2], x[1], y[1]) for x, y in zip(rows, rows[1:], strict=False)}
+    assert ranking.neighbours(placed, "k", [], n=10).count() == 9 and ranking.neighbours(placed.limit(0), "k", []).count() == 0
