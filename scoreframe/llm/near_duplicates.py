@@ -8,12 +8,12 @@ probability. Documents that agree in all coordinates of a band meet in a bucket.
 
 Equal texts are collapsed first. In a bucket everyone is compared with one centre
 (who meets most others in all bands), which settles buckets of one class and those
-where only the centre is of another. Texts that meet in the other buckets without
-having been compared, and are of different classes, get signatures with longer
-bands, more of them the more such texts there are: texts that are half alike, such
-as those made of common sentences, then rarely meet, and alike ones still do. Pairs
-whose signatures agree in too few coordinates are dropped unread; each kept link is
-verified on whole texts.
+where only the centre is of another. Of the texts that meet in the other buckets,
+those that share one of their rarest shingles are compared, an exact filter. Where
+many texts share it, such as texts made of common sentences, they get signatures
+with longer bands, more of them the more such texts there are: texts that are half
+alike then rarely meet, and alike ones still do. Pairs whose signatures agree in too
+few coordinates are dropped unread; each kept link is verified on whole texts.
 """
 
 from __future__ import annotations
@@ -32,10 +32,14 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 48 bands of 6 coordinates: a pair of similarity 0.8 is missed with probability 5e-7.
 BANDS, BAND_ROWS = 48, 6
+#: Cells in which shingles are counted for their order, and rows that they are sent in. A count stops at MOST_COUNT.
+CELLS, SLICES, MOST_COUNT = 1 << 22, 64, (1 << 16) - 1
+#: Texts that meet in pairs by a shingle; where more have it, longer bands find the alike ones.
+FEW = 16
 #: A pair of similarity 0.8 is missed by the longer bands with a probability of e to the minus this.
 SHARP_MISS = 14.5
-#: Share of coordinates that agree, below which a pair isn't read: 6.4 standard deviations under that of similarity 0.8.
-LEAST_AGREED = 0.65
+#: Share of coordinates that agree, below which a pair isn't read: 5 standard deviations under that of similarity 0.8.
+LEAST_AGREED = 0.68
 #: Darts that are held at a time, about.
 DARTS = 4_000_000
 _SECOND_SEED = 0x3C6EF372FE94F82B
@@ -218,6 +222,76 @@ def _sizes_allow(a, b):
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b) - 1e-6
 
 
+def _each(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of each shingle, its second, third .. copy in a row having a hash of its own; and each row's number of shingles."""
+    row, element, count = shingles(data, offsets)
+    nth = ragged.ragged_index(np.zeros(len(row), np.int64), count).astype(np.uint64)
+    row, element = np.repeat(row, count), ragged.mix(np.repeat(element, count) + ragged.GOLD * nth)
+    return row, element, np.bincount(row, minlength=len(offsets) - 1).astype(np.int64)
+
+
+def _cell(element: np.ndarray) -> np.ndarray:
+    return (element & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def _shingle_counts(texts: DataFrame) -> np.ndarray:
+    """How many shingles of all ``texts`` fall into each cell: a fixed number of cells, so it can go to all tasks."""
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(0)
+            for i, j in ragged.row_slices(ragged.text_bytes(column)[1], 4 * CHUNK_BYTES):
+                _, element, _ = _each(*ragged.text_bytes(column.slice(i, j - i)))
+                cells, counts = np.unique(_cell(element), return_counts=True)
+                slices = cells // (CELLS // SLICES)
+                parts = ragged.runs(slices)
+                counts = np.minimum(counts, MOST_COUNT).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.array([int(slices[a]) for a, _ in parts], pa.int64()), *(ragged.binary_column([x[a:b] for a, b in parts]) for x in (cells.astype(np.uint32), counts))], ["slice", "cells", "counts"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        total, first = np.zeros(CELLS // SLICES, np.int64), table["slice"][0].as_py()
+        for cells, counts in zip(table["cells"].to_pylist(), table["counts"].to_pylist(), strict=True):
+            total[np.frombuffer(cells, np.uint32) - first * (CELLS // SLICES)] += np.frombuffer(counts, np.uint16)
+        return pa.table({"slice": [first], "counts": ragged.binary_column([np.minimum(total, MOST_COUNT).astype(np.uint16)])})
+
+    # SLICES rows of 2 * CELLS / SLICES bytes come to the driver, whatever the number of texts.
+    sums = texts.select("text").mapInArrow(run, "slice long, cells binary, counts binary").groupBy("slice").applyInArrow(summed, "slice long, counts binary")
+    out = np.zeros(CELLS, np.uint16)
+    for r in sums.collect():
+        out[r["slice"] * (CELLS // SLICES) : (r["slice"] + 1) * (CELLS // SLICES)] = np.frombuffer(r["counts"], np.uint16)
+    return out
+
+
+def _rare_shingles(texts: DataFrame) -> DataFrame:
+    """Of ``texts`` (id, text, label): (shingle, id, label, size, place, lead) for each text's rarest shingles; exact, two texts that are alike enough share one.
+
+    Shingles are ordered by the count of their cell, then by hash; any one order for
+    all texts gives whole results, a good one only saves work. Texts with similarity
+    s or more share s of the larger one's shingles at least, so they share one of
+    the first size - ceil(s * size) + 1 of each, and of the smaller one even of its
+    first size - ceil(2 s / (1 + s) * size) + 1: there it leads. A passage that many
+    texts have in common stands last in that order and brings nobody together. A
+    shingle alone in its cell is in no other text and isn't sent.
+    """
+    counts = _shingle_counts(texts)
+
+    def run(batches):
+        for batch in batches:
+            ids, labels, column = np.asarray(batch.column(0)), np.asarray(batch.column(2)), batch.column(1)
+            for i, j in ragged.row_slices(ragged.text_bytes(column)[1], CHUNK_BYTES):
+                row, element, size = _each(*ragged.text_bytes(column.slice(i, j - i)))
+                count = counts[_cell(element)]
+                order = np.lexsort((element, count, row))
+                row, element, count = row[order], element[order], count[order]
+                place = np.arange(len(row)) - np.searchsorted(row, np.arange(j - i))[row] + 1
+                first, leads = (size - np.ceil(size * share - 1e-6).astype(np.int64) + 1 for share in (SIMILARITY, 2 * SIMILARITY / (1 + SIMILARITY)))
+                sent = np.flatnonzero((place <= first[row]) & (count > 1))
+                row, place = row[sent], place[sent]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (element[sent].view(np.int64), ids[i:j][row], labels[i:j][row], size[row], place.astype(np.int64), place <= leads[row])], ["shingle", "id", "label", "size", "place", "lead"])
+
+    return texts.select("id", "text", "label").mapInArrow(run, "shingle long, id long, label long, size long, place long, lead boolean")
+
+
 def sharper(texts: int) -> tuple[int, int]:
     """Bands, and coordinates in each, for so many texts: a doubling of the texts makes the bands one coordinate longer.
 
@@ -247,21 +321,40 @@ def _sharp_buckets(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     return texts.select("id", "text", "label").mapInArrow(run, "id long, label long, size long, buckets array<long>")
 
 
-def _crossing_pairs(texts: DataFrame, number: int) -> DataFrame:
-    """Pairs (a, b) of different classes among the ``texts`` (id, text, label), ``number`` of them, that meet in longer bands.
+def _meeting_pairs(met: DataFrame, at: str, alike=None) -> DataFrame:
+    """Pairs (a, b) of ``met`` (``at``, id, label, size, largest) of different classes: those outside the largest class at a place meet everyone of another class there."""
+    outside = met.where("label <> largest").select(*(F.col(c).alias(f"__{c}") for c in met.columns))
+    meet = (F.col(at) == F.col(f"__{at}")) & (F.col("label") != F.col("__label")) & _sizes_allow(F.col("size"), F.col("__size"))
+    return met.join(outside, meet if alike is None else meet & alike).select(F.least("id", "__id").alias("a"), F.greatest("id", "__id").alias("b")).distinct()
+
+
+def _mixed(rows: DataFrame, at: str) -> DataFrame:
+    """Of ``rows`` (``at``, label), the places of more than one class: their number of rows (held) and their largest class."""
+    by_class = rows.groupBy(at, "label").agg(F.count(F.lit(1)).alias("n"))
+    return by_class.groupBy(F.col(at).alias("__at")).agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("classes"), F.sum("n").alias("held")).where("classes > 1").drop("classes")
+
+
+def _crossing_pairs(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes among the ``texts`` (id, text, label) that may be alike enough: all that are, and few others.
 
-    In a bucket, those outside its largest class meet everyone of another class, so
-    members of one large class don't meet each other.
+    Alike texts share one of their rarest shingles. Where it is in ``FEW`` texts at
+    most, these meet in pairs. Texts that have a rarest shingle that more of them
+    have meet by longer bands, so a passage or sentence of many texts brings no crowd together.
     """
-    sharp = shared.written(_sharp_buckets(texts, *sharper(number)), "sharp")
-    dealt = sharp.select(F.explode("buckets").alias("bucket"), "id", "label", "size")
-    by_class = dealt.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = by_class.groupBy(F.col("bucket").alias("__bucket")).agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    mixed = shared.written(dealt.join(largest, F.col("bucket") == F.col("__bucket")).drop("__bucket", "classes"), "mixed")
-    outside = mixed.where("label <> largest").select(F.col("bucket").alias("__bucket"), *(F.col(c).alias(f"__{c}") for c in ("id", "label", "size")))
-    meet = (F.col("bucket") == F.col("__bucket")) & (F.col("label") != F.col("__label")) & _sizes_allow(F.col("size"), F.col("__size"))
-    pairs = shared.written(mixed.join(outside, meet).select(F.least("id", "__id").alias("a"), F.greatest("id", "__id").alias("b")).distinct(), "crossing")
-    shared.discard(sharp, mixed)
+    sent = shared.written(_rare_shingles(texts), "rare-shingles")
+    mixed = shared.written(sent.join(_mixed(sent, "shingle"), F.col("shingle") == F.col("__at")).drop("__at"), "mixed-shingles")
+    # What two texts can still have in common from their first common shingle on must do for the similarity.
+    enough = 1 + F.least(F.col("size") - F.col("place"), F.col("__size") - F.col("__place")) >= SIMILARITY / (1 + SIMILARITY) * (F.col("size") + F.col("__size")) - 1e-6
+    leads = (F.col("lead") & (F.col("size") <= F.col("__size"))) | (F.col("__lead") & (F.col("__size") <= F.col("size")))
+    few = _meeting_pairs(mixed.where(F.col("held") <= FEW), "shingle", leads & enough)
+    # Those whose first common shingle many have: it stands at ``place`` or behind.
+    crowd = shared.written(mixed.where(F.col("held") > FEW).groupBy(F.col("id").alias("__id")).agg(F.min("place").alias("place")), "crowd")
+    sharp = _sharp_buckets(texts.join(crowd, F.col("id") == F.col("__id"), "left_semi"), *sharper(crowd.count()))
+    sharp = shared.written(sharp.join(crowd, F.col("id") == F.col("__id")).drop("__id"), "sharp")
+    dealt = sharp.select(F.explode("buckets").alias("bucket"), "id", "label", "size", "place")
+    met = shared.written(dealt.join(_mixed(dealt, "bucket"), F.col("bucket") == F.col("__at")).drop("__at", "held"), "met-again")
+    pairs = shared.written(few.union(_meeting_pairs(met, "bucket", enough)).distinct(), "crossing")
+    shared.discard(sent, mixed, crowd, sharp, met)
     return pairs
 
 
@@ -307,7 +400,7 @@ def duplicate_classes(docs: DataFrame, key: str = "doc_id", text: str = "text")
     classed = starred.join(labels.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").select("bucket", "id", label.alias("label"))
     open_buckets = classed.groupBy(F.col("bucket").alias("__bucket")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     unsettled = shared.written(classed.join(open_buckets, F.col("bucket") == F.col("__bucket"), "left_semi").select(F.col("id").alias("__id"), "label").distinct(), "unsettled")
-    crossing = _crossing_pairs(texts.join(unsettled, F.col("id") == F.col("__id")).select("id", "text", "label"), unsettled.count())
+    crossing = _crossing_pairs(texts.join(unsettled, F.col("id") == F.col("__id")).select("id", "text", "label"))
     more = shared.written(verified(hopeful(crossing.join(pairs, ["a", "b"], "left_anti"), marks), texts), "links")
     if not more.isEmpty():
         first, labels = labels, components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).where("a <> b").union(more))

@@ -118,7 +118,7 @@ def test_near_duplicates_of_low_entropy(spark):
     assert [r[:2] for r in got] == [*((i, i) for i in range(len(ALIKE))), (7, 7), (100, 0)][:7] + [(7, 7), (7, 7), (100, 0)]
 
 
-def test_longer_bands_lose_no_pair(spark):
+def test_longer_bands_lose_no_pair(spark, monkeypatch):
     """Whatever the classes so far, all alike pairs of different classes meet in the longer bands and pass the filter of signatures."""
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
@@ -136,8 +136,10 @@ def test_longer_bands_lose_no_pair(spark):
     texts = shared.written(spark.createDataFrame([(i, t, labels[i]) for i, t in enumerate(rows)], "id long, text string, label long").repartition(5), "texts")
     want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if labels[i] != labels[j] and alike(sets[i], sets[j]) >= 0.8}
     marks = near_duplicates.sketches(texts.select("id", "text")).select("id", "marks")
-    for number in (len(rows), 30_000):  # as many bands as so many texts get
-        crossing = near_duplicates._crossing_pairs(texts, number)
+    for few, number in ((16, len(rows)), (1, len(rows)), (0, 30_000)):  # by shingles and bands, and by as many bands as so many texts get
+        monkeypatch.setattr(near_duplicates, "FEW", few)
+        monkeypatch.setattr(near_duplicates, "sharper", lambda _, of=near_duplicates.sharper, n=number: of(n))
+        crossing = near_duplicates._crossing_pairs(texts)
         got = {tuple(r) for r in crossing.collect()}
         kept = {tuple(r) for r in near_duplicates.hopeful(crossing, marks).collect()}
         assert want and want <= kept <= got and all(alike(sets[i], sets[j]) > 0.5 for i, j in kept)
