@@ -159,7 +159,9 @@ class _Shard:
 
     @staticmethod
     def _matrix(rows: pa.Table) -> np.ndarray:
-        return pc.list_flatten(rows["v"]).to_numpy().reshape(len(rows), -1)
+        """The vectors, each by a power of two so that its largest component is between 0.5 and 1: cosines stay, and no square overflows or vanishes."""
+        x = pc.list_flatten(rows["v"]).to_numpy().reshape(len(rows), -1)
+        return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
     def answers(self, asks: pa.Table, k: int) -> pa.RecordBatch:
         q, names, out = self._matrix(asks), asks["query"].to_pylist(), ([], [], [])
@@ -182,8 +184,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
     length than the query's. Nearest first, by cosine, ties to the smaller key.
     Vectors null, empty, zero, or with a null or non-finite component take no part,
     nor do rows without a key; rows with one key and one vector count once. Fewer
-    candidates than ``k`` are all returned; an empty table gives no rows. Other
-    columns aren't read. ``shard_rows`` sets the rows of a shard.
+    candidates than ``k`` are all returned; an empty table gives no rows. Components
+    may be of any size that a double has. Other columns aren't read. ``shard_rows`` sets the rows of a shard.
     """
     good = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & _valid("v"))
     asked = queries.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & _valid("v")).distinct()

@@ -30,6 +30,8 @@ from scoreframe.llm import ragged, shared
 CHUNK_BYTES = 2 << 20
 #: Distinct pieces given to the library in one text: each begins with white space, so they stay apart.
 JOINED = 200
+#: Bytes of text that a file holds the ids of, about.
+FILE_TEXT_BYTES = 64 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Unicode white space outside ASCII.
@@ -137,10 +139,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Writes the token files of all ``docs`` under ``path``, in ascending order of ``key``.
 
     A null text counts as empty and has the end id only; rows without a key come
-    first; rows with equal keys are all kept, in the order of their texts.
-    Columns other than the key and the text aren't read.
+    first; rows with equal keys, or none, are all kept, in the order of a hash of
+    their texts, and so are spread over files however many they are. The number of
+    files follows the bytes of the texts. Columns other than the key and the text aren't read.
     """
-    ordered = docs.select(F.col(key), F.col(text).alias("__text")).repartitionByRange(F.col(key)).sortWithinPartitions(key, "__text")
+    source = docs.select(F.col(key), F.col(text).alias("__text"))
+    files = max(docs.sparkSession.sparkContext.defaultParallelism, -(-(source.agg(F.sum(F.octet_length("__text"))).first()[0] or 0) // FILE_TEXT_BYTES))
+    ranged = source.withColumns({"__hash": F.xxhash64("__text"), "__row": F.monotonically_increasing_id()})
+    ordered = ranged.repartitionByRange(files, key, "__hash", "__row").sortWithinPartitions(key, "__hash", "__row").select(key, "__text")
     schema = T.StructType([docs.schema[key], *(T.StructField(n, T.LongType()) for n in ("part", "part_start", "n_tokens")), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +63,23 @@ def test_byte_level_pieces_equal_library():
     assert [flat[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)] == [w + [2] for w in want]
 
 
+def test_token_files_without_keys(spark, tmp_path, monkeypatch):
+    """Rows without a key, of one key, and equal ones are spread over files; clashing columns aren't read."""
+    monkeypatch.setattr(token_files, "FILE_TEXT_BYTES", 4000)
+    rows = [(None, f"text {i} of many") for i in range(900)] + [(5, "same")] * 700 + [(9, "last")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS part", "1 AS n_tokens", "'y' AS ids", "'z' AS __hash").repartition(4)
+    path = f"file://{tmp_path}/files"
+    got = token_files.token_file_report(docs, BYTES, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 900 + [5] * 700 + [9]
+    ends = np.cumsum([r["n_tokens"] for r in got])
+    assert [r["start"] for r in got] == [0, *ends[:-1].tolist()]
+    sizes = [r["n"] for r in token_files.read_token_files(spark, path).groupBy("part").count().withColumnRenamed("count", "n").collect()]
+    assert len(sizes) >= 4 and max(sizes) < 1000
+    table = token_files.byte_level_table(BYTES)
+    want = Counter(zlib.crc32(np.array(table.tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes()) for _, t in rows)
+    assert Counter(r["ids_crc32"] for r in got) == want
+
+
 @pytest.mark.parametrize("n", [0, 300])
 def test_token_files(spark, tmp_path, n):
     rng, table = random.Random(5), token_files.byte_level_table(BYTES)

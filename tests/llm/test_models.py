@@ -168,6 +168,26 @@ def test_neighbour_edges(spark):
     assert nearest_neighbours.nearest(vectors.limit(0), vectors).count() == 0
 
 
+def test_neighbours_of_any_size(spark):
+    """Very small and very large vectors, and ones of both kinds of component, change neither recall nor scores."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 16))
+    scale = np.ones(600)
+    scale[[7, 100]], scale[[8, 150]], scale[[9, 200]] = 1e-170, 1e200, 5e-324 * 2**40
+    rows = [(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(x, scale, strict=True))] + [(600, [1e300] * 8 + [1e-300] * 8), (650, [1e-310] * 16)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = nearest_neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0")).collect()
+    unit = {i: np.array(v) / np.abs(v).max() for i, v in rows}
+    unit = {i: v / np.sqrt(v @ v) for i, v in unit.items()}
+    hits, queries = 0, [i for i in unit if i % 50 == 0]
+    for q in queries:
+        cosine = {i: float(v @ unit[q]) for i, v in unit.items() if i != q}
+        mine = [(r["vec_id"], r["score"]) for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
+        assert len(mine) == 5 and all(s == pytest.approx(cosine[i], abs=1e-9) for i, s in mine)
+        hits += len({i for i, _ in mine} & set(sorted(cosine, key=lambda i: (-cosine[i], i))[:5]))
+    assert hits >= 0.95 * 5 * len(queries)
+
+
 def test_neighbours_of_each_length(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=(4, 6, 3)[i % 3] if i != 60 else 6).tolist()) for i in range(120)]
