@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from scoreframe.functions.numbers import exact_sum, filled, ratio, rounded
 
+#: What styles and efficiencies are called.
+STYLES = ("high_volume_attacker", "low_volume_player", "balanced_player")
+EFFICIENCIES = ("clinical_finisher", "underperforming", "average_finisher")
 COUNTERS = ("assists", "key_passes", "progressive_passes", "pressures", "tackles", "interceptions", "dribbles")
 #: Per-90 names of the ten metrics.
 METRICS = {"shots": "shots_per90", "xg_total": "xg_per90", "goals_total": "goals_per90", **{c: f"{c}_per90" for c in COUNTERS}}

@@ -100,15 +100,16 @@ SQUAD_BOUNDS = {"conversion": 0.33, "offensive": 4, "xg": 8000.0}
 
 
 def squad_board(spark: SparkSession, folder: str) -> DataFrame:
-    """Each squad's totals, mean probability and profit of its players, gaps and needs."""
+    """Each squad's totals, mean probability and profit of its players, how many are worth their cost, how many of each style and efficiency, gaps and needs."""
     players = supplier_players(spark, folder)
     profit = rates.expected_profit(F.col("mean_rate"), F.col("xg_total"), F.lit(15.0))
-    rated = rates.rated(players, "entity").withColumn("profit", profit)
+    rated = rates.rated(players, "entity").withColumns({"profit": profit, "style": events.style(), "efficiency": events.efficiency()})
+    kinds = {**{f"n_{x}": F.col("style") == x for x in events.STYLES}, **{f"n_{x}": F.col("efficiency") == x for x in events.EFFICIENCIES}, "n_recruit": rates.decision(F.col("profit")) == "recruit"}
     report = squad.totals(rated, "away")
-    extra = rated.groupBy(F.col("away").alias("__away")).agg(F.count(F.lit(1)).alias("players"), rounded(exact_sum(F.col("probability")) / F.count(F.lit(1)), 4).alias("mean_probability"), exact_sum(F.col("profit"), 2).alias("squad_profit"))
+    extra = rated.groupBy(F.col("away").alias("__away")).agg(F.count(F.lit(1)).alias("players"), rounded(exact_sum(F.col("probability")) / F.count(F.lit(1)), 4).alias("mean_probability"), exact_sum(F.col("profit"), 2).alias("squad_profit"), *(F.count_if(test).alias(n) for n, test in kinds.items()))
     gaps = squad.needs(squad.weaknesses(report, "away", **SQUAD_BOUNDS))
     listed = gaps.groupBy(F.col("away").alias("__gap")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position_no", "weakness", "priority", "position"))), lambda s: F.concat_ws(":", s["weakness"], s["priority"], s["position"])), "|").alias("needs"))
-    return report.join(extra, F.col("away") == F.col("__away")).join(listed, F.col("away") == F.col("__gap"), "left").select("away", "team_xg", "team_goals", "team_shots", "conversion_rate", "offensive_players", "players", "mean_probability", "squad_profit", F.coalesce("needs", F.lit("")).alias("needs"))
+    return report.join(extra, F.col("away") == F.col("__away")).join(listed, F.col("away") == F.col("__gap"), "left").select("away", "team_xg", "team_goals", "team_shots", "conversion_rate", "offensive_players", "players", "mean_probability", "squad_profit", *kinds, F.coalesce("needs", F.lit("")).alias("needs"))
 
 
 def asked_requests(spark: SparkSession, folder: str) -> DataFrame:

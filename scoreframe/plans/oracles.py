@@ -323,9 +323,12 @@ SELECT event_type, count(*) AS n, {_r("max(m)", 4)} AS mean, {_r("sqrt(sum((valu
 FROM base JOIN points USING (event_type) GROUP BY event_type""",
     "candidate_board": _with(SCORED, "SELECT player, tactical_fit_score, tactical_fit_level, market_score, market_level, transfer_score, transfer_level, transfer_risk, " + ", ".join(f"{s} AS {n}_score, {_LEVEL.format(s)} AS {n}_level" for n, (s, _) in _SCENARIOS.items()) + " FROM scored"),
     "squad_board": _with(f"{SQUADS}, {_posterior('rated', 'members', 'entity')}", f""", extra AS (
-  SELECT away, count(*) AS players, {_r("sum(probability::DECIMAL(18,4))::DOUBLE / count(*)", 4)} AS mean_probability, sum({_r("mean_rate * xg_total * 10 - 15")}::DECIMAL(18,2))::DOUBLE AS squad_profit FROM members JOIN rated USING (entity) GROUP BY away
+  SELECT away, count(*) AS players, {_r("sum(probability::DECIMAL(18,4))::DOUBLE / count(*)", 4)} AS mean_probability, sum({_r("mean_rate * xg_total * 10 - 15")}::DECIMAL(18,2))::DOUBLE AS squad_profit,
+    {", ".join(f"count(*) FILTER (WHERE style = '{x}') AS n_{x}" for x in ("high_volume_attacker", "low_volume_player", "balanced_player"))}, {", ".join(f"count(*) FILTER (WHERE efficiency = '{x}') AS n_{x}" for x in ("clinical_finisher", "underperforming", "average_finisher"))},
+    count(*) FILTER (WHERE {_r("mean_rate * xg_total * 10 - 15")} > 0) AS n_recruit
+  FROM (SELECT *, {STYLE} AS style, {EFFICIENCY} AS efficiency FROM (SELECT *, goals_total / shots::DOUBLE AS conversion_rate FROM members) JOIN rated USING (entity)) GROUP BY away
 ), listed AS (SELECT away, string_agg(weakness || ':' || priority || ':' || position, '|' ORDER BY position_no) AS needs FROM gaps JOIN needs USING (weakness) GROUP BY away)
-SELECT r.*, players, mean_probability, squad_profit, coalesce(l.needs, '') AS needs FROM report r JOIN extra USING (away) LEFT JOIN listed l USING (away)"""),
+SELECT r.*, extra.* EXCLUDE (away), coalesce(l.needs, '') AS needs FROM report r JOIN extra USING (away) LEFT JOIN listed l USING (away)"""),
     "request_board": _with(ANSWERED, f"SELECT conv_id, turn, strategies, a.entity, a.profit, fallback, style, efficiency, probability, decision, response FROM (SELECT *, {_RESPONSE} AS response FROM answered) a LEFT JOIN players p ON a.entity = p.entity"),
     **{f"scenario_{n}": _with(SCORED, f"SELECT player, {s} AS {n}_score, {_LEVEL.format(s)} AS {n}_level, {r} AS {n}_reasons FROM scored") for n, (s, r) in _SCENARIOS.items()},
 }
