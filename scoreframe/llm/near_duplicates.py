@@ -302,7 +302,10 @@ def sharper(texts: int) -> tuple[int, int]:
 
 
 def _sharp_buckets(texts: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Of ``texts`` (id, text, label): id, label, number of shingles and the buckets of so many bands of so many coordinates."""
+    """Of ``texts`` (id, text, label, place): a row for each of so many bands of so many coordinates, with its bucket, id, label, number of shingles (size) and place.
+
+    Texts are dealt evenly over the tasks first, since each costs many bands.
+    """
     size = bands * rows
     most = max(1, int(DARTS / (size * (math.log(size) + 2))))
 
@@ -316,9 +319,11 @@ def _sharp_buckets(texts: DataFrame, bands: int, rows: int) -> DataFrame:
                     keys = band_keys(dart_signatures(row, element, count.astype(np.float64), n, size), bands, rows)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(keys.ravel()))
                     words = pa.array(np.bincount(row, count, n).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(2).slice(i, n), words, lists], ["id", "label", "size", "buckets"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), batch.column(2).slice(i, n), words, batch.column(3).slice(i, n), lists], ["id", "label", "size", "place", "buckets"])
 
-    return texts.select("id", "text", "label").mapInArrow(run, "id long, label long, size long, buckets array<long>")
+    dealt = texts.select("id", "text", "label", "place").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    signed = dealt.mapInArrow(run, "id long, label long, size long, place long, buckets array<long>")
+    return signed.select(F.explode("buckets").alias("bucket"), "id", "label", "size", "place")
 
 
 def _meeting_pairs(met: DataFrame, at: str, alike=None) -> DataFrame:
@@ -349,10 +354,8 @@ def _crossing_pairs(texts: DataFrame) -> DataFrame:
     few = _meeting_pairs(mixed.where(F.col("held") <= FEW), "shingle", leads & enough)
     # Those whose first common shingle many have: it stands at ``place`` or behind.
     crowd = shared.written(mixed.where(F.col("held") > FEW).groupBy(F.col("id").alias("__id")).agg(F.min("place").alias("place")), "crowd")
-    sharp = _sharp_buckets(texts.join(crowd, F.col("id") == F.col("__id"), "left_semi"), *sharper(crowd.count()))
-    sharp = shared.written(sharp.join(crowd, F.col("id") == F.col("__id")).drop("__id"), "sharp")
-    dealt = sharp.select(F.explode("buckets").alias("bucket"), "id", "label", "size", "place")
-    met = shared.written(dealt.join(_mixed(dealt, "bucket"), F.col("bucket") == F.col("__at")).drop("__at", "held"), "met-again")
+    sharp = shared.written(_sharp_buckets(texts.join(crowd, F.col("id") == F.col("__id")), *sharper(crowd.count())), "sharp")
+    met = shared.written(sharp.join(_mixed(sharp, "bucket"), F.col("bucket") == F.col("__at")).drop("__at", "held"), "met-again")
     pairs = shared.written(few.union(_meeting_pairs(met, "bucket", enough)).distinct(), "crossing")
     shared.discard(sent, mixed, crowd, sharp, met)
     return pairs
