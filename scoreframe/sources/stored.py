@@ -55,7 +55,8 @@ def stored(spark: SparkSession, name: str, of: str, make: Callable[[], DataFrame
         rows, place = make(), _location(spark, table)
         if place is None:
             return rows
-        writer = (clustered(rows, partition) if partition else rows).write
+        # Rows of a bucket come together before they are written, so there are few files; a hot one's are split over tasks.
+        writer = (clustered(rows, partition) if partition else rows.hint("rebalance", F.col(buckets[1])) if buckets else rows).write
         if partition:
             writer = writer.partitionBy(*partition)
         if buckets:

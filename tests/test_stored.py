@@ -78,6 +78,7 @@ def test_stored_events_are_not_moved(spark):
     try:
         found = events.in_matches(log, wanted)
         assert plan(found).count("Exchange") == 1  # of the list
+        assert len({r["f"] for r in log.select(F.input_file_name().alias("f")).distinct().collect()}) <= 8
         assert found.count() == log.where("match_id % 7 = 0 AND match_id < 2800").count() > 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
