@@ -178,6 +178,18 @@ def test_near_duplicate_edges(odd):
     assert near_duplicates.one_of_each(odd).count() == 8
 
 
+def test_columns_of_clashing_names(odd):
+    """Columns named as those that the operators make change no result."""
+    plain = lambda rows, names: sorted((tuple(r[n] for n in names) for r in rows.collect()), key=str)
+    near = odd.selectExpr("*", *(f"'x' AS {n}" for n in ("id", "h1", "n_shingles", "buckets", "marks", "label", "rep", "n", "place", "size", "class_id", "class_size", "n_links", "__id")))
+    names = ["doc_id", "class_id", "class_size", "n_links"]
+    assert plain(near_duplicates.duplicate_classes(near), names) == plain(near_duplicates.duplicate_classes(odd), names)
+    assert near_duplicates.one_of_each(near).columns == near.columns and near_duplicates.one_of_each(near).count() == 8
+    judged = odd.selectExpr("*", *(f"'x' AS {n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "quality", "kept", "vote_length", "n")))
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert plain(quality_rules.judged(judged), names) == plain(quality_rules.judged(odd), names)
+
+
 def test_dart_signatures_estimate_similarity():
     a, b = "w " + " ".join(map(str, range(40))), "w " + " ".join(map(str, range(36))) + " x y z"
     data = ragged.text_bytes(pa.array([a, b]))
