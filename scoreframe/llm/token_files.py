@@ -31,7 +31,7 @@ CHUNK_BYTES = 2 << 20
 #: Distinct pieces given to the library in one text: each begins with white space, so they stay apart.
 JOINED = 200
 #: Bytes of text that a file holds the ids of, about.
-FILE_TEXT_BYTES = 64 << 20
+FILE_TEXT_BYTES = 16 << 20
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Unicode white space outside ASCII.
