@@ -23,9 +23,12 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +38,8 @@ from scoreframe.llm.url_filter import with_host_and_path
 
 #: Pages that must agree on a node's text, and different texts that its parent must have had, before it is template.
 SUPPORT = 3
-#: Children of two nodes are matched by dynamic programming up to so many pairs; beyond that by order among equals.
-MOST_PAIRS = 250_000
+#: Counts of matched nodes that are remembered at a time; one that went is computed again.
+REMEMBERED = 1 << 18
 #: Deeper elements count as children of this level.
 DEEPEST = 150
 #: Wrappers of all hosts that are sent to all tasks at most, in bytes; more meet the pages by a join.
@@ -225,12 +228,48 @@ def _tree(skeleton: str) -> tuple[list[str], list[list[int]], list[int]]:
     return signs, children, whole
 
 
+def _ordered_choice(gain: Callable[[int], np.ndarray], n: int, m: int, pairs: bool) -> tuple[int, list[tuple[int, int]]]:
+    """The largest sum of gains of an ordered choice of pairs of n rows and m columns, and if asked for the pairs.
+
+    ``gain`` gives a row's gains by column. Of the sums of all prefixes a row is held
+    at a time; the pairs are found from every ``step``-th row, between which rows are
+    computed again. So memory grows with the columns times the root of the rows.
+    """
+    step, best, kept = math.isqrt(n) + 1, np.zeros(m + 1, np.int32), []
+
+    def advance(best: np.ndarray, i: int) -> np.ndarray:
+        out = np.zeros(m + 1, np.int32)
+        np.maximum.accumulate(np.maximum(best[1:], best[:-1] + gain(i)), out=out[1:])
+        return out
+
+    for i in range(n):
+        if pairs and i % step == 0:
+            kept.append(best)
+        best = advance(best, i)
+    total, taken, j = int(best[-1]), [], m
+    for block in range(len(kept) - 1, -1, -1):
+        first, rows = block * step, [kept[block]]
+        for i in range(first, min(first + step, n)):
+            rows.append(advance(rows[-1], i))
+        for i in range(first + len(rows) - 2, first - 1, -1):
+            above, here, row = rows[i - first], rows[i - first + 1], gain(i)
+            # The last column up to j from which the row above has the same sum, or whose pair makes the sum.
+            while j and not (row[j - 1] and here[j] == above[j - 1] + row[j - 1]) and here[j] != above[j]:
+                j -= 1
+            if j and row[j - 1] and here[j] == above[j - 1] + row[j - 1]:
+                j -= 1
+                taken.append((i, j))
+    return total, taken
+
+
 def matched(skeleton: str, reference: str) -> list[int]:
     """The reference node that each node of ``skeleton`` is aligned with, -1 for none: simple tree matching.
 
     Two nodes match if their signatures are equal and their parents match; among the
-    children of both, the ordered choice that matches most nodes is taken. Equal
-    subtrees at both ends of two lists of children are matched first.
+    children of both, the ordered choice that matches most nodes is taken, whatever
+    their number. Equal subtrees at both ends of two lists of children are matched
+    first. Subtrees that are equal are compared once; time grows with the product of
+    two lists' lengths.
     """
     signs_a, kids_a, whole_a = _tree(skeleton)
     signs_b, kids_b, whole_b = _tree(reference)
@@ -238,53 +277,60 @@ def matched(skeleton: str, reference: str) -> list[int]:
     for node in range(len(signs_a) - 1, -1, -1):
         sizes[node] += sum(sizes[c] for c in kids_a[node])
 
-    def chosen(a: int, b: int) -> tuple[int, list[tuple[int, int]]]:
-        """Matched nodes of two subtrees, and the pairs of children taken."""
-        if signs_a[a] != signs_b[b]:
-            return 0, []
-        if (a, b) in memo:
-            return memo[a, b]
-        left, right, pairs = kids_a[a], kids_b[b], []
+    def chosen(a: int, b: int, pairs: bool) -> tuple[int, list[tuple[int, int]]]:
+        """Matched nodes below two nodes of one signature, these included, and if asked for the pairs of children taken."""
+        left, right, taken = kids_a[a], kids_b[b], []
         lo, hi_a, hi_b = 0, len(left), len(right)
         while lo < min(hi_a, hi_b) and whole_a[left[lo]] == whole_b[right[lo]]:
-            pairs.append((left[lo], right[lo]))
+            taken.append((left[lo], right[lo]))
             lo += 1
         while hi_a > lo and hi_b > lo and whole_a[left[hi_a - 1]] == whole_b[right[hi_b - 1]]:
             hi_a, hi_b = hi_a - 1, hi_b - 1
-            pairs.append((left[hi_a], right[hi_b]))
-        total = 1 + sum(sizes[x] for x, _ in pairs)
-        rows, columns = left[lo:hi_a], right[lo:hi_b]
-        if len(rows) * len(columns) > MOST_PAIRS:
-            waiting: dict[str, list[int]] = {}
-            for y in reversed(columns):
-                waiting.setdefault(signs_b[y], []).append(y)
-            more = [(x, waiting[signs_a[x]].pop()) for x in rows if waiting.get(signs_a[x])]
-            total += sum(chosen(x, y)[0] for x, y in more)
-            pairs += more
-        elif rows and columns:
-            gain = [[chosen(x, y)[0] for y in columns] for x in rows]
-            best = [[0] * (len(columns) + 1) for _ in range(len(rows) + 1)]
-            for i in range(1, len(rows) + 1):
-                for j in range(1, len(columns) + 1):
-                    best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + gain[i - 1][j - 1])
-            total += best[-1][-1]
-            i, j = len(rows), len(columns)
-            while i and j:
-                if gain[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + gain[i - 1][j - 1]:
-                    i, j = i - 1, j - 1
-                    pairs.append((rows[i], columns[j]))
-                elif best[i][j] == best[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
-        memo[a, b] = total, pairs
-        return memo[a, b]
+            taken.append((left[hi_a], right[hi_b]))
+        total = 1 + sum(sizes[x] for x, _ in taken)
+        columns = right[lo:hi_b]
+        # Columns by what is below them, and of each such kind one node, listed by its signature.
+        kinds = {whole_b[y]: y for y in columns}
+        number, named = {w: k for k, w in enumerate(kinds)}, {}
+        for k, y in enumerate(kinds.values()):
+            named.setdefault(signs_b[y], []).append((k, y))
+        rows = [x for x in left[lo:hi_a] if signs_a[x] in named]
+        if not rows:
+            return total, taken
+        column, held = np.array([number[whole_b[y]] for y in columns]), {}
+
+        def gain(i: int) -> np.ndarray:
+            if (row := held.get(whole_a[rows[i]])) is None:
+                row = np.zeros(len(kinds), np.int32)
+                for k, y in named[signs_a[rows[i]]]:
+                    row[k] = count(rows[i], y)
+                if len(held) * len(kinds) >= REMEMBERED:
+                    held.clear()
+                held[whole_a[rows[i]]] = row
+            return row[column]
+
+        more, places = _ordered_choice(gain, len(rows), len(columns), pairs)
+        return total + more, taken + [(rows[i], columns[j]) for i, j in places]
+
+    def count(a: int, b: int) -> int:
+        """Matched nodes of two subtrees whose nodes have one signature."""
+        if whole_a[a] == whole_b[b]:
+            return sizes[a]
+        if not (kids_a[a] and kids_b[b]):
+            return 1
+        key = (whole_a[a], whole_b[b])
+        if (known := memo.get(key)) is None:
+            known = chosen(a, b, False)[0]
+            if len(memo) >= REMEMBERED:
+                memo.clear()
+            memo[key] = known
+        return known
 
     todo = [(0, 0)] if signs_a[0] == signs_b[0] else []
     while todo:
         a, b = todo.pop()
         out[a] = b
-        todo += chosen(a, b)[1]
+        todo += chosen(a, b, True)[1]
     return out
 
 

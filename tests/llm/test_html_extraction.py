@@ -131,6 +131,23 @@ def test_tree_matching_equals_all_choices():
         assert sorted(x for x in to if x >= 0) == sorted({x for x in to if x >= 0}) and all(sign_a[i] == sign_b[x] for i, x in enumerate(to) if x >= 0)
 
 
+@pytest.mark.parametrize("n", [40, 501, 900])
+def test_tree_matching_is_ordered_at_any_size(n):
+    """Lists of children of any length are aligned by one rule: in order, and most nodes."""
+    rng = random.Random(n)
+    one, two = ([rng.choice("abc") for _ in range(n + k)] for k in (0, 7))
+    to = hx.matched("\n".join(["0 "] + [f"1 {s}" for s in one]), "\n".join(["0 "] + [f"1 {s}" for s in two]))
+    before = [0] * (len(two) + 1)
+    for x in one:
+        row = [0]
+        for j, y in enumerate(two, 1):
+            row.append(max(before[j], row[j - 1], before[j - 1] + (x == y)))
+        before = row
+    pairs = [(i, x) for i, x in enumerate(to[1:]) if x >= 0]
+    assert len(pairs) == before[-1] and all(one[i] == two[x - 1] for i, x in pairs)
+    assert all(x < y for (_, x), (_, y) in zip(pairs, pairs[1:], strict=False))
+
+
 def test_edges(spark):
     rows = [(1, "http://a.example/x", None, "t"), (1, "http://a.example/x", "", "t"), (None, "no host", "<p>x</p>", None), (2, None, "<p>y</p>" * 3, "u")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string").selectExpr("*", "'c' AS host", "'d' AS skeleton", "1 AS n_chars")
