@@ -16,6 +16,7 @@ added up by Spark, then sent to all tasks. No link is shuffled or joined.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +27,9 @@ from pyspark.sql import types as T
 
 from scoreframe.llm import ragged, sentencepiece_codec, shared, token_files
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Links whose counts are looked up at a time; a document with more is handled alone.
+CHUNK_LINKS = 1 << 18
 #: Words that each side keeps the ids of, and their bytes.
 WORDS, WORD_BYTES = 150_000, 16 << 20
 
@@ -161,13 +164,21 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text
     return docs.select(F.col(key), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
+def _link_slices(lists: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of some rows after another, and where each row's begin and end among them."""
+    pairs, offsets = np.asarray(lists.values), np.asarray(lists.offsets).astype(np.int64)
+    for i, j in ragged.row_slices(offsets, CHUNK_LINKS):
+        yield pairs[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+
+
 def pair_counts(links: DataFrame, n_pairs: int) -> np.ndarray:
     """How often each pair is linked in all :func:`aligned` documents; a task sends each pair once."""
 
     def run(batches):
         total = np.zeros(n_pairs, np.int64)
         for batch in batches:
-            total += np.bincount(np.asarray(batch.column(0).flatten()), minlength=n_pairs)
+            for pairs, _ in _link_slices(batch.column(0)):
+                total += np.bincount(pairs, minlength=n_pairs)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["pair", "n"])
 
@@ -185,10 +196,11 @@ def counted(links: DataFrame, counts: np.ndarray, best: np.ndarray) -> DataFrame
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(len(kept))
-            pairs, ends = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
-            sums = [np.concatenate([[0], np.cumsum(x[pairs].astype(np.int64))]) for x in (best, counts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(s[ends[1:]] - s[ends[:-1]]) for s in sums)], schema.names)
+            sums = [(np.zeros(0, np.int64),) * 2]
+            for pairs, ends in _link_slices(batch.column(len(kept))):
+                upto = [np.concatenate([[0], np.cumsum(x[pairs], dtype=np.int64)]) for x in (best, counts)]
+                sums.append(tuple(np.diff(s[ends]) for s in upto))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(np.concatenate(x)) for x in zip(*sums, strict=True))], schema.names)
 
     return links.select(*kept, "pairs").mapInArrow(run, schema)
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -147,6 +148,30 @@ def test_alignment_equals_brute_force(spark, libraries):
     assert [tuple(r)[1:] for r in ta.alignment_report(docs.where("text IS NULL"), A, B).collect()] == [(0, 0, 0, 0, 0, 0, "")]
 
 
+def test_counts_of_links_in_little_memory(spark, monkeypatch):
+    """A batch of millions of links is counted, and its counts looked up, a few links at a time."""
+    rng, runs = np.random.default_rng(3), []
+    sizes = rng.integers(0, 700, 10_000)
+    sizes[[0, 7, 9_999]] = 0, 600_000, 0
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    pairs, counts, best = rng.integers(0, 5000, ends[-1]).astype(np.int32), rng.integers(0, 1 << 40, 5000), rng.random(5000) < 0.5
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pairs))], ["doc_id", "pairs"])
+    links = spark.createDataFrame([], "doc_id long, pairs array<int>")
+    monkeypatch.setattr(type(links), "mapInArrow", lambda self, run, schema: (runs.append(run), spark.createDataFrame([], schema))[1])
+    ta.counted(links, counts, best), ta.pair_counts(links, 5000)
+    got, peaks = [], []
+    for run, part in ((runs[0], batch.slice(1)), (runs[1], batch.select(["pairs"]).slice(1))):
+        tracemalloc.start()
+        got.append(next(iter(run([part]))))
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+    for k, x in ((1, best), (2, counts)):
+        upto = np.concatenate([[0], np.cumsum(x[pairs].astype(np.int64))])
+        assert got[0].column(0).to_pylist() == list(range(1, 10_000)) and got[0].column(k).to_pylist() == (upto[ends[2:]] - upto[ends[1:-1]]).tolist()
+    assert dict(zip(*(c.to_pylist() for c in got[1].columns), strict=True)) == dict(enumerate(np.bincount(pairs, minlength=5000).tolist()))
+    assert max(peaks) < 8 * ends[-1] / 1e6, peaks
+
+
 def test_pair_numbers(libraries):
     """Every pair that can end together has a number of its own, from which its piece follows."""
     both, rng = ta.aligner(A, B), random.Random(2)
