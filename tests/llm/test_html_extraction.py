@@ -148,6 +148,14 @@ def test_tree_matching_is_ordered_at_any_size(n):
     assert all(x < y for (_, x), (_, y) in zip(pairs, pairs[1:], strict=False))
 
 
+def test_tree_matching_remembers_only_to_save_time(monkeypatch):
+    rng = random.Random(6)
+    trees = ["\n".join(["0 "] + [f"1 {rng.choice('ab')}\n2 {rng.choice('cd')}\n2 {rng.choice('cd')}\n3 {rng.choice('ef')}" for _ in range(25)]) for _ in range(8)]
+    want = [hx.matched(x, y) for x in trees for y in trees]
+    monkeypatch.setattr(hx, "REMEMBERED", 1)
+    assert [hx.matched(x, y) for x in trees for y in trees] == want
+
+
 def test_edges(spark):
     rows = [(1, "http://a.example/x", None, "t"), (1, "http://a.example/x", "", "t"), (None, "no host", "<p>x</p>", None), (2, None, "<p>y</p>" * 3, "u")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string").selectExpr("*", "'c' AS host", "'d' AS skeleton", "1 AS n_chars")
