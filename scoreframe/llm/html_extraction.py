@@ -406,9 +406,10 @@ def wrappers(pages: DataFrame, support: int = SUPPORT) -> DataFrame:
     shapes = seen.groupBy("host", "skeleton").agg(F.sum("n").alias("n"))
     chosen = shapes.groupBy("host").agg(F.max_by("skeleton", F.struct("n", "skeleton")).alias("reference"))
     names = shared.written(_aligned(shapes.select("host", "skeleton").join(chosen, "host").select("host", "skeleton", "reference")), "alignments")
-    nodes = seen.select("host", "skeleton", "n", F.posexplode(F.arrays_zip("lo", "hi", "bits")).alias("node", "is"))
+    # Rows of single nodes name their skeleton by 128 bits: its text grows with its nodes.
+    nodes = seen.withColumn("skeleton", F.md5("skeleton")).select("host", "skeleton", "n", F.posexplode(F.arrays_zip("lo", "hi", "bits")).alias("node", "is"))
     nodes = nodes.groupBy("host", "skeleton", "node").agg(F.sum("n").alias("n"), F.min("is.lo").alias("lo"), F.max("is.hi").alias("hi"), F.bit_or("is.bits").alias("bits"))
-    to = names.select(F.col("host").alias("__h"), F.col("skeleton").alias("__s"), F.posexplode("to").alias("__node", "to")).where("to >= 0")
+    to = names.withColumn("skeleton", F.md5("skeleton")).select(F.col("host").alias("__h"), F.col("skeleton").alias("__s"), F.posexplode("to").alias("__node", "to")).where("to >= 0")
     on = (F.col("host") == F.col("__h")) & (F.col("skeleton") == F.col("__s")) & (F.col("node") == F.col("__node"))
     both = nodes.join(to, on).groupBy("host", "to").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_or("bits").alias("bits"))
     constant = both.where((F.col("lo") == F.col("hi")) & (F.col("lo") != 0) & (F.col("n") >= support) & (F.bit_count("bits") >= support))
